@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsweft.functions.binding import let
+from newsweft.functions.text import has_text
 from newsweft.rules.vocabulary import (
     CATEGORIES,
     CRITICAL_TERMS,
@@ -50,19 +52,24 @@ def is_physical(category: Column) -> Column:
 
 def severity_from_text(text: Column, category: Column) -> Column:
     """Severity read from the wording (plain substrings), else from the category."""
-    lower = F.lower(text)
 
-    def says(terms: list[str]) -> Column:
-        return F.rlike(lower, F.lit("|".join(re.escape(t) for t in terms)))
 
-    return (
-        F.when(says(CRITICAL_TERMS), CRITICAL)
-        .when(says(SEVERE_TERMS), SEVERE)
-        .when(says(ELEVATED_TERMS), ELEVATED)
-        .when(category.isin("UkraineWar", "MiddleEast", "ArmedConflict", "Terrorism"), ELEVATED)
+    def says(terms: list[str]) -> str:
+        return "|".join(re.escape(t) for t in terms)
+
+    def worded(lower: Column) -> Column:
+        return (
+            F.when(F.rlike(lower, F.lit(says(CRITICAL_TERMS))), CRITICAL)
+            .when(F.rlike(lower, F.lit(says(SEVERE_TERMS))), SEVERE)
+            .when(F.rlike(lower, F.lit(says(ELEVATED_TERMS))), ELEVATED)
+        )
+
+    by_category = (
+        F.when(category.isin("UkraineWar", "MiddleEast", "ArmedConflict", "Terrorism"), ELEVATED)
         .when(category.isin("Other", "Politics", "Economy"), INFO)
         .otherwise(WATCH)
     )
+    return F.coalesce(let(F.lower(text), worded), by_category)
 
 
 def severity_from_alert_level(level: Column) -> Column:
@@ -106,12 +113,8 @@ def fact(facts: Column, key: str) -> Column:
 
 def facts_array(*pairs: tuple[str, Column]) -> Column:
     """Facts in the given order; pairs with a blank value are left out."""
-    from newsweft.functions.text import is_blank
-
-    made = [
-        F.when(~is_blank(v), F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))) for k, v in pairs
-    ]
-    return F.array_compact(F.array(*made))
+    made = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in pairs])
+    return F.filter(made, lambda f: has_text(f["v"]))
 
 
 # Terms of the item-to-story score, each on its own so it can be tested.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsweft.functions.binding import let
 from newsweft.rules.vocabulary import STOP_WORDS, TOLL_WORDS
 
 # Unicode white space; Java's \s alone is ASCII.
@@ -25,14 +28,19 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
+def has_text(c: Column) -> Column:
+    """True when there is a character besides white space; null for null."""
+    return F.rlike(c, F.lit(f"[^{SPACE[1:-1]}]"))
+
+
 def is_blank(c: Column) -> Column:
     """True for null, empty or white space only."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return ~F.coalesce(has_text(c), F.lit(False))
 
 
 def non_blank(c: Column) -> Column:
     """The value, or null when it is blank."""
-    return F.when(~is_blank(c), c)
+    return F.when(has_text(c), c)
 
 
 def first_non_blank(*columns: Column) -> Column:
@@ -51,7 +59,7 @@ def _code_point(c: Column) -> Column:
 
 
 def _one_entity(e: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    named = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
     hexa = F.regexp_extract(e, "^&#[xX]([0-9A-Fa-f]+);$", 1)
     deci = F.regexp_extract(e, "^&#([0-9]+);$", 1)
     return F.coalesce(
@@ -64,13 +72,15 @@ def _one_entity(e: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Decode HTML entities in one pass, so ``&amp;lt;`` becomes ``&lt;``; unknown ones stay."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _one_entity)
-    parts = F.split(c, _ENTITY, -1)
-    woven = F.array_join(
-        F.transform(F.arrays_zip(parts.alias("p"), found.alias("e")), lambda x: F.concat(x["p"], F.coalesce(x["e"], F.lit("")))),
-        "",
-    )
-    return F.when(F.contains(c, F.lit("&")), woven).otherwise(c)
+
+
+    def weave(v: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(v, F.lit(_ENTITY), F.lit(0)), _one_entity)
+        pairs = F.arrays_zip(F.split(v, _ENTITY, -1).alias("p"), found.alias("e"))
+        woven = F.array_join(F.transform(pairs, lambda x: F.concat(x["p"], F.coalesce(x["e"], F.lit("")))), "")
+        return F.when(F.contains(v, F.lit("&")), woven).otherwise(v)
+
+    return let(c, weave)
 
 
 def clean_text(c: Column) -> Column:
@@ -82,8 +92,11 @@ def clean_text(c: Column) -> Column:
 
 def cut_at_word(c: Column, limit: int) -> Column:
     """Keep at most ``limit`` characters, ending on a word, with an ellipsis when cut."""
-    return F.when(F.char_length(c) <= limit, c).otherwise(
-        F.concat(F.regexp_replace(F.left(c, F.lit(limit)), r" [^ ]*\z", ""), F.lit("…"))
+    return let(
+        c,
+        lambda v: F.when(F.char_length(v) <= limit, v).otherwise(
+            F.concat(F.regexp_replace(F.left(v, F.lit(limit)), r" [^ ]*\z", ""), F.lit("…"))
+        ),
     )
 
 
@@ -109,25 +122,35 @@ def restates(title: Column, snippet: Column) -> Column:
         kept = F.regexp_replace(c, rf"[^\p{{IsAlphabetic}}\p{{N}}{SPACE[1:-1]}]", "")
         return F.lower(squeeze(kept))
 
-    t, s = normal(title), normal(strip(snippet))
-    return F.when(is_blank(snippet), True).when(t == "", False).otherwise(s.startswith(t) | t.startswith(s))
+    def compare(pair: Column) -> Column:
+        t, s = pair["t"], pair["s"]
+        return F.when(t == "", False).otherwise(s.startswith(t) | t.startswith(s))
+
+    both = F.struct(normal(title).alias("t"), normal(snippet).alias("s"))
+    return F.when(is_blank(snippet), True).otherwise(let(both, compare))
 
 
 def toll(c: Column) -> Column:
     """First casualty figure with its kind, such as ``12 killed``; null when there is none."""
-    words = F.split(squeeze(F.lower(c)), " ")
 
-    def at(w: Column, i: Column) -> Column:
+    def number_in(w: Column) -> Column:
         digits = F.regexp_extract(w, r"\A[^0-9]*([0-9](?:.*[0-9])?)[^0-9]*\z", 1)
         bare = F.regexp_replace(digits, r"\A0+", "")
-        number = F.when(F.rlike(bare, F.lit(r"\A[0-9]{1,10}\z")), bare.cast("bigint"))
-        tail = F.array_join(F.slice(words, i + 2, 3), " ")
-        kind = F.coalesce(*[F.when(F.contains(tail, F.lit(k)), F.lit(k)) for k in TOLL_WORDS])
-        good = F.rlike(w, F.lit("[0-9]")) & number.between(1, 4294967295) & kind.isNotNull()
-        return F.when(good, F.concat_ws(" ", number.cast("string"), kind))
+        value = F.when(F.rlike(bare, F.lit(r"\A[0-9]{1,10}\z")), bare.cast("bigint"))
+        return F.when(value.between(1, 4294967295), value)
+
+    def kind_in(tail: Column) -> Column:
+        return F.coalesce(*[F.when(F.contains(tail, F.lit(k)), F.lit(k)) for k in TOLL_WORDS])
+
+    def search(words: Column) -> Column:
+        def at(w: Column, i: Column) -> Column:
+            kind = let(F.array_join(F.slice(words, i + 2, 3), " "), kind_in)
+            # concat of a null is null, so rows without number or kind drop out below.
+            return F.when(F.rlike(w, F.lit("[0-9]")), F.concat(number_in(w).cast("string"), F.lit(" "), kind))
+
+        return F.get(F.filter(F.transform(words, at), lambda x: x.isNotNull()), F.lit(0))
 
-    found = F.get(F.filter(F.transform(words, at), lambda x: x.isNotNull()), F.lit(0))
-    return F.when(F.rlike(c, F.lit("[0-9]")), found)
+    return F.when(F.rlike(c, F.lit("[0-9]")), let(F.split(squeeze(F.lower(c)), " "), search))
 
 
 def tidy_social(c: Column) -> Column:
@@ -146,23 +169,26 @@ def tidy_social(c: Column) -> Column:
 
 def split_social(c: Column) -> Column:
     """Headline and rest of a post, as ``struct<title, snippet>``."""
-    clean = tidy_social(c)
     sentence = r"(?s)\A(.{40,159}?[.!?])(.+)\z"
-    head = F.left(clean, F.lit(160))
-    short = F.regexp_replace(head, r" [^ ]*\z", "")
-    has_break = F.rlike(clean, F.lit(sentence))
-    is_long = F.char_length(clean) > 160
-    title = (
-        F.when(has_break, F.trim(F.regexp_extract(clean, sentence, 1)))
-        .when(is_long, F.concat(short, F.lit("…")))
-        .otherwise(clean)
-    )
-    snippet = (
-        F.when(has_break, F.trim(F.regexp_extract(clean, sentence, 2)))
-        .when(is_long, F.trim(F.substr(clean, F.char_length(short) + 1)))
-        .otherwise(F.lit(""))
-    )
-    return F.struct(title.alias("title"), snippet.alias("snippet"))
+
+    def parts(title: Column, snippet: Column) -> Column:
+        return F.struct(title.alias("title"), snippet.alias("snippet"))
+
+    def divide(clean: Column) -> Column:
+        short = F.regexp_replace(F.left(clean, F.lit(160)), r" [^ ]*\z", "")
+        return (
+            F.when(
+                F.rlike(clean, F.lit(sentence)),
+                parts(F.trim(F.regexp_extract(clean, sentence, 1)), F.trim(F.regexp_extract(clean, sentence, 2))),
+            )
+            .when(
+                F.char_length(clean) > 160,
+                let(short, lambda h: parts(F.concat(h, F.lit("…")), F.trim(F.substr(clean, F.char_length(h) + 1)))),
+            )
+            .otherwise(parts(clean, F.lit("")))
+        )
+
+    return let(tidy_social(c), divide)
 
 
 def short_error(c: Column) -> Column:

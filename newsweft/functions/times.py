@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsweft.functions.binding import let
 from newsweft.functions.text import non_blank, strip
 
 RETENTION_HOURS = 24 * 60
@@ -26,7 +27,10 @@ _COMPACT = r"\A\d{8}T\d{6}Z\z"
 
 def parse_date(c: Column) -> Column:
     """RFC 2822, RFC 3339, compact and naive dates, read as UTC; null when none fits."""
-    raw = strip(c)
+    return let(strip(c), _parse)
+
+
+def _parse(raw: Column) -> Column:
     zone = F.regexp_extract(raw, _MAIL, 6)
     named = reduce(lambda acc, kv: acc.when(zone == kv[0], F.lit(kv[1])), ZONE_OFFSETS.items(), F.when(F.rlike(zone, F.lit(r"\A[+-]\d{4}\z")), zone))
     offset = named.otherwise(F.lit("+0000"))  # GMT, UT, no zone and names nobody defined

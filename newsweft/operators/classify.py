@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsweft.functions.binding import let
 from newsweft.functions.geo import distance_km
 from newsweft.functions.grading import CATEGORY_ORDER
 from newsweft.operators.dictmatch import TermPattern
@@ -66,24 +67,31 @@ class Classifier:
             "struct<cat_ord:int,rules:array<struct<rule:int,weight:bigint>>>",
         )
 
-        def score(c: Column) -> Column:
-            total = F.aggregate(
-                c["rules"],
-                F.lit(0).cast("bigint"),
-                lambda acc, r: acc + r["weight"] * F.least(F.size(F.filter(found, lambda k: k["rule"] == r["rule"])), F.lit(_HIT_CAP)),
-            )
-            return F.struct(total.alias("score"), c["cat_ord"].alias("cat_ord"))
+        def scores(hits: Column) -> Column:
+            def score(c: Column) -> Column:
+                total = F.aggregate(
+                    c["rules"],
+                    F.lit(0).cast("bigint"),
+                    lambda acc, r: acc
+                    + r["weight"] * F.least(F.size(F.filter(hits, lambda k: k["rule"] == r["rule"])), F.lit(_HIT_CAP)),
+                )
+                return F.struct(total.alias("score"), c["cat_ord"].alias("cat_ord"))
+
+            return F.transform(table, score)
 
-        return F.transform(table, score)
+        return let(found, scores)
 
     def category(self, positions: Column) -> Column:
         """Best category, ``struct<category, score>``; ties go to the later category."""
-        best = F.array_max(self.category_scores(positions))
         names = _literal([n for n, _, _ in CATEGORIES], "string")
-        guess = F.struct(
-            F.when(best["score"] > 0, F.element_at(names, best["cat_ord"] + 1)).otherwise(F.lit("Other")).alias("category"),
-            best["score"].alias("score"),
-        )
+
+        def named(best: Column) -> Column:
+            return F.struct(
+                F.when(best["score"] > 0, F.element_at(names, best["cat_ord"] + 1)).otherwise(F.lit("Other")).alias("category"),
+                best["score"].alias("score"),
+            )
+
+        guess = let(F.array_max(self.category_scores(positions)), named)
         none = F.struct(F.lit("Other").alias("category"), F.lit(0).cast("bigint").alias("score"))
         return F.when(F.size(positions) == 0, none).otherwise(guess)
 
@@ -96,17 +104,22 @@ class Classifier:
                     payload.setdefault(word, []).append({"a": number, "strong": strong, "t": word})
         found = F.array_distinct(self.pattern.expand(positions, payload, "struct<a:int,strong:int,t:string>"))
 
-        def score(a: Column) -> Column:
-            strong = F.size(F.filter(found, lambda h: (h["a"] == a) & (h["strong"] == 1)))
-            weak = F.size(F.filter(found, lambda h: (h["a"] == a) & (h["strong"] == 0)))
-            return F.when((strong > 0) | (weak >= 2), F.struct((strong * 2 + weak).alias("score"), (-a).alias("rank")))
-
-        candidates = F.array_compact(F.transform(F.array_distinct(F.transform(found, lambda h: h["a"])), score))
-        best = F.array_max(candidates)
         table = _literal([{"id": a.id, "category": a.category} for a in self.book.anchors], "struct<id:string,category:string>")
-        row = F.element_at(table, 1 - best["rank"])
-        made = F.struct(row["id"].alias("anchor_id"), row["category"].alias("category"), best["score"].alias("score"))
-        return F.when(F.size(candidates) > 0, made)
+
+        def winner(hits: Column) -> Column:
+            def score(a: Column) -> Column:
+                strong = F.size(F.filter(hits, lambda h: (h["a"] == a) & (h["strong"] == 1)))
+                weak = F.size(F.filter(hits, lambda h: (h["a"] == a) & (h["strong"] == 0)))
+                return F.when((strong > 0) | (weak >= 2), F.struct((strong * 2 + weak).alias("score"), (-a).alias("rank")))
+
+            return F.array_max(F.array_compact(F.transform(F.array_distinct(F.transform(hits, lambda h: h["a"])), score)))
+
+        def named(best: Column) -> Column:
+            row = F.element_at(table, 1 - best["rank"])
+            made = F.struct(row["id"].alias("anchor_id"), row["category"].alias("category"), best["score"].alias("score"))
+            return F.when(best.isNotNull(), made)
+
+        return F.when(F.size(positions) > 0, let(let(found, winner), named))
 
     @cached_property
     def _places(self) -> Column:
@@ -137,7 +150,8 @@ class Classifier:
                 ),
             )
         )
-        ranked = F.array_distinct(F.transform(F.array_sort(hits), lambda h: h["ord"]))
+        # sort_array, not array_sort: the latter compares through an interpreted lambda.
+        ranked = F.array_distinct(F.transform(F.sort_array(hits), lambda h: h["ord"]))
         return F.transform(ranked, lambda o: F.element_at(self._places, o + 1))
 
     def best_place(self, positions: Column) -> Column:
@@ -160,14 +174,17 @@ class Classifier:
                 distance_km(p["point"]["lat"], p["point"]["lon"], point["lat"], point["lon"]).alias("km"), i.alias("ord")
             ),
         )
-        row = F.element_at(self._places, F.array_min(keyed)["ord"] + 1)
-        made = F.struct(
-            row["name"].alias("name"),
-            F.struct(point["lat"].alias("lat"), point["lon"].alias("lon")).alias("point"),
-            F.least(row["radius_deg"], F.lit(2.0)).alias("radius_deg"),
-            F.lit(None).cast("array<double>").alias("bbox"),
-        )
-        return F.when(point["lat"].isNotNull() & point["lon"].isNotNull(), made)
+
+        def labelled(row: Column) -> Column:
+            return F.struct(
+                row["name"].alias("name"),
+                F.struct(point["lat"].alias("lat"), point["lon"].alias("lon")).alias("point"),
+                F.least(row["radius_deg"], F.lit(2.0)).alias("radius_deg"),
+                F.lit(None).cast("array<double>").alias("bbox"),
+            )
+
+        found = F.element_at(self._places, F.array_min(keyed)["ord"] + 1)
+        return F.when(point["lat"].isNotNull() & point["lon"].isNotNull(), let(found, labelled))
 
 
 def with_terms(df: DataFrame, text: Column, classifier: Classifier, name: str = "_terms") -> DataFrame:
