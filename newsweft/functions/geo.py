@@ -46,17 +46,24 @@ def grid_cell(lat: Column, lon: Column, nx: int, ny: int) -> Column:
     return F.struct(clamp(x, nx).alias("cx"), clamp(y, ny).alias("cy"))
 
 
-def story_bbox(place: Column) -> Column:
-    """Box to show a place: its real box, or a span of 6 radii (24 to 150 degrees) around it."""
-    span = F.least(F.greatest(place["radius_deg"] * 6, F.lit(24.0)), F.lit(150.0))
-    lat, lon = place["point"]["lat"], place["point"]["lon"]
-    around = F.array(
-        F.greatest(lon - span / 2, F.lit(-180.0)),
-        F.least(lon + span / 2, F.lit(180.0)),
-        F.greatest(lat - span / 4, F.lit(-90.0)),
-        F.least(lat + span / 4, F.lit(90.0)),
-    )
-    return F.coalesce(place["bbox"], around)
+def view_window(point: Column, radius_deg: Column) -> Column:
+    """Window to show a place, [lon_min, lon_max, lat_min, lat_max].
+
+    Six radii wide (24 to 150 degrees) and moved, not cut, to stay on the globe.
+    """
+    span = F.least(F.greatest(radius_deg * 6, F.lit(24.0)), F.lit(150.0))
+    west = F.least(F.greatest(point["lon"] - span / 2, F.lit(-180.0)), 180.0 - span)
+    south = F.least(F.greatest(point["lat"] - span / 2, F.lit(-85.0)), 85.0 - span)
+    return F.array(west, west + span, south, south + span)
+
+
+def area_box(place: Column) -> Column:
+    """The source's real box when there is one, else the window around the place."""
+    return F.coalesce(place["bbox"], view_window(place["point"], place["radius_deg"]))
+
+
+def in_box(lat: Column, lon: Column, lon_min: Column, lon_max: Column, lat_min: Column, lat_max: Column) -> Column:
+    return lon.between(lon_min, lon_max) & lat.between(lat_min, lat_max)
 
 
 def place_struct(name: Column, lat: Column, lon: Column, radius: Column, bbox: Column | None = None) -> Column:

@@ -105,6 +105,13 @@ def cut_plain(c: Column, limit: int) -> Column:
     return F.when(F.char_length(c) <= limit, c).otherwise(F.concat(F.left(c, F.lit(limit - 1)), F.lit("…")))
 
 
+def short_title(c: Column, limit: int) -> Column:
+    """Title for a narrow list: cut before ``limit`` characters, at a word."""
+    t = strip(c)
+    cut = F.regexp_replace(F.left(t, F.lit(limit - 1)), r" [^ ]*\z", "")
+    return F.when(F.char_length(t) <= limit, t).otherwise(F.concat(cut, F.lit("…")))
+
+
 def tokenize(c: Column) -> Column:
     """Distinct significant words in order of first appearance."""
     raw = F.split(c, r"[^\p{IsAlphabetic}\p{N}]+")
