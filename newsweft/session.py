@@ -15,6 +15,7 @@ def local_session(cores: str = "*", name: str = "newsweft", **conf: str) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     for key, value in {**defaults, **conf}.items():
