@@ -332,8 +332,8 @@ def focus_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def first_report_alerts(spark: SparkSession, sf: str) -> DataFrame:
     assigned = _keyed(spark, sf)
-    earlier = assigned.filter(F.col("published") < "2024-01-03").select("story_id").distinct()
-    found = alerts.first_report_alerts(assigned.filter(F.col("published") >= "2024-01-03"), earlier)
+    earlier = assigned.filter(F.col("published") < "2024-01-01 06:00:00").select("story_id").distinct()
+    found = alerts.first_report_alerts(assigned.filter(F.col("published") >= "2024-01-01 06:00:00"), earlier)
     return found.select("story_id", "item_id", "title", "place", "severity", "reason")
 
 
