@@ -107,10 +107,10 @@ noise_terms(term) AS {values([(mark(t),) for t in BOOK.noise])},
 noisy AS (SELECT DISTINCT t FROM texts JOIN noise_terms ON {hit('m', 'term')}),
 gaz(ord, name, lat, lon, radius, weight) AS {values([(p.ord, p.name, p.lat, p.lon, p.radius_deg, p.weight) for p in BOOK.gazetteer])},
 aliases(ord, term, len) AS {values([(p.ord, mark(a), len(a)) for p in BOOK.gazetteer for a in p.aliases])},
-place_hits AS (SELECT t, ord, strpos(m, term) AS at, len FROM texts JOIN aliases ON {hit('m', 'term')}),
-place_best AS (SELECT t, ord, min(at) AS at, arg_min(len, at * 1000 - len) AS len FROM place_hits GROUP BY t, ord),
+place_hits AS (SELECT t, ord, strpos(m, term) AS pos, len FROM texts JOIN aliases ON {hit('m', 'term')}),
+place_best AS (SELECT t, ord, min(pos) AS pos, arg_min(len, pos * 1000 - len) AS len FROM place_hits GROUP BY t, ord),
 ranked_places AS (
-  SELECT t, name, lat, lon, radius, row_number() OVER (PARTITION BY t ORDER BY weight DESC, at, len DESC, ord) AS r
+  SELECT t, name, lat, lon, radius, row_number() OVER (PARTITION BY t ORDER BY weight DESC, pos, len DESC, ord) AS r
   FROM place_best JOIN gaz USING (ord)),
 best_places AS (SELECT t, name AS place, lat, lon, radius FROM ranked_places WHERE r = 1),
 readings AS (
