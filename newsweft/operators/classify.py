@@ -7,13 +7,13 @@ else works on the short array of matched terms inside the same row.
 from __future__ import annotations
 
 import json
+import math
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweft.functions.binding import let
-from newsweft.functions.geo import distance_km
 from newsweft.functions.grading import CATEGORY_ORDER
 from newsweft.operators.dictmatch import TermPattern
 from newsweft.rules.book import RuleBook
@@ -23,6 +23,11 @@ from newsweft.schemas import PLACE
 _HIT_CAP = 3  # fixed value: keyword hits of one rule beyond the third do not count
 
 
+def _on_globe(lat: float, lon: float) -> tuple[float, float, float]:
+    phi, lam = math.radians(lat), math.radians(lon)
+    return math.cos(phi) * math.cos(lam), math.cos(phi) * math.sin(lam), math.sin(phi)
+
+
 def _literal(rows: list, kind: str) -> Column:
     """A constant array column; folded once by the optimizer."""
     return F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")
@@ -51,33 +56,29 @@ class Classifier:
         return F.size(marks) > 0
 
     def category_scores(self, positions: Column) -> Column:
-        """Score of every category, ``array<struct<score, cat_ord>>`` in category order."""
+        """Score of every category with a hit, ``array<struct<score, cat_ord>>``."""
         payload: dict[str, list] = {}
         number = 0
-        by_category: list[list] = [[] for _ in CATEGORIES]
         for rule, (category, weight, words) in enumerate(self.book.rules):
-            by_category[CATEGORY_ORDER[category]].append({"rule": rule, "weight": weight})
             for word in words:
-                payload.setdefault(word, []).append({"kw": number, "rule": rule})
+                payload.setdefault(word, []).append({"kw": number, "cat": CATEGORY_ORDER[category], "rule": rule, "w": weight})
                 number += 1
         # A keyword counts once however often it occurs.
-        found = F.array_distinct(self.pattern.expand(positions, payload, "struct<kw:int,rule:int>"))
-        table = _literal(
-            [{"cat_ord": i, "rules": rules} for i, rules in enumerate(by_category)],
-            "struct<cat_ord:int,rules:array<struct<rule:int,weight:bigint>>>",
-        )
+        found = F.array_distinct(self.pattern.expand(positions, payload, "struct<kw:int,cat:int,rule:int,w:bigint>"))
 
         def scores(hits: Column) -> Column:
             def score(c: Column) -> Column:
+                rules = F.array_distinct(
+                    F.transform(F.filter(hits, lambda h: h["cat"] == c), lambda h: F.struct(h["rule"].alias("rule"), h["w"].alias("w")))
+                )
                 total = F.aggregate(
-                    c["rules"],
+                    rules,
                     F.lit(0).cast("bigint"),
-                    lambda acc, r: acc
-                    + r["weight"] * F.least(F.size(F.filter(hits, lambda k: k["rule"] == r["rule"])), F.lit(_HIT_CAP)),
+                    lambda acc, r: acc + r["w"] * F.least(F.size(F.filter(hits, lambda h: h["rule"] == r["rule"])), F.lit(_HIT_CAP)),
                 )
-                return F.struct(total.alias("score"), c["cat_ord"].alias("cat_ord"))
+                return F.struct(total.alias("score"), c.alias("cat_ord"))
 
-            return F.transform(table, score)
+            return F.transform(F.array_distinct(F.transform(hits, lambda h: h["cat"])), score)
 
         return let(found, scores)
 
@@ -91,9 +92,8 @@ class Classifier:
                 best["score"].alias("score"),
             )
 
-        guess = let(F.array_max(self.category_scores(positions)), named)
-        none = F.struct(F.lit("Other").alias("category"), F.lit(0).cast("bigint").alias("score"))
-        return F.when(F.size(positions) == 0, none).otherwise(guess)
+        none = F.struct(F.lit(0).cast("bigint").alias("score"), F.lit(len(CATEGORIES) - 1).alias("cat_ord"))
+        return let(F.coalesce(F.array_max(self.category_scores(positions)), none), named)
 
     def anchor(self, positions: Column) -> Column:
         """Best qualifying anchor, ``struct<anchor_id, category, score>`` or null; ties go to the earlier one."""
@@ -168,12 +168,20 @@ class Classifier:
 
     def nearest_place(self, point: Column) -> Column:
         """The query point, labelled with the nearest entry's name; radius at most 2 degrees."""
-        keyed = F.transform(
-            self._places,
-            lambda p, i: F.struct(
-                distance_km(p["point"]["lat"], p["point"]["lon"], point["lat"], point["lon"]).alias("km"), i.alias("ord")
-            ),
-        )
+        # The straight chord between points on the globe grows with the great-circle distance,
+        # and needs no trigonometry per entry.
+        axes = [_on_globe(p.lat, p.lon) for p in self.book.gazetteer]
+        table = _literal([{"x": x, "y": y, "z": z} for x, y, z in axes], "struct<x:double,y:double,z:double>")
+
+        def closest(at: Column) -> Column:
+            def chord(e: Column, i: Column) -> Column:
+                dx, dy, dz = e["x"] - at["x"], e["y"] - at["y"], e["z"] - at["z"]
+                return F.struct((dx * dx + dy * dy + dz * dz).alias("d2"), i.alias("ord"))
+
+            return F.array_min(F.transform(table, chord))["ord"]
+
+        phi, lam = F.radians(point["lat"]), F.radians(point["lon"])
+        at = F.struct((F.cos(phi) * F.cos(lam)).alias("x"), (F.cos(phi) * F.sin(lam)).alias("y"), F.sin(phi).alias("z"))
 
         def labelled(row: Column) -> Column:
             return F.struct(
@@ -183,7 +191,7 @@ class Classifier:
                 F.lit(None).cast("array<double>").alias("bbox"),
             )
 
-        found = F.element_at(self._places, F.array_min(keyed)["ord"] + 1)
+        found = F.element_at(self._places, let(at, closest) + 1)
         return F.when(point["lat"].isNotNull() & point["lon"].isNotNull(), let(found, labelled))
 
 

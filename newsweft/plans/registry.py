@@ -22,6 +22,7 @@ from newsweft.plans import reports, workload
 from newsweft.plans.workload import keyed_stories, news, news_items, now_literal, read_news, stamp, table
 from newsweft.rules import book
 from newsweft.schemas import PLACE
+from newsweft.session import cut_lineage
 from newsweft.sources.payloads import fetch_log, parse_payloads
 from newsweft.sources.registry import select_sources
 from newsweft.sources.store import SAVED_ITEMS, SAVED_STORIES, restore_items
@@ -292,7 +293,8 @@ def enriched_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return keyed_stories(news_items(spark, sf, classifier()))
+    """Assigned items, materialised once: the story tables are several aggregations over them."""
+    return cut_lineage(keyed_stories(news_items(spark, sf, classifier())))
 
 
 def _news_view(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -471,7 +473,7 @@ def _best_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
     state = stories.build(items.filter(F.col("published") < CUT))
     table_ = stories.story_table(state, stories.anchor_stories(spark))
     profiles = table_.select("story_id", "category", F.col("focus.point.lat").alias("lat"), F.col("focus.point.lon").alias("lon"), "last_update")
-    return later, profiles, state.tokens
+    return cut_lineage(later), cut_lineage(profiles), cut_lineage(state.tokens)
 
 
 def similarity_best(spark: SparkSession, sf: str) -> DataFrame:
@@ -491,7 +493,7 @@ def _weekly_stories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     items = _keyed(spark, sf).filter(F.col("event_key").isNull() & F.col("anchor_id").isNull())
     assigned = items.withColumn("story_id", F.concat_ws("-", F.lit("w"), "source", F.col("template").cast("string"), week))
     state = stories.build(assigned)
-    return stories.story_table(state, stories.anchor_stories(spark)), state.tokens
+    return cut_lineage(stories.story_table(state, stories.anchor_stories(spark))), cut_lineage(state.tokens)
 
 
 def merge_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,6 +16,7 @@ from newsweft.operators.enrich import read_rules
 from newsweft.operators.stories import EVENT_PREFIX
 from newsweft.rules.book import local_table
 from newsweft.rules.feeds import SOURCES
+from newsweft.session import spread
 from newsweft.schemas import PLACE, RAW_PAYLOADS
 
 NOW = "2024-01-31 00:00:00"
@@ -59,8 +60,12 @@ SOURCE_KINDS = {"view": "News", "click": "Social", "signup": "Humanitarian", "pu
 DOCUMENT_TERMS = ["the", "that", "license", "copyright", "in the", "of the", "and the", "is on", "le", "de la", "und", "la", "not found", "http"]
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, KEYS[name]) if name in KEYS else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

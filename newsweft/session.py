@@ -40,3 +40,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small input enough partitions for heavy per-row work.
+
+    A table with fewer splits than cores is hashed on ``key``; a large table already
+    has enough splits and is left alone, so no shuffle is added at scale.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, key)
