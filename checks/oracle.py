@@ -224,8 +224,8 @@ def zone(lat: str, lon: str) -> str:
 
 
 def km(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> str:
-    return f"""(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({b_lat} - {a_lat}) / 2), 2)
-      + cos(radians({a_lat})) * cos(radians({b_lat})) * pow(sin(radians({b_lon} - {a_lon}) / 2), 2)))))"""
+    chord = f"""(pow(sin(radians({b_lat} - {a_lat}) / 2), 2) + cos(radians({a_lat})) * cos(radians({b_lat})) * pow(sin(radians({b_lon} - {a_lon}) / 2), 2))"""
+    return f"(2 * 6371.0 * asin(sqrt(CASE WHEN {chord} > 1 THEN 1.0 ELSE {chord} END)))"
 
 
 def ago(now: str, then: str) -> str:

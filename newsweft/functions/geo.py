@@ -9,12 +9,13 @@ EARTH_RADIUS_KM = 6371.0
 
 
 def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance (haversine)."""
+    """Great-circle distance (haversine); null when a coordinate is null."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = half_lat * half_lat + F.cos(p1) * F.cos(p2) * half_lon * half_lon
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+    # Not least(chord, 1): that skips nulls and would place unknown points half a globe away.
+    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.when(chord > 1, 1.0).otherwise(chord)))
 
 
 def point_distance_km(a: Column, b: Column) -> Column:

@@ -68,8 +68,9 @@ def route_exact(items: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def _copy_key() -> Column:
-    """Copies agree on words, category, place and day."""
+    """Copies agree on words, category, place and day; items without words have no copies."""
     return F.struct(
+        F.when(F.size("tokens") == 0, F.col("id")).alias("only"),
         F.sort_array("tokens").alias("words"),
         "category",
         F.col("place.point.lat").alias("lat"),
