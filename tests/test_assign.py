@@ -183,7 +183,7 @@ def test_one_batch_equals_sequential_founders(spark, hot_df):
 
 
 def test_batches_of_one_follow_the_moving_centroid(spark):
-    rows = sorted(random_items(21, 12), key=lambda r: (r[7], r[6], r[0]))
+    rows = sorted(random_items(21, 6), key=lambda r: (r[7], r[6], r[0]))
     model, home = {}, {}
     for row in rows:
         m = as_model(row)
