@@ -80,11 +80,11 @@ class Monitor:
         """One micro-batch; safe to repeat."""
         if batch_id in self.store.versions():
             return
-        landed = cut_lineage(payloads)
-        enriched = enrich(parse_payloads(landed, self.sources, self.classifier), self.sources, self.classifier, self.min_relevance)
+        enriched = enrich(parse_payloads(payloads, self.sources, self.classifier), self.sources, self.classifier, self.min_relevance)
         if self.language_model is not None:
             enriched = flag_foreign(enriched, self.language_model)
-        self.process_items(enriched, batch_id, landed)
+        # Items are kept, bodies are not: the log reads the durable landing files a second time instead.
+        self.process_items(cut_lineage(enriched), batch_id, payloads)
 
     def process_items(self, items: DataFrame, batch_id: int, landed: DataFrame | None = None) -> None:
         """The stateful half, for items from any source."""
