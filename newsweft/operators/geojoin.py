@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from newsweft.functions.geo import grid_cell, in_box
 from newsweft.operators.classify import Classifier
+from newsweft.rules.book import small_rows
+
+MAX_REGIONS = 1_000
 
 
 def lookup_names(df: DataFrame, name_col: str, classifier: Classifier) -> DataFrame:
@@ -28,7 +31,11 @@ def label_points(df: DataFrame, lat: str, lon: str, classifier: Classifier) -> D
 
 
 def within_regions(points: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Points with every region box that holds them (regions are nine rows, kept in the plan)."""
+    """Points with every region box that holds them.
+
+    A range join has no key to hash on, so the boxes are broadcast, after a check that they are few.
+    """
+    small_rows(regions, "regions", MAX_REGIONS)
     inside = in_box(F.col(lat), F.col(lon), F.col("lon_min"), F.col("lon_max"), F.col("lat_min"), F.col("lat_max"))
     return points.join(F.broadcast(regions), inside)
 

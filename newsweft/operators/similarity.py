@@ -14,8 +14,9 @@ stories the join is cut back in an exact way:
 
 * A pair that is not near in space needs a lexical score of at least 0.22.  From
   each item the most frequent words are set aside as long as their summed best
-  possible contribution over *light* postings (``n`` at most 2) stays below that.
-  Set-aside words are joined with the heavy postings only.
+  possible contribution over *light* postings (``n`` at most 2, in a story of at least
+  4 words) stays below that.  Set-aside words are joined with the other postings only,
+  which are few: repeated words and very short stories.
 * A pair that is near in space (600 km) may need less, so set-aside words are also
   joined with light postings, but within the same neighbourhood of the globe.
 
@@ -35,6 +36,7 @@ from newsweft.functions.geo import EARTH_RADIUS_KM, distance_km
 
 HOT_DF = 2_000
 LIGHT_N = 2
+LIGHT_STORY = 4
 NEAR_KM = 600.0
 # Lexical score a pair needs when neither place nor time helps it: 0.34 - 0.12.
 NEEDED_FAR = grading.JOIN_THRESHOLD - 0.12
@@ -57,13 +59,18 @@ def _cell_key(parts: list[Column]) -> Column:
     return F.concat_ws("/", *parts)
 
 
-def hot_words(postings: DataFrame, sizes: DataFrame, hot_df: int) -> DataFrame:
+def _sized(postings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Postings with the size of their story and the ``heavy`` mark."""
+    heavy = (F.col("n") > LIGHT_N) | (F.col("n_tokens") < LIGHT_STORY)
+    return postings.join(sizes.select("story_id", "n_tokens"), "story_id").withColumn("heavy", heavy)
+
+
+def hot_words(sized: DataFrame, hot_df: int) -> DataFrame:
     """Words in more than ``hot_df`` stories, with their best light contribution per item size."""
-    light = F.when(F.col("n") <= LIGHT_N, grading.token_weight(F.col("n")))
+    light = F.when(~F.col("heavy"), grading.token_weight(F.col("n")))
     bounds = [F.coalesce(F.max(light / (size + F.sqrt("n_tokens"))), F.lit(0.0)) for size in _SIZES]
     return (
-        postings.join(sizes.select("story_id", "n_tokens"), "story_id")
-        .groupBy("token")
+        sized.groupBy("token")
         .agg(F.count("*").alias("df"), F.array(*bounds).alias("bounds"))
         .filter(F.col("df") > hot_df)
     )
@@ -97,13 +104,12 @@ def _split_words(items: DataFrame, hot: DataFrame) -> DataFrame:
     return per_item.select("id", F.inline(summed))
 
 
-def candidate_pairs(items: DataFrame, profiles: DataFrame, postings: DataFrame, hot: DataFrame) -> DataFrame:
+def candidate_pairs(items: DataFrame, profiles: DataFrame, sized: DataFrame, hot: DataFrame) -> DataFrame:
     """Distinct (id, story_id) that can reach the threshold, found without joining frequent light postings."""
     words = _split_words(items, hot)
-    heavy = F.col("n") > LIGHT_N
     tiers = F.when(F.col("aside"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
     by_word = words.select("id", "token", F.explode(tiers).alias("heavy")).join(
-        postings.select("story_id", "token", heavy.alias("heavy")), ["token", "heavy"]
+        sized.select("story_id", "token", "heavy"), ["token", "heavy"]
     )
     around = [F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])).alias(n) for n in "xyz"]
     x, y, z = globe_cell(F.col("lat"), F.col("lon"))
@@ -117,7 +123,7 @@ def candidate_pairs(items: DataFrame, profiles: DataFrame, postings: DataFrame,
         "story_id", _cell_key(globe_cell(F.col("lat"), F.col("lon"))).alias("cell")
     )
     near_words = words.filter("aside").select("id", "token").join(placed, "id")
-    near_postings = postings.filter(~heavy).join(hot.select("token"), "token", "left_semi").join(located, "story_id")
+    near_postings = sized.filter(~F.col("heavy")).join(hot.select("token"), "token", "left_semi").join(located, "story_id")
     by_place = near_words.join(near_postings.select("story_id", "token", "cell"), ["token", "cell"])
     return by_word.select("id", "story_id").unionByName(by_place.select("id", "story_id")).distinct()
 
@@ -147,8 +153,9 @@ def scored_pairs(
     arrived before the item count.
     """
     sizes = story_sizes(postings)
-    hot = hot_words(postings, sizes, hot_df)
-    pairs = None if hot.isEmpty() else candidate_pairs(items, profiles, postings, hot)
+    sized = _sized(postings, sizes)
+    hot = hot_words(sized, hot_df)
+    pairs = None if hot.isEmpty() else candidate_pairs(items, profiles, sized, hot)
     shared = _shared_weight(items, postings, pairs)
     i = items.select(
         "id", F.size("tokens").alias("n_item"), F.col("category").alias("i_category"), F.col("lat").alias("i_lat"),
