@@ -488,15 +488,23 @@ ORACLE["similarity_best_pruned"] = ORACLE["similarity_best"]
 
 _WEEK = _FREE + """,
 weekly AS (SELECT * REPLACE ('w-' || source || '-' || CAST(template AS VARCHAR) || '-' || CAST(day(published) // 8 AS VARCHAR) AS story_id) FROM free)"""
-ORACLE["merge_pairs"] = kept_items(_WEEK + STORIES.replace("FROM items)", "FROM weekly)", 1).replace("seq AS (SELECT *,", "seq AS (SELECT * EXCLUDE (toks),") + f""",
+_PAIRS = kept_items(_WEEK + STORIES.replace("FROM items)", "FROM weekly)", 1).replace("seq AS (SELECT *,", "seq AS (SELECT * EXCLUDE (toks),") + f""",
 words AS (SELECT story_id, token, count(*) AS n FROM (SELECT story_id, unnest(toks) AS token FROM weekly) GROUP BY ALL),
 totals AS (SELECT story_id, sum(n) AS total FROM words GROUP BY story_id),
 pairs AS (SELECT a.story_id AS a, b.story_id AS b, sum(least(a.n, b.n)) AS shared FROM words a JOIN words b USING (token)
   JOIN stories sa ON sa.story_id = a.story_id JOIN stories sb ON sb.story_id = b.story_id
   WHERE sa.category = sb.category AND (sa.first_seen, sa.story_id) < (sb.first_seen, sb.story_id)
     AND coalesce({km('sa.lat', 'sa.lon', 'sb.lat', 'sb.lon')} < CASE WHEN sa.category IN ('Earthquake', 'NaturalDisaster') THEN 400 ELSE 800 END, TRUE) GROUP BY ALL)
-""") + """SELECT a, b, round(CAST(2.0 * shared / (x.total + y.total) AS DOUBLE), 6) AS overlap FROM pairs JOIN totals x ON x.story_id = a JOIN totals y ON y.story_id = b
+""")
+_ALIKE = """SELECT a, b, round(CAST(2.0 * shared / (x.total + y.total) AS DOUBLE), 6) AS overlap FROM pairs JOIN totals x ON x.story_id = a JOIN totals y ON y.story_id = b
   WHERE 2.0 * shared / (x.total + y.total) > 0.55"""
+ORACLE["merge_pairs"] = _PAIRS + _ALIKE
+# Transitive closure of the pairs; every story of a component moves to its oldest member.
+ORACLE["merge_moves"] = _PAIRS.replace("WITH news AS", "WITH RECURSIVE news AS", 1) + f""", alike AS MATERIALIZED ({_ALIKE}),
+  edges AS (SELECT a AS x, b AS y FROM alike UNION SELECT b, a FROM alike),
+  reach(x, y) AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+  targets AS (SELECT r.x AS story_id, arg_min(s.story_id, (s.first_seen, s.story_id)) AS target_id FROM reach r JOIN stories s ON s.story_id = r.y GROUP BY r.x)
+  SELECT story_id, target_id FROM targets WHERE story_id <> target_id"""
 
 ORACLE["source_health"] = f"WITH {LOG} SELECT source_id, fetches, failures, items_total, last_items, {stamp('last_ok')} AS last_ok, last_error, latency_ms, healthy FROM health"
 _FACTOR = "CASE WHEN last_error IS NULL THEN 1 WHEN failures / fetches > 0.8 THEN 8 WHEN failures / fetches > 0.5 THEN 4 ELSE 2 END"

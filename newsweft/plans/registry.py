@@ -69,7 +69,7 @@ def noise_veto(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relevance_gate(spark: SparkSession, sf: str) -> DataFrame:
-    kind = workload._mapped(F.col("event_type"), workload.SOURCE_KINDS)
+    kind = workload.mapped(F.col("event_type"), workload.SOURCE_KINDS)
     guess = F.col("_read.guess")
     passed = kind.isin("Alert", "Humanitarian") | F.col("_read.anchor").isNotNull() | (guess["score"] >= 4)
     return read_news(spark, sf, classifier()).filter(passed).groupBy("event_type", guess["category"].alias("category")).agg(
@@ -88,7 +88,7 @@ def locate_all_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _named_events(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.events(spark, sf).withColumn("name", workload._choose(workload.NAMES, F.col("event_id")))
+    return workload.events(spark, sf).withColumn("name", workload.choose(workload.NAMES, F.col("event_id")))
 
 
 def name_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +268,7 @@ def assign_exact_tiers(spark: SparkSession, sf: str) -> DataFrame:
 def enriched_items(spark: SparkSession, sf: str) -> DataFrame:
     source_ids = {"view": "bbc", "click": "bsky-ap", "signup": "un-news", "purchase": "yt-ap", "error": "usgs"}
     drafts = news(spark, sf).select(
-        workload._mapped(F.col("event_type"), source_ids).alias("source_id"),
+        workload.mapped(F.col("event_type"), source_ids).alias("source_id"),
         (F.col("published") - F.expr("INTERVAL 1 HOUR")).alias("fetched"),
         "kind",
         F.concat(F.lit("  "), "title", F.lit(" ")).alias("title"),

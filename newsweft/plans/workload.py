@@ -81,11 +81,11 @@ def now_literal() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
-def _choose(values: list[str], index: Column) -> Column:
+def choose(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
-def _mapped(key: Column, table_: dict[str, str]) -> Column:
+def mapped(key: Column, table_: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for p in table_.items() for x in p]), key)
 
 
@@ -94,7 +94,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     whole = F.floor("value").cast("bigint")
     filled = F.replace(
-        F.replace(F.replace(_choose(HEADLINES, F.col("event_id")), F.lit("{place}"), _choose(PLACES, F.col("user_id"))),
+        F.replace(F.replace(choose(HEADLINES, F.col("event_id")), F.lit("{place}"), choose(PLACES, F.col("user_id"))),
                   F.lit("{n}"), (whole % 90 + 1).cast("string")),
         F.lit("{d}"), (whole % 10).cast("string"),
     )
@@ -112,7 +112,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         template.alias("template"),
         filled.alias("title"),
         F.col("ts").alias("published"),
-        _mapped(F.col("event_type"), KINDS).alias("kind"),
+        mapped(F.col("event_type"), KINDS).alias("kind"),
         key.alias("event_key"),
     )
 
@@ -169,7 +169,7 @@ def user_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("user_id").cast("string"), 6, "0").alias("story_id"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"),
         F.col("event_type").alias("source"),
-        _mapped(F.col("event_type"), KINDS).alias("kind"),
+        mapped(F.col("event_type"), KINDS).alias("kind"),
         F.col("ts").alias("published"),
         (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("fetched"),
         severity.alias("severity"),
@@ -195,7 +195,7 @@ def event_fetch_log(spark: SparkSession, sf_dir: str, sources: DataFrame) -> Dat
     e = events(spark, sf_dir)
     failed = F.col("event_type") == "error"
     return e.select(
-        _choose([s[0] for s in SOURCES], F.col("user_id")).alias("source_id"),
+        choose([s[0] for s in SOURCES], F.col("user_id")).alias("source_id"),
         F.col("ts").alias("fetched"),
         (~failed).alias("ok"),
         F.when(failed, 0).otherwise(F.floor("value") % 50).cast("bigint").alias("n_items"),
@@ -270,7 +270,7 @@ def _records(parser: str) -> Column:
     if parser == "gdelt":
         return F.to_json(F.struct(
             title.alias("title"), link.alias("url"), F.date_format(at, "yyyyMMdd'T'HHmmss'Z'").alias("seendate"),
-            F.concat("event_type", F.lit(".example")).alias("domain"), _choose(NAMES, F.col("event_id")).alias("sourcecountry"),
+            F.concat("event_type", F.lit(".example")).alias("domain"), choose(NAMES, F.col("event_id")).alias("sourcecountry"),
         ))
     if parser == "bluesky":
         return F.to_json(F.struct(

@@ -12,7 +12,7 @@ from newsweft.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", "newsweft-tests", **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4"})
+    session = local_session("8", "newsweft-tests", **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
