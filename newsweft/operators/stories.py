@@ -112,8 +112,12 @@ def retitle_state(assigned: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ build and merge
 
 
-def build(assigned: DataFrame) -> StoryState:
-    """State of the stories that these items make up."""
+def build(assigned: DataFrame, titles: bool = True) -> StoryState:
+    """State of the stories that these items make up.
+
+    Without ``titles`` the renaming pass is left out and stories keep their founder's
+    title; rankings that show no title need no second pass over the items.
+    """
     facts = assigned.groupBy("story_id").agg(
         F.min(F.struct(arrival().alias("arrival"), F.col("title").alias("title"), F.col("category").alias("category"))).alias("founder"),
         F.min("published").alias("first_seen"),
@@ -122,7 +126,10 @@ def build(assigned: DataFrame) -> StoryState:
         F.count("*").alias("n_items"),
         F.count_if(F.col("kind") == "Video").alias("n_videos"),
     )
-    core = facts.join(retitle_state(assigned), "story_id")
+    if titles:
+        core = facts.join(retitle_state(assigned), "story_id")
+    else:
+        core = facts.withColumns({"retitled_at": F.lit(None).cast("timestamp"), "retitle": F.lit(None).cast("string")})
     tokens = (
         assigned.select("story_id", F.explode("tokens").alias("token")).groupBy("story_id", "token").agg(F.count("*").alias("n"))
     )

@@ -22,7 +22,7 @@ from newsweft.plans import reports, workload
 from newsweft.plans.workload import keyed_stories, news, news_items, now_literal, read_news, stamp, table
 from newsweft.rules import book
 from newsweft.schemas import PLACE
-from newsweft.session import cut_lineage
+from newsweft.session import cut_lineage, spread
 from newsweft.sources.payloads import fetch_log, parse_payloads
 from newsweft.sources.registry import select_sources
 from newsweft.sources.store import SAVED_ITEMS, SAVED_STORIES, restore_items
@@ -102,7 +102,7 @@ def name_lookup_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nearest_place(spark: SparkSession, sf: str) -> DataFrame:
-    found = geojoin.label_points(workload.points(spark, sf), "lat", "lon", classifier())
+    found = geojoin.label_points(spread(workload.points(spark, sf), "event_id"), "lat", "lon", classifier())
     return found.select("event_id", F.col("place.name").alias("place"), F.col("place.radius_deg").alias("radius_deg"))
 
 
@@ -403,7 +403,7 @@ def story_timeline(spark: SparkSession, sf: str) -> DataFrame:
 
 def _user_view(spark: SparkSession, sf: str) -> DataFrame:
     assigned = workload.user_timelines(spark, sf)
-    return q.story_view(stories.build(assigned), assigned, stories.anchor_stories(spark), now_literal())
+    return q.story_view(stories.build(assigned, titles=False), assigned, stories.anchor_stories(spark), now_literal())
 
 
 def _rank(spark: SparkSession, sf: str, sort: str) -> DataFrame:
@@ -448,7 +448,7 @@ def unread_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def snapshot_rows(spark: SparkSession, sf: str) -> DataFrame:
     assigned = workload.user_timelines(spark, sf)
-    table_ = stories.story_table(stories.build(assigned), stories.anchor_stories(spark))
+    table_ = stories.story_table(stories.build(assigned, titles=False), stories.anchor_stories(spark))
     fresh = table_.filter(~times.is_stale(F.col("last_update"), now_literal()))
     kept = fresh.orderBy(F.desc("last_update"), "story_id").limit(SAVED_STORIES).select("story_id")
     items = stories.live_items(assigned.join(F.broadcast(kept), "story_id", "left_semi"), SAVED_ITEMS)

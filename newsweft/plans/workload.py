@@ -60,12 +60,13 @@ SOURCE_KINDS = {"view": "News", "click": "Social", "signup": "Humanitarian", "pu
 DOCUMENT_TERMS = ["the", "that", "license", "copyright", "in the", "of the", "and the", "is on", "le", "de la", "und", "la", "not found", "http"]
 
 
-KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "event_id"}
+# Tables whose rows cost much work (long texts): a small one is spread over the cores.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, KEYS[name]) if name in KEYS else df
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,7 @@ def mapped(key: Column, table_: dict[str, str]) -> Column:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, id, user_id, event_type, value, template, title, published, kind, event_key."""
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir), "event_id")
     whole = F.floor("value").cast("bigint")
     filled = F.replace(
         F.replace(F.replace(choose(HEADLINES, F.col("event_id")), F.lit("{place}"), choose(PLACES, F.col("user_id"))),

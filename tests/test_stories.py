@@ -194,3 +194,11 @@ def test_timeline(spark):
     assert [(r["id"], r["age"], r["severity"]) for r in got] == [("b", "4h", "SEVERE"), ("c", "23h", None), ("a", "1d", None)]
     assert [r["id"] for r in q.timeline(a, "s", F.lit(T0), kind="Video").collect()] == ["a"]
     assert {(str(r["day"]), r["first_id"], r["n_items"]) for r in q.timeline_days(a).collect()} == {("2026-09-18", "c", 2), ("2026-09-19", "b", 1)}
+
+
+def test_state_without_titles_differs_in_titles_only(spark):
+    a = assigned(spark, random_rows(8, 60))
+    full, plain = summary(spark, stories.build(a)), summary(spark, stories.build(a, titles=False))
+    assert {s: {k: v for k, v in r.items() if k != "title"} for s, r in full.items()} == {
+        s: {k: v for k, v in r.items() if k != "title"} for s, r in plain.items()
+    }
