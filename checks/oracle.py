@@ -7,7 +7,7 @@ and of the term in marks, so that a plain substring test is a whole-word test.
 from __future__ import annotations
 
 from newsweft.operators.enrich import UNGATED_KINDS
-from newsweft.operators.language import CODES, HOME_LANGUAGES, MIN_CHARS, MIN_CONFIDENCE, TOP
+from newsweft.operators.language import CODES, HOME_LANGUAGES, MIN_CHARS, MIN_CONFIDENCE
 from newsweft.plans import workload as w
 from newsweft.plans.registry import CUT, LATE
 from newsweft.rules import feeds, places, vocabulary
@@ -382,14 +382,14 @@ ORACLE["age_gate"] = kept_items() + f"""SELECT anchor_id IS NOT NULL AS anchored
 ORACLE["assign_exact_tiers"] = kept_items() + """SELECT CASE WHEN event_key IS NOT NULL THEN 'event' WHEN anchor_id IS NOT NULL THEN 'anchor' ELSE 'free' END AS tier,
   CASE WHEN event_key IS NOT NULL THEN 'ev-' || event_key ELSE anchor_id END AS story_id, count(*) AS n FROM items GROUP BY ALL"""
 _SOURCE_NAME = {"view": "BBC World", "click": "Bluesky · AP", "signup": "UN News", "purchase": "YouTube · AP", "error": "USGS earthquakes"}
-ORACLE["enriched_items"] = f"""WITH {NEWS}, {rule_ctes(f"SELECT t, lower(t) AS low, {marked('t')} AS m FROM (SELECT DISTINCT title || ' ' || title || ', officials say' AS t FROM news)")},
+ORACLE["enriched_items"] = f"""WITH {NEWS}, {rule_ctes(f"SELECT t, lower(t) AS low, {marked('t')} AS m FROM (SELECT DISTINCT title || ' ' || title || ', a spokesperson adds' AS t FROM news)")},
   per AS (SELECT t, {toll('t')} AS toll FROM texts)
   SELECT 'https://news.example/' || CAST(event_id AS VARCHAR) AS url, {case('event_type', _SOURCE_NAME)} AS source, title, '' AS snippet,
     {stamp('least(published, published - INTERVAL 1 HOUR + INTERVAL 5 MINUTE)')} AS published,
     CASE WHEN event_type = 'error' THEN 'Earthquake' ELSE coalesce(anchor_category, r.category) END AS category,
     {severity('r.t', "CASE WHEN event_type = 'error' THEN 'Earthquake' ELSE coalesce(anchor_category, r.category) END")} AS severity,
     place, toll, anchor_id, r.score AS relevance
-  FROM news JOIN readings r ON title || ' ' || title || ', officials say' = r.t JOIN per ON per.t = r.t
+  FROM news JOIN readings r ON title || ' ' || title || ', a spokesperson adds' = r.t JOIN per ON per.t = r.t
   WHERE (event_key IS NOT NULL OR NOT noise) AND (event_type IN ('error', 'signup') OR anchor_id IS NOT NULL OR r.score >= 4)"""
 
 ORACLE["story_table"] = kept_items(STORIES) + f"""SELECT story_id, title, category, severity, n_items, n_videos, n_sources, {stamp('first_seen')} AS first_seen, {stamp('last_update')} AS last_update FROM stories
@@ -562,7 +562,7 @@ _TRI = r"(SELECT list_transform(range(1, length(z) - 1), lambda i: substr(z, i,
 ORACLE["language_flag"] = f"""WITH marks AS MATERIALIZED (SELECT doc_id, coalesce({case('lang', CODES)}, upper(lang)) AS lang, length(text) AS chars, unnest({_TRI}) AS g FROM documents),
   counts AS (SELECT lang, g, count(*) AS n FROM marks GROUP BY ALL),
   totals AS (SELECT lang, sum(n) + 0.5 * (count(*) + 1) AS mass FROM counts GROUP BY lang),
-  model AS (SELECT lang, g, ln((n + 0.5) / mass) AS wt FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS r FROM counts) JOIN totals USING (lang) WHERE r <= {TOP}),
+  model AS (SELECT lang, g, ln((n + 0.5) / mass) AS wt FROM counts JOIN totals USING (lang)),
   per AS (SELECT doc_id, g, count(*) AS n FROM marks WHERE chars >= {MIN_CHARS} GROUP BY ALL),
   sums AS (SELECT doc_id, t.lang, sum(n * coalesce(m.wt, ln(0.5 / t.mass))) / 3.0 AS s FROM per CROSS JOIN totals t LEFT JOIN model m ON m.g = per.g AND m.lang = t.lang GROUP BY ALL),
   best AS (SELECT doc_id, arg_max(lang, (s, lang)) AS lang, max(s) AS top FROM sums GROUP BY doc_id),

@@ -85,15 +85,15 @@ class TermPattern:
         return F.array_distinct(self.expand(self.positions(text), {t: [t] for t in self.terms}, "string"))
 
 
-def keyword_hits(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, term_col: str = "term",
-                 longest: int = 80) -> DataFrame:
+def keyword_hits(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, term_col: str = "term") -> DataFrame:
     """Join texts with a dictionary of any size.
 
     Returns ``id_col``, all dictionary columns, ``n`` (occurrences) and ``first_at``
-    (word number of the first one).  Terms must start with an ASCII letter or digit
-    and have at most ``longest`` characters; others raise when the plan runs.
+    (word number of the first one).  Terms must start with an ASCII letter or digit; others
+    raise when the plan runs.  The window that travels with a word is as long as the longest term.
     """
-    ok = F.rlike(F.lower(term_col), F.lit(f"\\A[{_WORD}]")) & (F.char_length(term_col) <= longest)
+    longest = dictionary.agg(F.max(F.char_length(term_col))).first()[0] or 1
+    ok = F.rlike(F.lower(term_col), F.lit(f"\\A[{_WORD}]"))
     terms = dictionary.withColumn(
         "_term", F.when(ok, F.lower(term_col)).otherwise(F.raise_error(F.concat(F.lit("bad term: "), F.col(term_col))))
     ).withColumn("_key", F.regexp_extract("_term", f"\\A[{_WORD}]+", 0))

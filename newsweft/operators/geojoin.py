@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweft.functions.geo import grid_cell, in_box
 from newsweft.operators.classify import Classifier
-from newsweft.rules.book import small_rows
+from newsweft.operators.dictmatch import keyword_hits
+from newsweft.session import cut_lineage
 
-MAX_REGIONS = 1_000
+REGION_CELL = 10.0  # degrees
+NEAREST_WIDTHS = (0.02, 0.16, 2.5)  # cells in radii of the globe: some 130 km, 1,000 km, and the globe
 
 
 def lookup_names(df: DataFrame, name_col: str, classifier: Classifier) -> DataFrame:
@@ -31,13 +35,72 @@ def label_points(df: DataFrame, lat: str, lon: str, classifier: Classifier) -> D
 
 
 def within_regions(points: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Points with every region box that holds them.
+    """Points with every region box that holds them, for any number of boxes.
 
-    A range join has no key to hash on, so the boxes are broadcast, after a check that they are few.
+    Boxes are listed in every ``REGION_CELL`` degree cell that they touch, so the range join is
+    an equi-join on the cell of the point; each pair meets in that one cell only.
     """
-    small_rows(regions, "regions", MAX_REGIONS)
+
+    def cell(c: Column) -> Column:
+        return F.floor(c / REGION_CELL).cast("int")
+
+    listed = (
+        regions.filter("lon_min <= lon_max and lat_min <= lat_max")
+        .withColumn("_cx", F.explode(F.sequence(cell(F.col("lon_min")), cell(F.col("lon_max")))))
+        .withColumn("_cy", F.explode(F.sequence(cell(F.col("lat_min")), cell(F.col("lat_max")))))
+    )
+    placed = points.withColumn("_cx", cell(F.col(lon))).withColumn("_cy", cell(F.col(lat)))
     inside = in_box(F.col(lat), F.col(lon), F.col("lon_min"), F.col("lon_max"), F.col("lat_min"), F.col("lat_max"))
-    return points.join(F.broadcast(regions), inside)
+    return placed.join(listed, ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy")
+
+
+def ranked_places_join(df: DataFrame, id_col: str, text_col: str, gazetteer: DataFrame) -> DataFrame:
+    """(id, rank, name, ord): every place named in a text, best first, for a gazetteer of any size.
+
+    Rank: weight descending, position ascending, alias length descending, table order.
+    """
+    aliases = gazetteer.select("ord", "name", "weight", F.explode(F.transform("aliases", F.lower)).alias("alias"))
+    hits = keyword_hits(df, id_col, text_col, aliases, "alias")
+    order = F.struct((-F.col("weight")).alias("w"), F.col("first_at").alias("at"), (-F.length("alias")).alias("len"), F.col("ord").alias("ord"))
+    best = hits.groupBy(id_col, "ord", "name").agg(F.min(order).alias("order"))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("order"))
+    return best.select(id_col, rank.alias("rank"), "name", "ord")
+
+
+def nearest_place_join(points: DataFrame, id_col: str, gazetteer: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(id, ord, name): the nearest entry of each point, for a gazetteer of any size.
+
+    Entries are listed by cells of a cube grid around the globe, at ever coarser levels; a point looks into the 27
+    cells around its own. What a level finds within one cell's width is the nearest of all; points that find
+    none go to the next level, the last of which holds the globe. Ties go to the first entry.
+    """
+
+    def axes(a: str, o: str) -> list[Column]:
+        phi, lam = F.radians(F.col(a)), F.radians(F.col(o))
+        return [F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)]
+
+    left = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(id_col, *[c.alias(n) for c, n in zip(axes(lat, lon), "xyz")])
+    entries = gazetteer.select("ord", "name", *[c.alias(n) for c, n in zip(axes("lat", "lon"), ("ex", "ey", "ez"))])
+    found = []
+    for width in NEAREST_WIDTHS:
+        near = left
+        for n in "xyz":
+            around = F.array(*[F.floor(F.col(n) / width) + d for d in (-1, 0, 1)])
+            near = near.withColumn(f"c{n}", F.explode(around))
+        listed = entries.select("*", *[F.floor(F.col(f"e{n}") / width).alias(f"c{n}") for n in "xyz"])
+        squared = sum(((F.col(f"e{n}") - F.col(n)) ** 2 for n in "xyz"), F.lit(0.0))
+        best = (
+            near.join(listed, ["cx", "cy", "cz"])
+            .withColumn("d2", squared)
+            .groupBy(id_col)
+            .agg(F.min(F.struct("d2", "ord", "name")).alias("best"))
+        )
+        if width < NEAREST_WIDTHS[-1]:
+            best = best.filter(F.col("best.d2") <= width * width)
+        best = cut_lineage(best)
+        found.append(best.select(id_col, "best.ord", "best.name"))
+        left = left.join(best.select(id_col), id_col, "left_anti")
+    return reduce(DataFrame.unionByName, found)
 
 
 def density(points: DataFrame, nx: int, ny: int, lat: str = "lat", lon: str = "lon") -> DataFrame:

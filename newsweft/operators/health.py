@@ -11,7 +11,7 @@ def source_status(fetch_log: DataFrame) -> DataFrame:
 
     ``fetch_log``: source_id, fetched, ok, n_items, latency_ms, error.
     """
-    last = F.max_by(F.struct("ok", "n_items", "latency_ms", "error"), "fetched")
+    last = F.max(F.struct("fetched", "ok", "n_items", "latency_ms", "error"))  # fetches of one instant are ordered by their result
     totals = fetch_log.groupBy("source_id").agg(
         F.count("*").alias("fetches"),
         F.count_if(~F.col("ok")).alias("failures"),

@@ -1,16 +1,16 @@
 """Foreign-language flag from character trigrams.
 
 ``train`` learns trigram frequencies per language from labelled texts; ``detect``
-scores texts against them.  Scoring explodes trigrams next to their text, joins the
-model (bounded by languages x ``TOP`` rows) and sums per text; the sums combine
-before the shuffle, so one small row per text travels and the text itself does not.
+scores texts against them.  Scoring counts the trigrams of each text, joins the model and sums
+per text and language; the model is joined, not broadcast, whatever its size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsweft.session import cut_lineage
 
 MIN_CHARS = 20  # fixed value: shorter texts get no flag
 MIN_CONFIDENCE = 0.5  # fixed value
@@ -20,8 +20,6 @@ CODES = {
     "en": "ENG", "fr": "FRA", "de": "DEU", "es": "SPA", "it": "ITA", "pt": "POR", "nl": "NLD", "ru": "RUS",
     "uk": "UKR", "pl": "POL", "tr": "TUR", "ar": "ARA", "he": "HEB", "fa": "PES", "zh": "CMN", "ja": "JPN", "ko": "KOR",
 }
-TOP = 600  # trigrams kept per language; the profile size of the model
-MAX_LANGUAGES = 64
 
 
 def trigrams(text: Column) -> Column:
@@ -39,39 +37,36 @@ def train(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
         .agg(F.count("*").alias("n"))
     )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    common = Window.partitionBy("lang").orderBy(F.desc("n"), "trigram")
-    top = counts.withColumn("r", F.row_number().over(common)).filter(F.col("r") <= TOP).drop("r")
     mass = F.col("total") + 0.5 * (F.col("kinds") + 1)
-    return top.join(totals, "lang").select(
-        "lang", "trigram", F.log((F.col("n") + 0.5) / mass).alias("weight"), F.log(F.lit(0.5) / mass).alias("floor")
+    # written once: training and every detection read it again
+    return cut_lineage(
+        counts.join(totals, "lang").select(
+            "lang", "trigram", F.log((F.col("n") + 0.5) / mass).alias("weight"), F.log(F.lit(0.5) / mass).alias("floor")
+        )
     )
 
 
-def _languages(model: DataFrame) -> list[tuple[str, float]]:
-    rows = model.groupBy("lang").agg(F.max("floor").alias("floor")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the model")
-    return [(r["lang"], r["floor"]) for r in rows]
-
-
 def detect(texts: DataFrame, model: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Best language per text: ``id, lang, confidence`` (posterior of the best language)."""
-    languages = _languages(model)
-    wide = model.groupBy("trigram").agg(
-        *[F.max(F.when(F.col("lang") == code, F.col("weight"))).alias(f"w_{code}") for code, _ in languages]
-    )
-    marks = texts.select(id_col, F.explode(trigrams(F.col(text_col))).alias("trigram"))
-    # At most MAX_LANGUAGES * TOP short rows: a proven bound for the broadcast.
-    joined = marks.join(F.broadcast(wide), "trigram", "left")
-    sums = joined.groupBy(id_col).agg(
-        *[F.sum(F.coalesce(F.col(f"w_{code}"), F.lit(floor))).alias(f"s_{code}") for code, floor in languages]
-    )
+    """Best language per text: ``id, lang, confidence`` (posterior of the best language).
+
+    An unknown trigram scores a language's floor, so a language's sum is its floor for every trigram
+    of the text plus what the known ones are above it.
+    """
+    counted = texts.select(id_col, F.explode(trigrams(F.col(text_col))).alias("trigram")).groupBy(id_col, "trigram").agg(F.count("*").alias("n"))
+    above = model.groupBy("trigram").agg(F.collect_list(F.struct("lang", (F.col("weight") - F.col("floor")).alias("gain"))).alias("langs"))
+    joined = counted.join(above, "trigram", "left")
+    floors = model.groupBy("lang").agg(F.max("floor").alias("floor")).agg(F.sort_array(F.collect_list(F.struct("lang", "floor"))).alias("floors"))
+    sizes = joined.groupBy(id_col).agg(F.sum("n").alias("size"))
+    gains = joined.select(id_col, "n", F.explode("langs").alias("l")).groupBy(id_col, "l.lang").agg(F.sum(F.col("n") * F.col("l.gain")).alias("gain"))
+    per_text = gains.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lang", "gain"))).alias("gains"))
+    # ``floors`` is one row
+    scored = sizes.join(per_text, id_col, "left").join(F.broadcast(floors))
+    gain = lambda lang: F.coalesce(F.try_element_at("gains", lang), F.lit(0.0))
     # Neighbouring trigrams share two characters, hence the third of the log likelihood.
-    scored = sums.select(
-        id_col, F.array(*[F.struct((F.col(f"s_{c}") / 3.0).alias("s"), F.lit(c).alias("lang")) for c, _ in languages]).alias("all")
-    ).withColumn("best", F.array_max("all"))
+    every = F.transform("floors", lambda f: F.struct(((F.col("size") * f["floor"] + gain(f["lang"])) / 3.0).alias("s"), f["lang"].alias("lang")))
+    best = scored.select(id_col, every.alias("all")).withColumn("best", F.array_max("all"))
     mass = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x["s"] - F.col("best.s")))
-    return scored.select(id_col, F.col("best.lang").alias("lang"), (1.0 / mass).alias("confidence"))
+    return best.select(id_col, F.col("best.lang").alias("lang"), (1.0 / mass).alias("confidence"))
 
 
 def foreign(texts: DataFrame, model: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -7,12 +7,12 @@ profiles   ``story_id, category, lat, lon, last_update``
 postings   ``story_id, token, n``
 
 Candidates come from an inverted index (an equi-join on token); no pair without a
-shared word can reach the threshold, since all bonuses together are 0.28 < 0.34.
+shared word is scored; with the usual threshold none can reach it, as all bonuses together are 0.28 < 0.34.
 
 Frequent words would make that join quadratic, so for words in more than ``hot_df``
 stories the join is cut back in an exact way:
 
-* A pair that is not near in space needs a lexical score of at least 0.22.  From
+* A pair that is not near in space needs a lexical score of the threshold less 0.12.  From
   each item the most frequent words are set aside as long as their summed best
   possible contribution over *light* postings (``n`` at most 2, in a story of at least
   4 words) stays below that.  Set-aside words are joined with the other postings only,
@@ -38,8 +38,7 @@ HOT_DF = 2_000
 LIGHT_N = 2
 LIGHT_STORY = 4
 NEAR_KM = 600.0
-# Lexical score a pair needs when neither place nor time helps it: 0.34 - 0.12.
-NEEDED_FAR = grading.JOIN_THRESHOLD - 0.12
+CATEGORY_HELP = 0.12  # the most that a pair far apart in space gains over its lexical score
 _SIZES = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64]
 
 
@@ -76,8 +75,9 @@ def hot_words(sized: DataFrame, hot_df: int) -> DataFrame:
     )
 
 
-def _split_words(items: DataFrame, hot: DataFrame) -> DataFrame:
+def _split_words(items: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
     """One row per item word with ``aside``: true for the words set aside."""
+    needed = threshold - CATEGORY_HELP
     slot = reduce(lambda acc, i: F.when(F.col("n_item") >= _SIZES[i], i).otherwise(acc), range(1, len(_SIZES)), F.lit(0))
     words = items.select("id", F.size("tokens").alias("n_item"), F.explode("tokens").alias("token"))
     known = words.join(hot, "token", "left").withColumn("bound", F.get("bounds", slot))
@@ -95,7 +95,7 @@ def _split_words(items: DataFrame, hot: DataFrame) -> DataFrame:
                 acc["out"],
                 F.struct(
                     x["token"].alias("token"),
-                    (acc["sum"] + F.coalesce(x["bound"], F.lit(1e9)) < NEEDED_FAR - 1e-9).alias("aside"),
+                    (acc["sum"] + F.coalesce(x["bound"], F.lit(1e9)) < needed - 1e-9).alias("aside"),
                 ),
             ).alias("out"),
         ),
@@ -104,9 +104,9 @@ def _split_words(items: DataFrame, hot: DataFrame) -> DataFrame:
     return per_item.select("id", F.inline(summed))
 
 
-def candidate_pairs(items: DataFrame, profiles: DataFrame, sized: DataFrame, hot: DataFrame) -> DataFrame:
+def candidate_pairs(items: DataFrame, profiles: DataFrame, sized: DataFrame, hot: DataFrame, threshold: float = grading.JOIN_THRESHOLD) -> DataFrame:
     """Distinct (id, story_id) that can reach the threshold, found without joining frequent light postings."""
-    words = _split_words(items, hot)
+    words = _split_words(items, hot, threshold)
     tiers = F.when(F.col("aside"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
     by_word = words.select("id", "token", F.explode(tiers).alias("heavy")).join(
         sized.select("story_id", "token", "heavy"), ["token", "heavy"]
@@ -128,14 +128,11 @@ def candidate_pairs(items: DataFrame, profiles: DataFrame, sized: DataFrame, hot
     return by_word.select("id", "story_id").unionByName(by_place.select("id", "story_id")).distinct()
 
 
-def _shared_weight(items: DataFrame, postings: DataFrame, pairs: DataFrame | None) -> DataFrame:
+def _shared_weight(items: DataFrame, postings: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sum of token weights over the words an item and a story share."""
     words = items.select("id", F.explode("tokens").alias("token"))
     weights = postings.select("story_id", "token", grading.token_weight(F.col("n")).alias("w"))
-    if pairs is None:
-        shared = words.join(weights, "token")
-    else:
-        shared = pairs.join(words, "id").join(weights, ["story_id", "token"])
+    shared = pairs.join(words, "id").join(weights, ["story_id", "token"])
     return shared.groupBy("id", "story_id").agg(F.sum("w").alias("shared"))
 
 
@@ -155,16 +152,21 @@ def scored_pairs(
     sizes = story_sizes(postings)
     sized = _sized(postings, sizes)
     hot = hot_words(sized, hot_df)
-    pairs = None if hot.isEmpty() else candidate_pairs(items, profiles, sized, hot)
+    pairs = candidate_pairs(items, profiles, sized, hot, threshold)
+    if earlier_only:
+        pairs = (
+            pairs.join(items.select("id", F.col("arrival").alias("_later")), "id")
+            .join(profiles.select("story_id", "arrival"), "story_id")
+            .filter("arrival < _later")
+            .select("id", "story_id")
+        )
     shared = _shared_weight(items, postings, pairs)
     i = items.select(
         "id", F.size("tokens").alias("n_item"), F.col("category").alias("i_category"), F.col("lat").alias("i_lat"),
-        F.col("lon").alias("i_lon"), "published", *([F.col("arrival").alias("i_arrival")] if earlier_only else []),
+        F.col("lon").alias("i_lon"), "published",
     )
     s = profiles.join(sizes, "story_id")
     joined = shared.join(i, "id").join(s, "story_id")
-    if earlier_only:
-        joined = joined.filter(F.col("arrival") < F.col("i_arrival"))
     km = distance_km(F.col("i_lat"), F.col("i_lon"), F.col("lat"), F.col("lon"))
     lexical = grading.lexical_score(F.col("shared"), F.col("n_item"), F.col("n_tokens"))
     score = grading.similarity(lexical, F.col("i_category"), F.col("category"), km, F.col("published"), F.col("last_update"))

@@ -272,7 +272,7 @@ def enriched_items(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("published") - F.expr("INTERVAL 1 HOUR")).alias("fetched"),
         "kind",
         F.concat(F.lit("  "), "title", F.lit(" ")).alias("title"),
-        F.concat("title", F.lit(", officials say")).alias("snippet"),
+        F.concat("title", F.lit(", a spokesperson adds")).alias("snippet"),
         F.concat(F.lit("https://news.example/"), F.col("event_id").cast("string")).alias("url"),
         "published",
         F.lit(None).cast(PLACE).alias("place"),

@@ -80,7 +80,7 @@ def noise_terms(spark: SparkSession) -> DataFrame:
 
 
 def gazetteer(spark: SparkSession) -> DataFrame:
-    rows = [(i, n, _terms(a), lat, lon, r, w) for i, (n, a, lat, lon, r, w) in enumerate(places.STARTER_GAZETTEER)]
+    rows = [(i, n, _terms(a), lat, lon, r, w) for i, (n, a, lat, lon, r, w) in enumerate(places.GAZETTEER)]
     return local_table(spark, rows, GAZETTEER_SCHEMA)
 
 
@@ -137,7 +137,7 @@ class RuleBook:
     gazetteer: tuple[Place, ...] = field(
         default_factory=lambda: tuple(
             Place(i, n, tuple(_terms(a)), lat, lon, r, w)
-            for i, (n, a, lat, lon, r, w) in enumerate(places.STARTER_GAZETTEER)
+            for i, (n, a, lat, lon, r, w) in enumerate(places.GAZETTEER)
         )
     )
 

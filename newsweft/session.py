@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+FEW_SPLITS = 8
+
 
 def local_session(cores: str = "*", name: str = "newsweft", **conf: str) -> SparkSession:
     """A session for tests and benches.  A cluster brings its own session."""
@@ -43,12 +45,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input enough partitions for heavy per-row work.
+    """Give a table of one or two files enough partitions for heavy per-row work.
 
-    A table with fewer splits than cores is hashed on ``key``; a large table already
-    has enough splits and is left alone, so no shuffle is added at scale.
+    Tables with ``FEW_SPLITS`` splits or more are left alone, however many cores there are,
+    so no shuffle is added at scale.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
+    if df.rdd.getNumPartitions() >= FEW_SPLITS:
         return df
-    return df.repartition(wanted, key)
+    return df.repartition(FEW_SPLITS, key)

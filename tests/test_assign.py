@@ -32,24 +32,24 @@ def groups(result):
 def test_reference_scenarios_in_one_batch(spark):
     rows = [
         # similar headlines join, unrelated ones do not
-        item("a1", "Massive earthquake strikes northern Chile coast", "Earthquake", T0),
-        item("a2", "Earthquake strikes northern Chile, buildings damaged", "Earthquake", T0 + hours(1)),
-        item("b1", "Central bank raises interest rates again", "Economy", T0),
+        item("a1", "Massive earthquake jolts northern Chile desert", "Earthquake", T0),
+        item("a2", "Earthquake jolts northern Chile, roofs damaged", "Earthquake", T0 + hours(1)),
+        item("b1", "Interest rates raised once more by central bank", "Economy", T0),
         # same words on opposite sides of the planet stay apart
-        item("c1", "Strong tremor shakes coastal region", "Earthquake", T0, CHILE),
-        item("c2", "Strong tremor shakes coastal region today", "Earthquake", T0, JAPAN),
+        item("c1", "Sudden tremor rattles harbour towns", "Earthquake", T0, CHILE),
+        item("c2", "Sudden tremor rattles harbour towns today", "Earthquake", T0, JAPAN),
         # registry events: one key is one story
-        item("d1", "M 4.6 - 75 km SE of Kuqa", "Earthquake", T0, event_key="usgs-a"),
-        item("d2", "M 4.7 - 80 km SE of Kuqa", "Earthquake", T0, event_key="usgs-b"),
+        item("d1", "M 4.6 - 31 km W of Talca", "Earthquake", T0, event_key="usgs-a"),
+        item("d2", "M 4.7 - 28 km W of Talca", "Earthquake", T0, event_key="usgs-b"),
         item("e1", "Orange alert for tropical cyclone", "NaturalDisaster", T0, event_key="gdacs-TC-1"),
         item("e2", "Red alert for tropical cyclone", "NaturalDisaster", T0, event_key="gdacs-TC-1"),
         # anchors
-        item("f1", "Russian drone strike hits Kharkiv overnight", "UkraineWar", T0, anchor="ukraine-war"),
-        item("f2", "Zelensky says front line is holding", "UkraineWar", T0, anchor="ukraine-war"),
+        item("f1", "Kharkiv hit by Russian drone strike before dawn", "UkraineWar", T0, anchor="ukraine-war"),
+        item("f2", "Zelensky visits the front line", "UkraineWar", T0, anchor="ukraine-war"),
         # repeats of one id count once
-        item("a1", "Massive earthquake strikes northern Chile coast", "Earthquake", T0, fetched=T0 + hours(2)),
+        item("a1", "Massive earthquake jolts northern Chile desert", "Earthquake", T0, fetched=T0 + hours(2)),
         # too old, unless anchored; an event key does not save it
-        item("g1", "Wildfire burning in remote territory", "NaturalDisaster", T0 - hours(1446)),
+        item("g1", "Wildfire spreads over empty steppe", "NaturalDisaster", T0 - hours(1446)),
         item("g2", "Old war report", "UkraineWar", T0 - hours(1446), anchor="ukraine-war"),
         item("g3", "Old hazard", "NaturalDisaster", T0 - hours(1446), event_key="eonet-1"),
         item("g4", "Just inside whole hours limit", "Other", T0 - hours(1440) - dt.timedelta(minutes=59)),
@@ -211,10 +211,10 @@ def test_batches_of_one_follow_the_moving_centroid(spark):
 
 def test_backfill_carries_the_state(spark):
     rows = [
-        item("a", "Massive earthquake strikes northern Chile coast", "Earthquake", T0),
-        item("b", "Earthquake strikes northern Chile, buildings damaged", "Earthquake", T0 + hours(30)),
-        item("a", "Massive earthquake strikes northern Chile coast", "Earthquake", T0, fetched=T0 + hours(31)),
-        item("c", "Central bank raises interest rates again", "Economy", T0 + hours(31)),
+        item("a", "Massive earthquake jolts northern Chile desert", "Earthquake", T0),
+        item("b", "Earthquake jolts northern Chile, roofs damaged", "Earthquake", T0 + hours(30)),
+        item("a", "Massive earthquake jolts northern Chile desert", "Earthquake", T0, fetched=T0 + hours(31)),
+        item("c", "Interest rates raised once more by central bank", "Economy", T0 + hours(31)),
     ]
     result = backfill(items(spark, rows), stories.empty_state(spark), stories.anchor_stories(spark))
     assert {r["id"]: r["story_id"] for r in result.items.collect()} == {"a": "s-a", "b": "s-a", "c": "s-c"}

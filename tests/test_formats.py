@@ -13,7 +13,7 @@ from newsweft.sources.registry import list_sources, select_sources
 RSS = """<rss><channel><title>Channel</title><item>
 <title>Flood hits Nepal &amp; India</title><link>https://example.org/1</link><pubDate>Fri, 18 Sep 2026 06:16:34 GMT</pubDate>
 <description><![CDATA[<p>Heavy &#8217;rain&#8217; &amp;amp; more</p>]]></description><category>World</category><category>x</category><author>joe</author>
-<enclosure type="image/png" url="https://example.org/hazard.png"/></item>
+<enclosure type="image/png" url="https://example.org/picture-7.png"/></item>
 <item><title>Earthquake strikes Japan, 3 dead</title><guid>https://example.org/2</guid><media:content url="https://a/b.jpg" medium="IMAGE"/></item>
 <item><title>No link here</title><guid>tag:x</guid></item>
 <item><title>Podcast flood talk</title><link>https://example.org/4</link><enclosure url="https://example.org/p.mp3" type="audio/mpeg"/></item>
@@ -31,8 +31,8 @@ GDACS = """<rss><channel>
 <item><title>Orange earthquake alert</title><link>https://g/3</link><gdacs:alertlevel>Orange</gdacs:alertlevel><gdacs:eventtype>EQ</gdacs:eventtype>
 <gdacs:eventid>9</gdacs:eventid><geo:lat>36</geo:lat><geo:long>140</geo:long><gdacs:bbox>1 2 3</gdacs:bbox></item></channel></rss>"""
 USGS = json.dumps({"features": [
-    {"id": "us1", "properties": {"title": "M 6.1 - 25 km SSE of Kandrian, Papua New Guinea", "url": "https://u/1", "mag": 6.1, "tsunami": 1,
-                                 "time": 1789712194000, "place": "25 km SSE of Kandrian, Papua New Guinea"}, "geometry": {"coordinates": [149.5, -6.2, 35.6]}},
+    {"id": "us1", "properties": {"title": "M 6.1 - 40 km N of Lae, Papua New Guinea", "url": "https://u/1", "mag": 6.1, "tsunami": 1,
+                                 "time": 1789712194000, "place": "40 km N of Lae, Papua New Guinea"}, "geometry": {"coordinates": [149.5, -6.2, 35.6]}},
     {"id": "us2", "properties": {"title": "M 4.6 - x", "url": "https://u/2", "mag": 4.6, "tsunami": 0, "time": None, "place": None},
      "geometry": {"coordinates": [140, 36, 10]}},
     {"id": "us3", "properties": {"title": "", "url": "https://u/3"}},
@@ -44,7 +44,7 @@ EONET = json.dumps({"events": [
 GDELT = json.dumps({"articles": [{"title": "Clashes erupt near border", "url": "https://n/1", "seendate": "20260918T061634Z", "domain": "n.com", "sourcecountry": "Ukraine"}]})
 BLUESKY = json.dumps({"feed": [
     {"post": {"uri": "at://did/app.bsky.feed.post/rk1", "author": {"handle": "reuters.com"}, "indexedAt": "2026-09-18T06:16:34.123Z", "replyCount": 3,
-              "record": {"text": "Explosions reported in the capital overnight. Residents describe shelling and drone strike. https://t.co/x"},
+              "record": {"text": "Loud blasts wake the old harbour quarter tonight. Residents describe shelling and drone strike. https://t.co/x"},
               "embed": {"external": {"uri": "https://art/1", "thumb": "https://th/1"}, "images": [{"thumb": "https://img/1"}]}}},
     {"reason": {"$type": "repost"}, "post": {"record": {"text": "A repost that would otherwise be long enough"}}},
     {"post": {"uri": "at://d/p/k2", "record": {"text": "Too short"}}},
@@ -53,7 +53,7 @@ MASTODON = json.dumps([
     {"content": "<p>Hit near Kyiv #Ukraine</p><p>Russian attack reported on the city</p>", "account": {"acct": "me"}, "url": "https://m/1",
      "created_at": "2026-09-18T06:16:34.000Z", "card": None, "media_attachments": [{"preview_url": "https://p/1", "url": "x"}], "reblog": None},
     {"reblog": {"id": 1}, "content": "<p>Boosted post that is long enough to count</p>", "url": "https://m/2"}])
-TELEGRAM = """<html><div class="tgme_widget_message_wrap"><div class="m" data-post="chan/12"><div class="tgme_widget_message_text js-message_text" dir="auto">Missile strike on <b>Odesa</b> port kills 3 people, officials say</div>
+TELEGRAM = """<html><div class="tgme_widget_message_wrap"><div class="m" data-post="chan/12"><div class="tgme_widget_message_text js-message_text" dir="auto">Missile strike on <b>Odesa</b> port kills 3 people, a spokesperson adds</div>
 <time datetime="2026-09-18T06:16:34+00:00">x</time><video class="tgme_widget_message_video"></video></div></div>
 <div class="tgme_widget_message_wrap"><div class="js-message_text">short</div></div><div class="tgme_widget_message_wrap"><p>no text</p></div>"""
 
@@ -90,7 +90,7 @@ def test_rss(drafts):
     first, second, podcast, cut = drafts["bbc"]
     assert (first["kind"], first["title"], first["url"], first["published"]) == ("Article", "Flood hits Nepal & India", "https://example.org/1", AT)
     assert first["snippet"] == "Heavy 'rain' &amp; more"
-    assert first["thumbnail"] == "https://example.org/hazard.png" and facts(first) == {"feed-category": "World"}
+    assert first["thumbnail"] == "https://example.org/picture-7.png" and facts(first) == {"feed-category": "World"}
     assert (second["url"], second["published"], second["thumbnail"]) == ("https://example.org/2", FETCHED, "https://a/b.jpg")
     assert podcast["thumbnail"] is None
     assert (cut["title"], cut["url"], cut["published"]) == ("Truncated flood in Chile", "https://example.org/3", AT + dt.timedelta(hours=5))
@@ -133,7 +133,7 @@ def test_index_and_social(drafts):
     (article,) = drafts["gdelt-conflict"]
     assert (article["place"]["name"], article["published"], facts(article)) == ("Ukraine", AT, {"outlet": "n.com", "source country": "Ukraine"})
     post, own = drafts["bsky-reuters"]
-    assert (post["title"], post["url"], post["thumbnail"]) == ("Explosions reported in the capital overnight.", "https://art/1", "https://img/1")
+    assert (post["title"], post["url"], post["thumbnail"]) == ("Loud blasts wake the old harbour quarter tonight.", "https://art/1", "https://img/1")
     assert facts(post) == {"handle": "@reuters.com", "post": "https://bsky.app/profile/reuters.com/post/rk1", "replies": "3"}
     assert own["url"] == "https://bsky.app/profile/unknown/post/k3" and own["published"] == FETCHED
     (toot,) = drafts["masto-gaza"]
@@ -205,3 +205,28 @@ def test_xml_files(spark, tmp_path):
     (tmp_path / "a.xml").write_text(RSS[: RSS.index("<item><title>Truncated")] + "</channel></rss>")
     rows = read_feed_files(spark, str(tmp_path)).select(F.col("title")[0].alias("t")).collect()
     assert sorted(r["t"] for r in rows)[0] == "Earthquake strikes Japan, 3 dead" and len(rows) == 4
+
+
+CUT = {
+    "bbc": """<rss><channel><item rdf:about="x"><title>Bridge &nbsp; A & B closed</title><link>https://example.org/9</link>
+<media:content url="https://a/v.mp4" medium="video"><media:thumbnail url="https://a/t.jpg"/><media:description>Told inside</media:description></media:content>
+<category>World</category><pubDate>Fri, 18 Sep 2026 06:16:34 GMT</pubDate><dc:creator>some""",
+    "npr": """<rss><channel><item><title>Whole record</title><link>https://example.org/8</link>
+<media:content url="https://a/v.mp4" medium="video"><media:thumbnail url="https://a/u.jpg"/><media:description>Told inside</media:description></media:content></item></channel></rss>""",
+    "yt-bbc": """<feed><entry><title>Ferry stuck off Crete</title><link rel="alternate" href="https://www.youtube.com/watch?v=q1"/>
+<yt:videoId>q1</yt:videoId><published>2026-09-18T06:16:34+00:00</published><media:group><media:description>Long wait</media:descr""",
+    "gdacs": """<rss><channel><item><title>Red volcano notice</title><link>https://g/7</link><gdacs:alertlevel>Red</gdacs:alertlevel>
+<gdacs:eventtype>VO</gdacs:eventtype><gdacs:eventid>77</gdacs:eventid><geo:Point><geo:lat>14.5</geo:lat><geo:long>121</geo:long></geo:Point><gdacs:bbox>120 122 14 15</gdacs:bbox><gdacs:sev""",
+}
+
+
+def test_cut_and_nested_records(spark, classifier):
+    rows = [(s, FETCHED, 200, 5, None, b) for s, b in CUT.items()]
+    found = {r["source_id"]: r.asDict(True) for r in parse_payloads(spark.createDataFrame(rows, RAW_PAYLOADS), book.sources(spark), classifier).collect()}
+    assert sorted(found) == sorted(CUT)
+    news, whole, video, hazard = (found[k] for k in ("bbc", "npr", "yt-bbc", "gdacs"))
+    assert (news["title"], news["url"], news["published"], facts(news)) == ("Bridge A & B closed", "https://example.org/9", AT, {"feed-category": "World"})
+    assert (news["thumbnail"], news["snippet"]) == ("https://a/t.jpg", "Told inside")
+    assert (whole["thumbnail"], whole["snippet"]) == ("https://a/u.jpg", "Told inside")
+    assert (video["kind"], video["url"], video["published"], video["thumbnail"]) == ("Video", "https://www.youtube.com/watch?v=q1", AT, "https://i.ytimg.com/vi/q1/hqdefault.jpg")
+    assert (hazard["severity"], hazard["event_key"], hazard["place"]["bbox"]) == (4, "gdacs-VO-77", [120.0, 122.0, 14.0, 15.0])

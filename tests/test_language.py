@@ -25,7 +25,6 @@ def test_foreign_text_is_flagged(spark):
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(cases)], "id string, text string")
     got = {r["id"]: r["language"] for r in language.foreign(df, model).collect()}
     assert [got.get(str(i)) for i in range(len(cases))] == list(cases.values())
-    assert model.groupBy("lang").count().filter(f"count > {language.TOP}").count() == 0
 
 
 def test_trigrams_cover_the_whole_text(spark):

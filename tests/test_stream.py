@@ -26,12 +26,12 @@ def rss(*entries):
 
 
 FIRST = [
-    ("bbc", T0, 200, 5, None, rss(("Massive earthquake strikes northern Chile coast", "https://n/1", T0), ("Kherson shelled by artillery overnight", "https://n/2", T0))),
+    ("bbc", T0, 200, 5, None, rss(("Massive earthquake jolts northern Chile desert", "https://n/1", T0), ("Kherson shelled by artillery overnight", "https://n/2", T0))),
     ("npr", T0, 503, 9, None, None),
 ]
 SECOND = [
-    ("cbs", T0 + hours(1), 200, 5, None, rss(("Earthquake strikes northern Chile, buildings damaged", "https://n/3", T0 + hours(1)),
-                                             ("Massive earthquake strikes northern Chile coast", "https://n/1", T0),
+    ("cbs", T0 + hours(1), 200, 5, None, rss(("Earthquake jolts northern Chile, roofs damaged", "https://n/3", T0 + hours(1)),
+                                             ("Massive earthquake jolts northern Chile desert", "https://n/1", T0),
                                              ("Genocide warning as troops enter Greece", "https://n/4", T0 + hours(1)))),
     ("npr", T0 + hours(1), 200, 9, None, rss(("Kherson ferry sunk by missile strike", "https://n/5", T0 + hours(1)))),
 ]

@@ -55,7 +55,7 @@ def test_toll_takes_first_number_and_listed_priority(spark):
 
 def test_tokens(spark):
     given = [
-        "Russian drone strike hits Kharkiv overnight",
+        "Kharkiv hit by Russian drone strike before dawn",
         "Papua New Guinea volcano erupts, 1,200 displaced",
         "Взрыв в Киеве, взрыв",
         "ab abc_def ABC 123 12a é éa",
@@ -71,7 +71,7 @@ def test_tokens(spark):
 def test_split_social(spark):
     long = "word " * 40
     given = [
-        "Explosions reported in the capital overnight. Residents describe a long barrage.",
+        "Loud blasts wake the old harbour quarter tonight. Windows shook for almost an hour.",
         "Breaking news",
         long,
         "🔗 https://x.y Hello World #tag there #a #b",
@@ -81,7 +81,7 @@ def test_split_social(spark):
         "a" * 200,
     ]
     got = column(spark, given, text.split_social)
-    assert got[0]["title"] == "Explosions reported in the capital overnight."
+    assert got[0]["title"] == "Loud blasts wake the old harbour quarter tonight."
     assert got[0]["snippet"].startswith("Residents")
     assert (got[1]["title"], got[1]["snippet"]) == ("Breaking news", "")
     assert got[2]["title"].endswith("word…") and len(got[2]["title"]) <= 161
@@ -94,10 +94,10 @@ def test_split_social(spark):
 
 def test_restatement(spark):
     rows = [
-        ("Flooding hits Nepal", "Flooding hits Nepal, officials say", True),
-        ("Flooding hits Nepal", "Flooding hits Nep", True),
-        ("Flooding hits Nepal", "   ", True),
-        ("Flooding hits Nepal", "Rescue teams reached the valley after two days", False),
+        ("Rivers burst in Assam", "Rivers burst in Assam, a spokesperson adds", True),
+        ("Rivers burst in Assam", "Rivers burst in Ass", True),
+        ("Rivers burst in Assam", "   ", True),
+        ("Rivers burst in Assam", "Rescue teams reached the valley after two days", False),
         ("!!", "words", False),
     ]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, s string, want boolean")
