@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsweft.llm.common import ready, texts
-from newsweft.llm.tokens import PieceEncoder, in_groups
+from newsweft.llm.tokens import PieceEncoder
 from newsweft.session import ensure_checkpoint_dir
 
 MAGIC = b"NWT1"
@@ -139,16 +139,14 @@ def _writer(path: str, end: int, segment: int):
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "known", "counts", "payload")]]))
 
         for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
-            for first, some in in_groups(batch.column("text").to_pylist()):
-                for name, found in zip(keys[first:], encoder.encode_all(some)):
-                    ids.append(np.concatenate([found, tail]))
-                    names.append(name)
-                    held += len(ids[-1])
-                    if held >= segment:
-                        yield close()
-                        before += held
-                        ids, names, held = [], [], 0
+            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids.append(np.concatenate([encoder.encode(text), tail]))
+                names.append(name)
+                held += len(ids[-1])
+                if held >= segment:
+                    yield close()
+                    before += held
+                    ids, names, held = [], [], 0
         if ids:
             yield close()
 

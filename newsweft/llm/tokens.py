@@ -8,16 +8,48 @@ is full and starts anew.  Texts that hold a special token are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-CACHE = 1_000_000
+CACHE = 1_500_000
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 ODD = re.compile(f" [{SPACE}]|[{SPACE}] ")
-STOPPED = re.compile("( ?[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]+)[.,]")
+LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+BLANK_WORD = re.compile(f" ?[{LETTERS}]+")
+ENDED = re.compile(f"( ?[{LETTERS}]+)([.,]?)(\\n?)((?<=\\n)[{LETTERS}]+)?((?<=[{LETTERS}])[.,])?")
+# the printable letter that stands for each byte in a byte-level vocabulary
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
+class _Pieces(dict):
+    """Ids of pieces, as bytes; a piece that is not there yet is encoded.
+
+    A word of letters, with a blank in front or not, is one unit for a byte-level pre-tokenizer, so the
+    model takes it directly; the full stop, comma or line end behind it is a token of its own.
+    """
+
+    def __init__(self, tokenizer, code: str, plain_words: bool):
+        self.tokenizer, self.model, self.code, self.plain_words = tokenizer, tokenizer.model, code, plain_words
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = None
+        if self.plain_words:
+            if piece.isalpha() and piece.isascii() or BLANK_WORD.fullmatch(piece):
+                letters = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+            elif found := ENDED.fullmatch(piece):
+                ids = b"".join([self[x] for x in found.groups() if x])
+        self[piece] = ids = self.whole(piece) if ids is None else ids
+        return ids
 
 
 class PieceEncoder:
@@ -34,9 +66,12 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        # such a file has no other step between a word and its model
+        plain_words = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         self.limit = cache
-        self.cache: dict[str, bytes] = {}
-        self._begin()
+        self.pieces = _Pieces(self.tokenizer, "H" if self.dtype == "<u2" else "I", bool(plain_words))
 
     @classmethod
     def of(cls, path: str, cache: int = CACHE) -> PieceEncoder:
@@ -45,70 +80,17 @@ class PieceEncoder:
             cls._made[path, cache] = cls(path, cache)
         return cls._made[path, cache]
 
-    def _begin(self) -> None:
-        self.cache.clear()
-        self.cache[""] = b""
-        for mark in ".,":
-            self.cache[mark] = self._whole(mark)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text cut at safe places; None if it holds a special token."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text without special tokens added; the text's pieces are held at once."""
+        pieces = self.pieces
         if any(s in text for s in self.special):
-            return None
+            return np.frombuffer(pieces.whole(text), dtype=self.dtype)
+        if len(pieces) > self.limit:
+            pieces.clear()
+        if not text:
+            return np.zeros(0, dtype=self.dtype)
+        cut = None
         if "\0" not in text and "  " not in text and " \n" not in text and "\n " not in text:
             if text.replace("\n", "").isprintable() or not ODD.search(text):
-                return text.replace(" ", "\0 ").split("\0")
-        return PIECE.findall(text)
-
-    def _learn(self, missing: set[str]) -> None:
-        """Encode ``missing``; a word and the full stop or comma behind it are separate tokens."""
-        cache = self.cache
-        stems, ends = [], []
-        for piece in missing:
-            stopped = STOPPED.fullmatch(piece)
-            if stopped:
-                ends.append((piece, stopped[1]))
-                if stopped[1] not in cache and stopped[1] not in missing:
-                    stems.append(stopped[1])
-            else:
-                stems.append(piece)
-        stems = list(dict.fromkeys(stems))
-        for at in range(0, len(stems), 20_000):
-            some = stems[at : at + 20_000]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
-        for piece, stem in ends:
-            cache[piece] = cache[stem] + cache[piece[-1]]
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text without special tokens added; the texts' pieces are held at once."""
-        cut = [self._pieces(t) for t in texts]
-        if len(self.cache) > self.limit:
-            self._begin()
-        missing: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                missing.update(pieces)
-        missing.difference_update(self.cache.keys() & missing)
-        if missing:
-            self._learn(missing)
-        cache = self.cache
-        return [np.frombuffer(self._whole(t) if p is None else b"".join([cache[x] for x in p]), dtype=self.dtype) for t, p in zip(texts, cut)]
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
-
-
-def in_groups(texts: list[str], size: int = 256, chars: int = 4_000_000):
-    """Runs of at most ``size`` texts and about ``chars`` characters, as (first, texts)."""
-    first = held = 0
-    for i, text in enumerate(texts):
-        if i > first and (i - first >= size or held + len(text) > chars):
-            yield first, texts[first:i]
-            first, held = i, 0
-        held += len(text)
-    if first < len(texts):
-        yield first, texts[first:]
+                cut = text.replace(" ", "\0 ").split("\0")
+        return np.frombuffer(b"".join(map(pieces.__getitem__, cut or PIECE.findall(text))), dtype=self.dtype)
