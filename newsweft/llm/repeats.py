@@ -7,17 +7,19 @@ into equal phrases. A phrase is taken with the ``LENGTH`` - 1 bytes that follow
 string) that starts in it lies in it, and phrases overlap as the method asks. The dictionary has each distinct
 phrase once, with the least document that has it: windows of later occurrences are repeats without being looked at.
 
-Dictionary.  What is left are windows of first occurrences that stand in another phrase as well: around edits,
-and where passages begin and end. Their suffixes are found in two steps. Each window has an anchor, the least hash of
-its ``GRAM``-byte strings, which depends on the window alone; an anchor that occurs in one distinct phrase only cannot
-have a twin elsewhere. Windows with a shared anchor are put into suffix order: each task sorts the suffixes of its
-range, cut to ``LENGTH`` bytes, and equal neighbours form a class with its least document. The parse tells where each suffix
-stands, so the corpus order of everything that can repeat comes out without sorting the corpus.
+Dictionary.  What is left are windows of first occurrences that may stand in another phrase as well: around edits,
+and where passages begin and end. Each window has an anchor, the least hash of its ``GRAM``-byte strings, which depends
+on the window alone; a window whose anchor occurs in one distinct phrase only has no twin elsewhere. Runs of windows with one
+shared anchor travel as the text that they cover, to the range of that anchor. The suffixes that begin there, cut to ``LENGTH``
+bytes, are ordered by their hash, equal neighbours are checked byte by byte (if two strings share a hash, the suffixes
+themselves are sorted), and each class of equal ones gets its least document. The parse tells where each suffix stands. Only
+classes matter here, so the corpus order is made of everything that can repeat, not of the corpus.
+Windows of anchors that occur in more than ``HOT`` phrases go to ranges of their own hashes instead, one entry per home and window.
 
 Scale.  Documents are dealt by id to homes of about ``HOME`` bytes and checkpointed once, compressed, by home. What a home
-sends out is one entry per distinct phrase, anchor or window, packed in one binary row per range, so a passage
-in a third of all rows costs one entry per home; what comes back is what the home asked about. Ranges and homes grow in number
-with the input, not in size. Phrases are compared by 128-bit hashes, windows by their bytes.
+sends out is one packed row per range, with one entry per distinct phrase and anchor, so a passage in a third of all rows
+costs one entry per home; what comes back is what the home asked about. Ranges and homes grow in number
+with the input, not in size. Phrases and windows of frequent anchors are compared by 128-bit hashes, other windows by their bytes.
 
 Defined results: a null or empty text has no bytes; texts under ``LENGTH`` bytes lose nothing; a document's own
 repeats are not repeats; rows with the same id are one document for the comparison and are returned each;
@@ -39,25 +41,30 @@ from newsweft.llm.common import cut_lineage, texts
 
 LENGTH = 50
 TRIGGER = 12
-PERIOD = 128
+PERIOD = 128  # a power of two
 GRAM = 16
-HOME = 12_000_000  # bytes of text in a home
+HOME = 8_000_000  # bytes of text in a home
+CHUNK = 200_000  # bytes parsed at once: the arrays of a chunk stay in the cache
+RUN = 4096  # windows in a run
+HOT = 256
 NO_ID = -(1 << 63)
 
 DOCS = "home int, doc_id long, data binary"
 SENT = "bucket int, home int, kind int, data binary"
 BACK = "home int, kind int, data binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-PHRASE = np.dtype([("a", "<u8"), ("b", "<u8"), ("low", "<i8"), ("high", "<i8")])
-ANCHOR = np.dtype([("key", "<u8"), ("low", "<u8"), ("high", "<u8")])
-WINDOW = np.dtype([("text", f"S{LENGTH}"), ("low", "<i8"), ("high", "<i8")])
-# sent back: the least document of a phrase or window, or an anchor that is shared
-FIRST_PHRASE = np.dtype([("a", "<u8"), ("b", "<u8"), ("low", "<i8")])
-FIRST_WINDOW = np.dtype([("text", f"S{LENGTH}"), ("low", "<i8")])
+# kinds of rows: phrases, anchors, runs of windows, windows of frequent anchors
+PHRASES, ANCHORS, RUNS, WINDOWS = range(4)
+NAME = np.dtype([("a", "<u8"), ("b", "<u8"), ("low", "<i8"), ("high", "<i8")])
+ANCHOR = np.dtype([("key", "<u8"), ("low", "<u8"), ("high", "<u8"), ("n", "<u4")])
+RUN_OF = np.dtype([("key", "<u8"), ("low", "<i8"), ("row", "<u4"), ("start", "<u4"), ("size", "<u2")])
+FIRST = np.dtype([("a", "<u8"), ("b", "<u8"), ("low", "<i8")])
+SHARED = np.dtype([("key", "<u8"), ("hot", "u1")])
+FOUND = np.dtype([("row", "<u4"), ("start", "<u4"), ("size", "<u4")])
 
 _rng = np.random.default_rng(20240501)
 CODES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,18 +78,19 @@ def rolling(data: np.ndarray, size: int) -> np.ndarray:
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    h, have, out, done, power = CODES[data], 1, None, 0, int(BASE)
+    if n > 2 * CHUNK:
+        return np.concatenate([rolling(data[at : at + CHUNK + size - 1], size) for at in range(0, n, CHUNK)])
+    h, have, out, done, power = CODES[data], 1, None, 0, BASE
     while True:
         if size & have:
             part = h[done : done + n]
-            out = part.copy() if out is None else out * np.uint64(power) + part
+            out = part if out is None else out * np.uint64(power) + part
             done += have
         if have * 2 > size:
-            break
+            return _mix(out)
         h = h[:-have] * np.uint64(power) + h[have:]
         power = power * power % (1 << 64)
         have *= 2
-    return _mix(out)
 
 
 def least_of(values: np.ndarray, size: int) -> np.ndarray:
@@ -96,85 +104,129 @@ def least_of(values: np.ndarray, size: int) -> np.ndarray:
     return values
 
 
+def _joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _breaks(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 class Parse:
-    """Phrases and anchors of one text of at least ``LENGTH`` bytes."""
+    """Phrases and anchors of some texts laid end to end; nothing crosses from one to the next."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, docs: list[tuple[int, int, bytes]]):
         import xxhash
 
-        array = np.frombuffer(data, dtype=np.uint8)
-        self.windows = len(array) - LENGTH + 1
-        hit = np.flatnonzero(rolling(array, TRIGGER) % np.uint64(PERIOD) == 0)
-        self.starts = np.concatenate([[0], hit[(hit > 0) & (hit < self.windows)]]).astype(np.int64)
-        ends = np.append(self.starts[1:], self.windows)
+        self.data = data = b"".join(d for _, _, d in docs)
+        self.array = np.frombuffer(data, dtype=np.uint8)
+        self.rows = np.array([r for r, _, _ in docs], dtype=np.int64)
+        self.orders = np.array([o for _, o, _ in docs], dtype=np.int64)
+        lengths = np.array([len(d) for _, _, d in docs], dtype=np.int64)
+        self.first = np.cumsum(lengths) - lengths
+        windows = np.maximum(lengths - LENGTH + 1, 0)
+        self.at = _joined(self.first, windows)  # the start of every window
+        trigger = rolling(self.array, TRIGGER)
+        hit = self.at[(trigger[self.at] & np.uint64(PERIOD - 1)) == 0]
+        self.starts = np.union1d(self.first[windows > 0], hit)
+        self.doc = np.searchsorted(self.first, self.starts, side="right") - 1
+        # empty texts share their first byte with the next one; the last of equal firsts is the one that has bytes
+        ends = np.minimum(np.append(self.starts[1:], len(data)), self.first[self.doc] + windows[self.doc])
+        self.sizes = ends - self.starts
         names = b"".join([xxhash.xxh3_128_digest(data[s : e + LENGTH - 1]) for s, e in zip(self.starts.tolist(), ends.tolist())])
         self.names = np.frombuffer(names, dtype="<u8").reshape(-1, 2)
-        self.sizes = ends - self.starts
-        self.array = array
+        self.order = self.orders[self.doc]
 
     def phrase_of(self) -> np.ndarray:
+        """The phrase of every window."""
         return np.repeat(np.arange(len(self.starts)), self.sizes)
 
     def anchors(self) -> np.ndarray:
-        """The anchor of every window."""
-        return least_of(rolling(self.array, GRAM), LENGTH - GRAM + 1)
+        """The anchor of every window. 48 bits of the hash do, as a false twin costs a comparison only."""
+        if not len(self.at):
+            return np.zeros(0, dtype=np.uint64)
+        gram = rolling(self.array, GRAM)
+        return least_of(gram & np.uint64(0xFFFFFFFFFFFF0000), LENGTH - GRAM + 1)[self.at]
+
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """128-bit hashes of the windows at some positions."""
+        import xxhash
 
+        data = self.data
+        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[p : p + LENGTH]) for p in at.tolist()]), dtype="<u8").reshape(-1, 2)
 
-def _docs(table: pa.Table) -> Iterator[tuple[int, int | None, bytes]]:
+
+def _docs(table: pa.Table) -> Iterator[tuple[int, int, int | None, bytes]]:
+    """(row, order, id, bytes), numbered in an order that does not depend on the run."""
     import zstandard
 
     opener = zstandard.ZstdDecompressor()
-    for name, data in zip(table.column("doc_id").to_pylist(), table.column("data").to_pylist()):
-        yield NO_ID if name is None else name, name, opener.decompress(data)
+    table = table.sort_by([("doc_id", "ascending"), ("data", "ascending")])
+    for row, (name, data) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("data").to_pylist())):
+        yield row, NO_ID if name is None else name, name, opener.decompress(data)
 
 
-def _pack(homes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def _chunks(table: pa.Table) -> Iterator[Parse]:
+    docs: list[tuple[int, int, bytes]] = []
+    held = 0
+    for row, order, _, data in _docs(table):
+        docs.append((row, order, data))
+        held += len(data)
+        if held >= CHUNK:
+            yield Parse(docs)
+            docs, held = [], 0
+    if docs:
+        yield Parse(docs)
 
-        closer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            data = [closer.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("doc_id"), pa.array(data, pa.binary())], names=["home", "doc_id", "data"])
 
-    return run
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    closer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        data = [closer.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("doc_id"), pa.array(data, pa.binary())], names=["home", "doc_id", "data"])
 
 
-def _squeezed(rows: np.ndarray) -> bytes:
-    """Sorted entries column by column and byte by byte: high bytes of sorted keys compress well."""
+def _squeezed(rows: np.ndarray, text: bytes = b"") -> bytes:
+    """Entries column by column and byte by byte, as high bytes of sorted keys compress well; then the text."""
     import zstandard
 
-    planes = b"".join(np.ascontiguousarray(rows[n]).view(np.uint8).reshape(len(rows), -1).T.tobytes() if len(rows) else b"" for n in rows.dtype.names)
-    return len(rows).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
+    planes = b"".join(np.ascontiguousarray(rows[n]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for n in rows.dtype.names) if len(rows) else b""
+    return len(rows).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes + text)
 
 
-def _opened(data: bytes, kind: np.dtype) -> np.ndarray:
+def _opened(data: bytes, kind: np.dtype) -> tuple[np.ndarray, bytes]:
     import zstandard
 
     n = int.from_bytes(data[:8], "little")
+    raw, at = zstandard.ZstdDecompressor().decompress(data[8:]), 0
     rows = np.empty(n, dtype=kind)
-    if n:
-        raw, at = zstandard.ZstdDecompressor().decompress(data[8:]), 0
-        for name in kind.names:
-            width = kind[name].itemsize
-            rows[name] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T.copy().view(kind[name]).ravel()
-            at += n * width
-    return rows
+    for name in kind.names:
+        width = kind[name].itemsize
+        rows[name] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T.copy().view(kind[name]).ravel()
+        at += n * width
+    return rows, raw[at:]
 
 
 def _folded(rows: np.ndarray, keys: list[str]) -> np.ndarray:
-    """One row per key, with the least ``low`` and the greatest ``high``; sorted by key."""
+    """One row per key, with the least ``low``, the greatest ``high`` and the sum of ``n``; sorted by key."""
     if not len(rows):
         return rows
-    rows = rows[np.argsort(rows[keys[0]], kind="stable") if len(keys) == 1 else np.lexsort([rows[k] for k in reversed(keys)])]
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = False
-    for k in keys:
-        new[1:] |= rows[k][1:] != rows[k][:-1]
-    first = np.flatnonzero(new)
+    rows = rows[np.lexsort([rows[k] for k in reversed(keys)])]
+    first = np.flatnonzero(_breaks(*[rows[k] for k in keys]))
     out = rows[first].copy()
     out["low"] = np.minimum.reduceat(rows["low"], first)
     out["high"] = np.maximum.reduceat(rows["high"], first)
+    if "n" in rows.dtype.names:
+        out["n"] = np.add.reduceat(rows["n"], first)
     return out
 
 
@@ -184,11 +236,13 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table([pa.array(list(c), kinds.get(n, pa.int32())) for c, n in zip(columns, names)], names=names)
 
 
-def _dealt(rows: np.ndarray, by: np.ndarray, home: int, kind: int, buckets: int) -> list[tuple]:
-    """One packed row per range of the key ``by``."""
-    bucket = (by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
+def _range_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _dealt(rows: np.ndarray, key: str, home: int, kind: int, buckets: int) -> list[tuple]:
+    """One packed row per range; ``rows`` are sorted by ``key``."""
+    bucket = _range_of(rows[key], buckets)
     cut = np.flatnonzero(np.diff(bucket)) + 1
     return [(int(b[0]), home, kind, _squeezed(r)) for r, b in zip(np.split(rows, cut), np.split(bucket, cut)) if len(r)]
 
@@ -199,132 +253,220 @@ def _parsed(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         home = table.column("home")[0].as_py()
         phrases, anchors = [], []
-        for order, _, data in _docs(table):
-            if len(data) < LENGTH:
-                continue
-            parse = Parse(data)
-            row = np.empty(len(parse.starts), dtype=PHRASE)
-            row["a"], row["b"], row["low"], row["high"] = parse.names[:, 0], parse.names[:, 1], order, order
-            phrases.append(row)
+        for parse in _chunks(table):
+            row = np.empty(len(parse.starts), dtype=NAME)
+            row["a"], row["b"], row["low"], row["high"] = parse.names[:, 0], parse.names[:, 1], parse.order, parse.order
+            phrases.append(_folded(row, ["a", "b"]))
             key, phrase = parse.anchors(), parse.phrase_of()
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (phrase[1:] != phrase[:-1])
+            new = _breaks(key, phrase)
             row = np.empty(int(new.sum()), dtype=ANCHOR)
-            row["key"] = key[new]
-            row["low"] = row["high"] = parse.names[phrase[new], 1]
-            anchors.append(row)
-        out = []
-        if phrases:
-            rows = _folded(np.concatenate(phrases), ["a", "b"])
-            out += _dealt(rows, rows["a"], home, 0, buckets)
-            rows = _folded(np.concatenate(anchors), ["key"])
-            out += _dealt(rows, rows["key"], home, 1, buckets)
+            # 48 bits tell the phrases of an anchor apart
+            row["key"], row["n"] = key[new], 1
+            row["low"] = row["high"] = parse.names[phrase[new], 1] >> np.uint64(16)
+            anchors.append(_folded(row, ["key"]))
+        out = _dealt(_folded(np.concatenate(phrases), ["a", "b"]), "a", home, PHRASES, buckets)
+        out += _dealt(_folded(np.concatenate(anchors), ["key"]), "key", home, ANCHORS, buckets)
         return _table(out, ["bucket", "home", "kind", "data"])
 
     return run
 
 
-def _compared(kinds: dict[int, tuple[np.dtype, list[str], np.dtype | None]]):
-    """Steps 2 and 4, per range: least document of each key, sent back to the homes that need to know."""
+def _by_home(rows: np.ndarray, home: np.ndarray, kind: int) -> list[tuple]:
+    order = np.argsort(home, kind="stable")
+    rows, home = rows[order], home[order]
+    cut = np.flatnonzero(np.diff(home)) + 1
+    return [(int(h[0]), kind, _squeezed(r)) for r, h in zip(np.split(rows, cut), np.split(home, cut)) if len(r)]
 
-    def run(table: pa.Table) -> pa.Table:
-        out = []
-        of = table.column("kind").to_pylist()
-        for kind, (dtype, keys, back) in kinds.items():
-            blobs = [(h, _opened(d, dtype)) for h, k, d in zip(table.column("home").to_pylist(), of, table.column("data").to_pylist()) if k == kind]
-            if not blobs:
-                continue
-            rows = np.concatenate([r for _, r in blobs])
-            home = np.repeat([h for h, _ in blobs], [len(r) for _, r in blobs])
-            # suffix order within the range: equal keys become neighbours
-            order = np.argsort(rows[keys[0]], kind="stable") if len(keys) == 1 else np.lexsort([rows[k] for k in reversed(keys)])
-            rows, home = rows[order], home[order]
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = False
-            for k in keys:
-                new[1:] |= rows[k][1:] != rows[k][:-1]
-            first = np.flatnonzero(new)
-            sizes = np.diff(np.append(first, len(rows)))
-            low = np.repeat(np.minimum.reduceat(rows["low"], first), sizes)
-            high = np.repeat(np.maximum.reduceat(rows["high"], first), sizes)
-            tell = (low < high) if back is None else (low < rows["high"])
-            rows, home, low = rows[tell], home[tell], low[tell]
-            order = np.argsort(home, kind="stable")
-            rows, home, low = rows[order], home[order], low[order]
-            cut = np.flatnonzero(np.diff(home)) + 1
-            for some, at, least in zip(np.split(rows, cut), np.split(home, cut), np.split(low, cut)):
-                if len(some):
-                    send = np.empty(len(some), dtype=back or np.dtype([("key", "<u8")]))
-                    for name in send.dtype.names:
-                        send[name] = least if name == "low" else some[name]
-                    out.append((int(at[0]), kind, _squeezed(send)))
-        return _table(out, ["home", "kind", "data"])
 
-    return run
+def _gathered(table: pa.Table, kind: int, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """All entries of a kind, the home of each, and their texts one after the other."""
+    parts, homes, texts_ = [np.empty(0, dtype=dtype)], [np.empty(0, dtype=np.int64)], []
+    for home, of, data in zip(table.column("home").to_pylist(), table.column("kind").to_pylist(), table.column("data").to_pylist()):
+        if of == kind:
+            rows, text = _opened(data, dtype)
+            parts.append(rows)
+            homes.append(np.full(len(rows), home, dtype=np.int64))
+            texts_.append(text)
+    return np.concatenate(parts), np.concatenate(homes), b"".join(texts_)
 
 
-def _answers(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
-    parts = [_opened(d, dtype) for k, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()) if k == kind]
-    return np.concatenate(parts) if parts else np.empty(0, dtype=dtype)
+def _least_names(table: pa.Table, kind: int) -> list[tuple]:
+    """For each home the names that a smaller document than one of its own has."""
+    rows, home, _ = _gathered(table, kind, NAME)
+    if not len(rows):
+        return []
+    order = np.lexsort([rows["b"], rows["a"]])
+    rows, home = rows[order], home[order]
+    first = np.flatnonzero(_breaks(rows["a"], rows["b"]))
+    low = np.repeat(np.minimum.reduceat(rows["low"], first), np.diff(np.append(first, len(rows))))
+    tell = low < rows["high"]
+    send = np.empty(int(tell.sum()), dtype=FIRST)
+    send["a"], send["b"], send["low"] = rows["a"][tell], rows["b"][tell], low[tell]
+    return _by_home(send, home[tell], kind)
+
+
+def _shared_anchors(table: pa.Table) -> list[tuple]:
+    rows, home, _ = _gathered(table, ANCHORS, ANCHOR)
+    if not len(rows):
+        return []
+    order = np.argsort(rows["key"], kind="stable")
+    rows, home = rows[order], home[order]
+    first = np.flatnonzero(_breaks(rows["key"]))
+    sizes = np.diff(np.append(first, len(rows)))
+    shared = np.repeat(np.minimum.reduceat(rows["low"], first) < np.maximum.reduceat(rows["high"], first), sizes)
+    hot = np.repeat(np.add.reduceat(rows["n"].astype(np.int64), first) > HOT, sizes)
+    send = np.empty(int(shared.sum()), dtype=SHARED)
+    send["key"], send["hot"] = rows["key"][shared], hot[shared]
+    return _by_home(send, home[shared], ANCHORS)
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    """Step 2, per range."""
+    return _table(_least_names(table, PHRASES) + _shared_anchors(table), ["home", "kind", "data"])
+
+
+def _repeated_runs(table: pa.Table) -> list[tuple]:
+    """Windows of runs that a smaller document has, as (row, start, size), for each home."""
+    rows, home, text = _gathered(table, RUNS, RUN_OF)
+    if not len(rows):
+        return []
+    array = np.frombuffer(text, dtype=np.uint8)
+    spans = rows["size"].astype(np.int64) + LENGTH - 1
+    first = np.cumsum(spans) - spans
+    at = _joined(first, rows["size"].astype(np.int64))
+    run = np.repeat(np.arange(len(rows)), rows["size"])
+    h = rolling(array, LENGTH)[at]
+    order = np.argsort(h, kind="stable")
+    group = np.flatnonzero(_breaks(h[order]))
+    sizes = np.diff(np.append(group, len(order)))
+    low = rows["low"][run[order]]
+    twins = np.minimum.reduceat(low, group) < np.maximum.reduceat(low, group)  # other hashes occur in one document
+    order = order[np.repeat(twins, sizes)]
+    if not len(order):
+        return []
+    at, run, h = at[order], run[order], h[order]
+    padded = np.lib.stride_tricks.sliding_window_view(array, 8)
+    columns = [padded[at + i].copy().view(">u8").ravel() for i in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+    first_of = _breaks(*columns)
+    if (first_of != _breaks(h)).any():  # two strings share a hash: the order of the suffixes themselves decides
+        order = np.lexsort(columns[::-1])
+        at, run = at[order], run[order]
+        first_of = _breaks(*[c[order] for c in columns])
+    first_of = np.flatnonzero(first_of)
+    low = np.repeat(np.minimum.reduceat(rows["low"][run], first_of), np.diff(np.append(first_of, len(run))))
+    gone = low < rows["low"][run]
+    at, run = at[gone], run[gone]
+    start = rows["start"][run].astype(np.int64) + (at - first[run])
+    found = _as_runs(rows["row"][run].astype(np.int64), start, home[run])
+    send = np.empty(len(found), dtype=FOUND)
+    for name in FOUND.names:
+        send[name] = found[name]
+    return _by_home(send, found["home"], RUNS)
+
+
+def _as_runs(row: np.ndarray, start: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Single windows put together to (home, row, start, size)."""
+    order = np.lexsort([start, row, home])
+    row, start, home = row[order], start[order], home[order]
+    new = _breaks(home, row)
+    new[1:] |= start[1:] != start[:-1] + 1
+    first = np.flatnonzero(new)
+    out = np.empty(len(first), dtype=[("home", "<i8"), *FOUND.descr])
+    out["home"], out["row"], out["start"] = home[first], row[first], start[first]
+    out["size"] = np.diff(np.append(first, len(row)))
+    return out
+
+
+def _decided(table: pa.Table) -> pa.Table:
+    """Step 4, per range."""
+    return _table(_repeated_runs(table) + _least_names(table, WINDOWS), ["home", "kind", "data"])
 
 
 class Known:
-    """What came back to a home: least documents of phrases, shared anchors, least documents of windows."""
+    """What came back to a home: least documents of phrases and windows, shared anchors, repeated windows."""
 
     def __init__(self, table: pa.Table):
-        phrases = _answers(table, 0, FIRST_PHRASE)
-        self.phrases = dict(zip(zip(phrases["a"].tolist(), phrases["b"].tolist()), phrases["low"].tolist()))
-        self.anchors = np.sort(_answers(table, 1, np.dtype([("key", "<u8")]))["key"])
-        windows = _answers(table, 2, FIRST_WINDOW)
-        windows = windows[np.argsort(windows["text"], kind="stable")]
-        self.windows, self.least = windows["text"], windows["low"]
-
-    def copied(self, parse: Parse, order: int) -> np.ndarray:
+        self.phrases = self._sorted(table, PHRASES)
+        self.windows = self._sorted(table, WINDOWS)
+        anchors = _gathered(table, ANCHORS, SHARED)[0]
+        anchors = anchors[np.argsort(anchors["key"])]
+        self.anchors, self.hot = anchors["key"], anchors["hot"].astype(bool)
+        runs = _gathered(table, RUNS, FOUND)[0]
+        self.runs = runs[np.argsort(runs["row"], kind="stable")]
+
+    @staticmethod
+    def _sorted(table: pa.Table, kind: int) -> np.ndarray:
+        rows = _gathered(table, kind, FIRST)[0]
+        return rows[np.lexsort([rows["b"], rows["a"]])]
+
+    @staticmethod
+    def earlier(known: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Whether a document before ``order`` has the name (a, b)."""
+        if not len(known) or not len(a):
+            return np.zeros(len(a), dtype=bool)
+        where = np.minimum(np.searchsorted(known["a"], a), len(known) - 1)
+        return (known["a"][where] == a) & (known["b"][where] == b) & (known["low"][where] < order)
+
+    def copied(self, parse: Parse) -> np.ndarray:
         """Per phrase: whether a smaller document has it."""
-        first = [self.phrases.get(name, order) for name in zip(parse.names[:, 0].tolist(), parse.names[:, 1].tolist())]
-        return np.array(first, dtype=np.int64) < order
-
-    def open(self, parse: Parse, copied: np.ndarray) -> np.ndarray:
-        """Starts of windows that only their bytes can decide."""
-        undecided = ~copied[parse.phrase_of()]
-        if not len(self.anchors) or not undecided.any():
-            return np.zeros(0, dtype=np.int64)
-        at = np.flatnonzero(undecided)
-        key = parse.anchors()[at]
+        return self.earlier(self.phrases, parse.names[:, 0], parse.names[:, 1], parse.order)
+
+    def undecided(self, parse: Parse, copied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows outside copied phrases whose anchor is shared: their numbers, anchors, and whether it is frequent."""
+        number = np.flatnonzero(~copied[parse.phrase_of()])
+        if not len(self.anchors) or not len(number):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+        key = parse.anchors()[number]
         where = np.minimum(np.searchsorted(self.anchors, key), len(self.anchors) - 1)
-        return at[self.anchors[where] == key]
-
+        shared = self.anchors[where] == key
+        return number[shared], key[shared], self.hot[where[shared]]
 
-def _bytes_at(array: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The windows at ``starts`` as fixed-length strings; all have one length, so zero bytes at the end make no two equal."""
-    view = np.lib.stride_tricks.sliding_window_view(array, LENGTH)[starts]
-    return np.ascontiguousarray(view).view(f"S{LENGTH}").ravel()
 
-
-def _windows(buckets: int):
-    """Step 3, per home: the undecided windows with their least and greatest document."""
+def _asked(buckets: int):
+    """Step 3, per home: runs of undecided windows with their text, and windows of frequent anchors."""
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        home = (docs if docs.num_rows else back).column("home")[0].as_py()
-        known, found = Known(back), []
-        for order, _, data in _docs(docs):
-            if len(data) < LENGTH:
+        known, runs, texts_, windows = Known(back), [], [], []
+        for parse in _chunks(docs) if docs.num_rows else ():
+            number, key, hot = known.undecided(parse, known.copied(parse))
+            at = parse.at[number]
+            doc = np.searchsorted(parse.first, at, side="right") - 1
+            if hot.any():
+                names = parse.hashes(at[hot])
+                row = np.empty(len(names), dtype=NAME)
+                row["a"], row["b"] = names[:, 0], names[:, 1]
+                row["low"] = row["high"] = parse.orders[doc[hot]]
+                windows.append(_folded(row, ["a", "b"]))
+            at, key, doc = at[~hot], key[~hot], doc[~hot]
+            if not len(at):
                 continue
-            parse = Parse(data)
-            starts = known.open(parse, known.copied(parse, order))
-            for at in range(0, len(starts), 200_000):
-                some = starts[at : at + 200_000]
-                row = np.empty(len(some), dtype=WINDOW)
-                row["text"], row["low"], row["high"] = _bytes_at(parse.array, some), order, order
-                found.append(row)
-        if not found:
-            return _table([], ["bucket", "home", "kind", "data"])
-        rows = _folded(np.concatenate(found), ["text"])
-        raw = np.frombuffer(rows["text"].tobytes(), dtype=np.uint8).reshape(-1, LENGTH)
-        by = np.zeros(len(rows), dtype=np.uint64)
-        for i in range(LENGTH):
-            by = by * BASE + CODES[raw[:, i]]
-        return _table(_dealt(rows, _mix(by), home, 2, buckets), ["bucket", "home", "kind", "data"])
+            new = _breaks(key)
+            new[1:] |= at[1:] != at[:-1] + 1
+            first = np.flatnonzero(new)
+            sizes = np.diff(np.append(first, len(at)))
+            pieces = -(-sizes // RUN)  # long runs are cut
+            begin = _joined(np.zeros(len(first), dtype=np.int64), pieces) * RUN + np.repeat(first, pieces)
+            size = np.minimum(np.repeat(first + sizes, pieces) - begin, RUN)
+            row = np.empty(len(begin), dtype=RUN_OF)
+            row["key"], row["low"], row["size"] = key[begin], parse.orders[doc[begin]], size
+            row["row"], row["start"] = parse.rows[doc[begin]], at[begin] - parse.first[doc[begin]]
+            order = np.argsort(row["key"], kind="stable")
+            runs.append(row[order])
+            texts_.append((parse.array, at[begin][order], size[order] + LENGTH - 1))
+        home = (docs if docs.num_rows else back).column("home")[0].as_py()
+        out = []
+        if runs:
+            parts: dict[int, list] = {}
+            for row, (array, at, size) in zip(runs, texts_):
+                bucket = _range_of(row["key"], buckets)
+                cut = np.flatnonzero(np.diff(bucket)) + 1
+                for b, r, a, z in zip(np.split(bucket, cut), np.split(row, cut), np.split(at, cut), np.split(size, cut)):
+                    parts.setdefault(int(b[0]), []).append((r, array[_joined(a, z)].tobytes()))
+            for bucket, some in parts.items():
+                out.append((bucket, home, RUNS, _squeezed(np.concatenate([r for r, _ in some]), b"".join([t for _, t in some]))))
+        if windows:
+            out += _dealt(_folded(np.concatenate(windows), ["a", "b"]), "a", home, WINDOWS, buckets)
+        return _table(out, ["bucket", "home", "kind", "data"])
 
     return run
 
@@ -332,29 +474,34 @@ def _windows(buckets: int):
 def _removed(docs: pa.Table, back: pa.Table) -> pa.Table:
     """Step 5, per home: what is left of each document."""
     known, out = Known(back), []
-    for order, name, data in _docs(docs):
-        gone = np.zeros(len(data), dtype=bool)
-        if len(data) >= LENGTH:
-            parse = Parse(data)
-            copied = known.copied(parse, order)
-            repeat = copied[parse.phrase_of()]
-            starts = known.open(parse, copied)
-            if len(starts) and len(known.windows):
-                text = _bytes_at(parse.array, starts)
-                at = np.minimum(np.searchsorted(known.windows, text), len(known.windows) - 1)
-                repeat[starts[(known.windows[at] == text) & (known.least[at] < order)]] = True
-            edge = np.zeros(len(data) + 1, dtype=np.int64)
-            where = np.flatnonzero(repeat)
-            np.add.at(edge, where, 1)
-            np.add.at(edge, where + LENGTH, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-        kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-        out.append((name, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+    names = {row: name for row, _, name, _ in _docs(docs)} if docs.num_rows else {}
+    for parse in _chunks(docs) if docs.num_rows else ():
+        copied = known.copied(parse)
+        edge = np.zeros(len(parse.array) + LENGTH + 1, dtype=np.int64)
+        np.add.at(edge, parse.starts[copied], 1)
+        np.add.at(edge, parse.starts[copied] + parse.sizes[copied] + LENGTH - 1, -1)
+        if known.hot.any():
+            number, _, hot = known.undecided(parse, copied)
+            at = parse.at[number[hot]]
+            name = parse.hashes(at)
+            at = at[known.earlier(known.windows, name[:, 0], name[:, 1], parse.orders[np.searchsorted(parse.first, at, side="right") - 1])]
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + LENGTH, -1)
+        low, high = np.searchsorted(known.runs["row"], [parse.rows[0], parse.rows[-1] + 1])
+        runs = known.runs[low:high]
+        at = parse.first[runs["row"] - parse.rows[0]] + runs["start"]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + runs["size"] + LENGTH - 1, -1)
+        gone = np.cumsum(edge)[: len(parse.array)] > 0
+        for row, a, b in zip(parse.rows.tolist(), parse.first.tolist(), [*parse.first[1:].tolist(), len(parse.array)]):
+            some = gone[a:b]
+            kept = parse.array[a:b][~some].tobytes() if some.any() else parse.data[a:b]
+            spans = int(some[0]) + int((some[1:] & ~some[:-1]).sum()) if len(some) else 0
+            out.append((names[row], b - a, int(some.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    columns = list(zip(*out)) if out else [[] for _ in names]
-    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+    titles = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    columns = list(zip(*out)) if out else [[] for _ in titles]
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=titles)
 
 
 def _without_bytes(docs: pa.Table, back: pa.Table) -> pa.Table:
@@ -369,13 +516,12 @@ def remove_repeats(documents: DataFrame, with_bytes: bool = False) -> DataFrame:
     rows = texts(documents)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     homes = max(1, math.ceil(size / HOME))
-    packed = rows.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int")).mapInArrow(_pack(homes), DOCS)
+    packed = rows.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int")).mapInArrow(_pack, DOCS)
     docs = cut_lineage(packed.repartition(homes, "home"))
     sent = docs.groupBy("home").applyInArrow(_parsed(homes), SENT)
-    first = {0: (PHRASE, ["a", "b"], FIRST_PHRASE), 1: (ANCHOR, ["key"], None)}
-    known = cut_lineage(sent.groupBy("bucket").applyInArrow(_compared(first), BACK))
-    asked = docs.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_windows(homes), SENT)
-    told = cut_lineage(asked.groupBy("bucket").applyInArrow(_compared({2: (WINDOW, ["text"], FIRST_WINDOW)}), BACK))
+    known = cut_lineage(sent.groupBy("bucket").applyInArrow(_compared, BACK))
+    asked = docs.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_asked(homes), SENT)
+    told = cut_lineage(asked.groupBy("bucket").applyInArrow(_decided, BACK))
     every = docs.groupBy("home").cogroup(known.union(told).groupBy("home"))
     schema = RESULT if with_bytes else RESULT.rsplit(",", 1)[0]
     return every.applyInArrow(_removed if with_bytes else _without_bytes, schema)

@@ -20,15 +20,22 @@ def table(spark, rows):
     return spark.createDataFrame(data, SCHEMA)
 
 
+def _vocabulary():
+    rnd = random.Random(0)
+    return ["".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(2 + i % 8)) for i in range(4000)]
+
+
+VOCABULARY = _vocabulary()
+
+
 def prose(seed, words=80, alphabet=400):
     rnd = random.Random(seed)
-    vocabulary = ["".join(random.Random(i).choice("abcdefghiklmnoprstu") for _ in range(2 + i % 8)) for i in range(alphabet)]
-    return " ".join(rnd.choice(vocabulary) for _ in range(words))
+    return " ".join(rnd.choice(VOCABULARY[:alphabet]) for _ in range(words))
 
 
 def odd_rows():
     """Nulls, empty and blank texts, ties, repeats, long texts, odd characters."""
-    long = "\n".join(prose(i, 30) for i in range(300))
+    long = "\n".join(prose(i, 30) for i in range(60))
     return [
         (1, "", "en", "a"),
         (2, None, "en", "a"),

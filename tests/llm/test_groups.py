@@ -26,8 +26,8 @@ def edited(text, seed, edits=3):
 
 def families():
     rows = odd_rows()
-    for f in range(12):
-        base = "\n".join(prose(f * 50 + j, 40, 3000) for j in range(5))
+    for f in range(6):
+        base = "\n".join(prose(f * 50 + j, 40, 3000) for j in range(4))
         rows += [(1000 * (f + 1) + i, base if i % 4 == 0 else edited(base, f * 100 + i, 1 + i % 3), "en", f"s{i % 6}") for i in range(8)]
     return rows
 
@@ -128,11 +128,44 @@ def boundary_rows():
     return rows
 
 
-@pytest.mark.parametrize("home", [2_000, 12_000_000])
-def test_repeats(spark, home, monkeypatch):
-    monkeypatch.setattr(repeat_ops, "HOME", home * 20)
+@pytest.mark.parametrize("home, chunk, run, hot", [(20_000, 3_000, 7, 3), (20_000, 500, 4096, 0), (8_000_000, 1_000_000, 4096, 256)])
+def test_repeats(spark, home, chunk, run, hot):
+    """The steps on one machine, with homes, chunks and runs of several sizes."""
     rows = families() + boundary_rows()
-    got = repeat_ops.remove_repeats(table(spark, rows)).collect()
+    got = run_steps([r[:2] for r in rows], home, chunk, run, hot)
+    assert sorted(map(str, got)) == sorted(map(str, repeats([r[:2] for r in rows])))
+
+
+def run_steps(rows, home, chunk, run, hot):
+    """remove_repeats with the shuffles done by hand, so that its constants can be small."""
+    import pyarrow as pa
+    import zstandard
+
+    kept = {n: getattr(repeat_ops, n) for n in ("CHUNK", "RUN", "HOT")}
+    for name, value in (("CHUNK", chunk), ("RUN", run), ("HOT", hot)):
+        setattr(repeat_ops, name, value)
+    try:
+        homes = max(1, sum(len((t or "").encode()) for _, t in rows) // home)
+        packer = zstandard.ZstdCompressor()
+        data = [(hash(i) % homes, i, packer.compress((t or "").encode())) for i, t in rows]
+        schema = pa.schema([("home", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary())])
+        docs = pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*data), schema)], schema=schema)
+        groups = lambda t, k: [t.filter(pa.compute.equal(t.column(k), v)) for v in t.column(k).unique()]
+        both = lambda back: [(d, back.filter(pa.compute.equal(back.column("home"), d.column("home")[0]))) for d in groups(docs, "home")]
+        sent = pa.concat_tables([repeat_ops._parsed(homes)(d) for d in groups(docs, "home")])
+        known = pa.concat_tables([repeat_ops._compared(b) for b in groups(sent, "bucket")])
+        asked = pa.concat_tables([repeat_ops._asked(homes)(d, b) for d, b in both(known)])
+        told = pa.concat_tables([known, *[repeat_ops._decided(b) for b in groups(asked, "bucket")]])
+        out = pa.concat_tables([repeat_ops._without_bytes(d, b) for d, b in both(told)])
+        return list(zip(*[out.column(c).to_pylist() for c in out.column_names]))
+    finally:
+        for name, value in kept.items():
+            setattr(repeat_ops, name, value)
+
+
+def test_op4(spark, write):
+    rows = families() + boundary_rows()
+    got = op4_repeats(spark, write(rows)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, repeats([r[:2] for r in rows])))
 
 
