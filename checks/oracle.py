@@ -9,7 +9,7 @@ from __future__ import annotations
 from newsweft.operators.enrich import UNGATED_KINDS
 from newsweft.operators.language import CODES, HOME_LANGUAGES, MIN_CHARS, MIN_CONFIDENCE
 from newsweft.plans import workload as w
-from newsweft.plans.registry import CUT, LATE
+from newsweft.plans.registry import CUT, LATE, RELOADED
 from newsweft.rules import feeds, places, vocabulary
 from newsweft.rules.book import RuleBook
 
@@ -442,6 +442,15 @@ ORACLE["story_timeline"] = kept_items(f", per AS (SELECT t, {toll('t')} AS toll
   CASE WHEN severity >= 3 THEN {case('severity', LABELS)} END AS severity, title, place, CASE WHEN toll IS NULL THEN '' ELSE 'toll: ' || toll END AS facts
   FROM (SELECT * FROM items WHERE story_id = 'ukraine-war' ORDER BY published DESC, id LIMIT 400) JOIN per ON title = t WHERE kind = 'Article'"""
 
+ORACLE["visible_by_category"] = VIEW + "SELECT story_id, title, severity FROM shown WHERE category = 'NaturalDisaster'"
+ORACLE["zone_places"] = kept_items(STORIES) + "SELECT story_id, place AS name, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, n FROM placed"
+ORACLE["zone_of_gazetteer"] = f"WITH {_GAZ} SELECT name, {zone('lat', 'lon')} AS zone, count(*) AS n FROM events JOIN gaz ON event_id % 229 = ord GROUP BY ALL"
+ORACLE["item_detail"] = kept_items() + f"""SELECT id, story_id, title, kind, category, severity, {stamp('published')} AS published, place FROM items
+  WHERE id IN (SELECT arg_max(id, (published, id)) FROM items GROUP BY kind)"""
+ORACLE["alert_sink"] = ORACLE["first_reports_all"]
+ORACLE["retired_state"] = kept_items(STORIES) + f"""SELECT f.story_id, {stamp('f.last_update')} AS last_update FROM facts f LEFT JOIN anchors a USING (story_id)
+  WHERE a.story_id IS NOT NULL OR TIMESTAMP '{LATE}' <= f.last_update + INTERVAL 1440 HOUR"""
+
 _RANK = "SELECT story_id, round(heat, 4) AS heat, severity, " + stamp("last_update") + " AS last_update FROM view ORDER BY {} LIMIT 100"
 ORACLE["heat_rank"] = USER_VIEW + _RANK.format("heat DESC, view.last_update DESC, story_id")
 ORACLE["latest_rank"] = USER_VIEW + _RANK.format("view.last_update DESC, story_id")
@@ -456,6 +465,8 @@ ORACLE["unread_counts"] = f"""WITH {USERS}, b AS (SELECT story_id, max(fetched)
   SELECT story_id, count(*) FILTER (WHERE seen_at IS NULL OR fetched > seen_at) AS unread FROM items LEFT JOIN b USING (story_id) GROUP BY story_id"""
 ORACLE["snapshot_rows"] = f"""WITH {USERS}, f AS (SELECT story_id, max(published) AS u FROM items GROUP BY story_id HAVING {NOW} <= max(published) + INTERVAL 1440 HOUR ORDER BY u DESC, story_id LIMIT 400),
   k AS {live('(SELECT items.* FROM items JOIN f USING (story_id))', 250)} SELECT story_id, count(*) AS n, min(id) AS oldest_id FROM k GROUP BY story_id"""
+ORACLE["snapshot_reload"] = f"""WITH {USERS}, f AS (SELECT story_id, max(published) AS u FROM items GROUP BY story_id HAVING {NOW} <= max(published) + INTERVAL 1440 HOUR ORDER BY u DESC, story_id LIMIT 400),
+  k AS {live('(SELECT items.* FROM items JOIN f USING (story_id) WHERE TIMESTAMP ' + chr(39) + RELOADED + chr(39) + ' <= f.u + INTERVAL 1440 HOUR)', 250)} SELECT story_id, count(*) AS n, min(id) AS oldest_id FROM k GROUP BY story_id"""
 ORACLE["restore_merge"] = f"WITH {USERS} SELECT story_id, count(*) AS n, count(DISTINCT id) AS ids FROM items GROUP BY story_id"
 
 _FREE = f""", per AS MATERIALIZED (SELECT t, list_distinct({tokens('t')}) AS toks FROM texts),
@@ -551,10 +562,11 @@ ORACLE["feed_parse_hashtag"] = f"""WITH {NEWS}, {post_split("title || '. More to
   SELECT headline AS title, rest AS snippet, {_URL} AS url, {_AT} AS published, 'account=@' || event_type || ';post=' || {_URL} AS facts FROM posts WHERE event_type <> 'click' AND {_LONG}"""
 ORACLE["feed_parse_channel"] = f"""WITH {NEWS}, {post_split("title || '. Stay tuned'")}
   SELECT 'Article' AS kind, headline AS title, rest AS snippet, 'https://t.me/desk/' || CAST(event_id AS VARCHAR) AS url, {_AT} AS published, 'channel=t.me/disclosetv' AS facts FROM posts WHERE {_LONG}"""
-ORACLE["feed_union"] = f"""WITH {NEWS}, {post_split("title || '. More to follow'")}
-  SELECT 'bbc' AS source_id, 'Article' AS kind, count(*) AS n FROM news UNION ALL SELECT 'yt-bbc', 'Video', count(*) FROM news UNION ALL SELECT 'usgs', 'Alert', count(*) FROM news
-  UNION ALL SELECT 'eonet', 'Alert', count(*) FROM news UNION ALL SELECT 'gdelt-conflict', 'Article', count(*) FROM news
-  UNION ALL SELECT 'masto-gaza', 'Article', count(*) FROM posts WHERE event_type <> 'click' AND {_LONG}"""
+_PARTS = [("bbc", "rss"), ("yt-bbc", "atom"), ("gdacs", "hazards"), ("usgs", "quakes"), ("eonet", "natural"), ("gdelt-conflict", "index"), ("bsky-reuters", "author"),
+          ("masto-gaza", "hashtag"), ("tg-disclosetv", "channel")]
+_KIND_OF = {"rss": "kind", "atom": "kind", "channel": "kind", "hazards": "'Alert'", "quakes": "'Alert'", "natural": "'Alert'"}
+ORACLE["feed_union"] = " UNION ALL ".join(
+    f"SELECT '{source}' AS source_id, {_KIND_OF.get(fmt, chr(39) + 'Article' + chr(39))} AS kind, count(*) AS n FROM ({ORACLE['feed_parse_' + fmt]}) GROUP BY ALL" for source, fmt in _PARTS)
 ORACLE["payload_log"] = f"""WITH p AS (SELECT event_id // {w.PER_PAYLOAD} AS n FROM events GROUP BY 1)
   SELECT 'gdelt-conflict' AS source_id, n % 4 = 3 AS ok, CASE n % 4 WHEN 0 THEN 'rate limited' WHEN 1 THEN 'empty body' WHEN 2 THEN 'HTTP 503' END AS error, count(*) AS n FROM p GROUP BY 1, 2, 3"""
 

@@ -5,12 +5,13 @@ Each takes (spark, sf_dir) and returns a DataFrame over whole tables.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweft.functions import geo, grading, text, times
+from newsweft.functions.geo import zone_of
 from newsweft.operators import alerts, geojoin, health, language, merge, stories
 from newsweft.operators.assign import assign, route_exact, unseen, young_enough
 from newsweft.operators.classify import Classifier
@@ -22,13 +23,15 @@ from newsweft.plans import reports, workload
 from newsweft.plans.workload import keyed_stories, news, news_items, now_literal, read_news, stamp, table
 from newsweft.rules import book
 from newsweft.schemas import PLACE
-from newsweft.session import cut_lineage, spread
+from newsweft.session import cut_lineage, new_folder, spread
 from newsweft.sources.payloads import fetch_log, parse_payloads
 from newsweft.sources.registry import select_sources
-from newsweft.sources.store import SAVED_ITEMS, SAVED_STORIES, restore_items
+from newsweft.sources.store import SAVED_ITEMS, SAVED_STORIES, TableStore, load_snapshot, restore_items, save_snapshot
 
 CUT = "2024-01-16 00:00:00"  # splits the news into earlier stories and later items
 LATE = "2024-03-16 00:00:00"  # a clock at which part of the news is past retention
+RELOADED = "2024-03-29 00:00:00"  # a clock at which part of a snapshot's stories is stale
+ENTRIES = 229  # entries of the gazetteer
 
 
 @lru_cache(maxsize=1)
@@ -292,9 +295,14 @@ def enriched_items(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ stories
 
 
+def _one_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """Assigned items for queries that read them once: filters reach the scan."""
+    return keyed_stories(news_items(spark, sf, classifier()))
+
+
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
     """Assigned items, materialised once: the story tables are several aggregations over them."""
-    return cut_lineage(keyed_stories(news_items(spark, sf, classifier())))
+    return cut_lineage(_one_pass(spark, sf))
 
 
 def _news_view(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -312,11 +320,11 @@ def story_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retitle(spark: SparkSession, sf: str) -> DataFrame:
-    return stories.retitle_state(_keyed(spark, sf)).select("story_id", "retitle", stamp(F.col("retitled_at")).alias("retitled_at"))
+    return stories.retitle_state(_one_pass(spark, sf)).select("story_id", "retitle", stamp(F.col("retitled_at")).alias("retitled_at"))
 
 
 def story_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    return stories.build(_keyed(spark, sf)).tokens
+    return stories.build(_one_pass(spark, sf)).tokens
 
 
 def focus_place(spark: SparkSession, sf: str) -> DataFrame:
@@ -340,7 +348,7 @@ def first_report_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def first_reports_all(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts.first_report_alerts(_keyed(spark, sf)).select("story_id", "item_id", "title", "place", "severity", "reason")
+    return alerts.first_report_alerts(_one_pass(spark, sf)).select("story_id", "item_id", "title", "place", "severity", "reason")
 
 
 def visible_filtered(spark: SparkSession, sf: str) -> DataFrame:
@@ -394,10 +402,57 @@ def probe_timeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def story_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    rows = q.timeline(_keyed(spark, sf), "ukraine-war", now_literal(), kind="Article")
+    rows = q.timeline(_one_pass(spark, sf), "ukraine-war", now_literal(), kind="Article")
     return rows.drop("published", "language", "snippet")
 
 
+def visible_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    view, _ = _news_view(spark, sf)
+    return q.visible(view, now_literal(), category="NaturalDisaster").select("story_id", "title", "severity")
+
+
+def zone_places(spark: SparkSession, sf: str) -> DataFrame:
+    return q.zone_places(stories.build(_keyed(spark, sf)))
+
+
+def zone_of_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by the zone of the entry they point to, entry by entry."""
+    entries = book.gazetteer(spark).select("ord", "name", zone_of(F.col("lat"), F.col("lon")).alias("zone"))
+    pointed = workload.events(spark, sf).select((F.col("event_id") % ENTRIES).cast("int").alias("ord"))
+    return pointed.join(entries, "ord").groupBy("name", "zone").agg(F.count("*").alias("n"))
+
+
+def item_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that the detail view shows, for the newest item of each kind."""
+    assigned = _keyed(spark, sf)
+    newest = assigned.groupBy("kind").agg(F.max(F.struct("published", "id")).alias("x")).select("x.id")  # five ids
+    found = reduce(DataFrame.unionByName, [q.item_detail(assigned, r["id"]) for r in newest.collect()])
+    return found.select("id", "story_id", "title", "kind", "category", "severity", stamp(F.col("published")).alias("published"), F.col("place.name").alias("place"))
+
+
+def alert_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """First reports written as a committed version and read back."""
+    store = TableStore(spark, new_folder(spark, "alerts"))
+    store.save(0, {"alerts": alerts.first_report_alerts(_one_pass(spark, sf))})
+    return store.read(0, "alerts").select("story_id", "item_id", "title", "place", "severity", "reason")
+
+
+def snapshot_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot written and loaded again a month later, when some of its stories are stale."""
+    assigned = workload.user_timelines(spark, sf)
+    table_ = stories.story_table(stories.build(assigned, titles=False), stories.anchor_stories(spark))
+    store = TableStore(spark, new_folder(spark, "snapshot"))
+    save_snapshot(store, 0, table_, assigned, now_literal())
+    loaded = load_snapshot(store, F.lit(RELOADED).cast("timestamp"))
+    return loaded[1].groupBy("story_id").agg(F.count("*").alias("n"), F.min("id").alias("oldest_id"))
+
+
+def retired_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Stories that a maintenance run on a late clock keeps; anchors stay."""
+    state = merge.retire(stories.build(_keyed(spark, sf)), stories.anchor_stories(spark), F.lit(LATE).cast("timestamp"))
+    return state.core.select("story_id", stamp(F.col("last_update")).alias("last_update"))
+
+
 # ------------------------------------------------------------------ user timelines (large stories)
 
 
@@ -601,7 +656,7 @@ def feed_parse_channel(spark: SparkSession, sf: str) -> DataFrame:
 
 def feed_union(spark: SparkSession, sf: str) -> DataFrame:
     """All formats dispatched in one pass, counted per source."""
-    parts = [workload.payloads(spark, sf, f) for f in ("feed", "atom", "usgs", "eonet", "gdelt", "mastodon")]
+    parts = [workload.payloads(spark, sf, f) for f in ("feed", "atom", "gdacs", "usgs", "eonet", "gdelt", "bluesky", "mastodon", "telegram")]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -636,7 +691,8 @@ QUERIES = {
         page_snippets, page_restatements, social_posts, parsed_dates, ages, short_errors, zone_counts, region_counts, density_grid,
         nearest_marker, view_windows, dedupe_new_items, age_gate, assign_exact_tiers, enriched_items, story_table, retitle,
         story_centroids, focus_place, focus_edges, first_report_alerts, first_reports_all, visible_filtered, story_search, story_list,
-        category_header, overview, map_markers, probe_funnel, probe_stories, probe_timeline, story_timeline, heat_rank, latest_rank,
+        category_header, overview, map_markers, probe_funnel, probe_stories, probe_timeline, story_timeline, visible_by_category,
+        zone_places, zone_of_gazetteer, item_detail, alert_sink, snapshot_reload, retired_state, heat_rank, latest_rank,
         severity_rank, rank_position, trim_story_items, ticker, timeline_days, unread_counts, snapshot_rows, restore_merge,
         similarity_best, similarity_best_pruned, merge_pairs, merge_moves, story_assignment, source_health, poll_plan, health_by_kind,
         source_table, source_selection, feed_parse_rss, feed_parse_atom, feed_parse_hazards, feed_parse_quakes, feed_parse_natural,
