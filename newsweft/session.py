@@ -19,6 +19,7 @@ def local_session(cores: str = "*", name: str = "newsweft", **conf: str) -> Spar
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     for key, value in {**defaults, **conf}.items():

@@ -32,19 +32,34 @@ class TableStore:
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
     def manifest(self) -> DataFrame:
+        """One row per complete version of this format."""
         folder = f"{self.path}/_manifest"
         if not self._exists(folder):
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).json(folder)
+        return self.spark.read.schema(MANIFEST).json(folder).filter(F.col("format") == FORMAT).dropDuplicates(["version"])
 
     def versions(self) -> list[int]:
-        """Complete versions of this format, oldest first (one manifest row each)."""
-        rows = self.manifest().filter(F.col("format") == FORMAT).select("version").distinct().orderBy("version").collect()
-        return [r["version"] for r in rows]
-
-    def latest(self, before: int | None = None) -> int | None:
-        known = [v for v in self.versions() if before is None or v < before]
-        return known[-1] if known else None
+        """Numbers of the complete versions, oldest first."""
+        return [r["version"] for r in self.manifest().select("version").orderBy("version").collect()]
+
+    def latest(self, before: int | None = None, table: str | None = None) -> int | None:
+        """Newest complete version, of those that have ``table`` if one is named."""
+        rows = self.manifest()
+        if before is not None:
+            rows = rows.filter(F.col("version") < before)
+        if table is not None:
+            rows = rows.filter(F.array_contains("tables", table))
+        return rows.agg(F.max("version")).first()[0]
+
+    def has(self, version: int) -> bool:
+        return not self.manifest().filter(F.col("version") == version).isEmpty()
+
+    def between(self, first: int, before: int | None, table: str) -> list[int]:
+        """Complete versions after ``first`` that have ``table``; as many as there are between two compactions."""
+        rows = self.manifest().filter((F.col("version") > first) & F.array_contains("tables", table))
+        if before is not None:
+            rows = rows.filter(F.col("version") < before)
+        return [r["version"] for r in rows.select("version").orderBy("version").collect()]
 
     def write(self, version: int, tables: dict[str, DataFrame]) -> None:
         """Write the tables of a version; not visible before ``commit``."""
@@ -63,19 +78,29 @@ class TableStore:
         return self.spark.read.parquet(self._folder(version, table))
 
     def read_all(self, table: str, up_to: int | None = None) -> DataFrame | None:
-        """An append-only table: the rows of all complete versions, pruned by folder."""
-        known = [v for v in self.versions() if up_to is None or v <= up_to]
-        folders = [self._folder(v, table) for v in known if self._exists(self._folder(v, table))]
-        if not folders:
+        """An append-only table: the rows of all complete versions, joined with the manifest by version."""
+        if self.latest(None if up_to is None else up_to + 1, table) is None:
             return None
-        return self.spark.read.option("basePath", f"{self.path}/{table}").parquet(*folders).drop("version")
+        complete = self.manifest().filter(F.array_contains("tables", table)).select("version")
+        if up_to is not None:
+            complete = complete.filter(F.col("version") <= up_to)
+        rows = self.spark.read.parquet(f"{self.path}/{table}")
+        return rows.withColumn("version", F.col("version").cast("long")).join(complete, "version", "left_semi").drop("version")
+
+    def expire(self, version: int, tables: list[str]) -> None:
+        """Delete the given tables of one version; a version without them is left alone."""
+        for name in tables:
+            folder = self._folder(version, name)
+            if self._exists(folder):
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def readable(self, names: list[str]) -> int | None:
-        """Newest version whose tables can be opened; broken ones are skipped."""
+        """Newest version whose tables can be read to the last row; broken ones are skipped."""
         for version in reversed(self.versions()):
             try:
                 for name in names:
-                    self.read(version, name).schema
+                    self.read(version, name).write.format("noop").mode("overwrite").save()
                 return version
             except Exception as error:  # a damaged version must not stop the restore
                 print(f"skipping version {version}: {str(error).splitlines()[0]}")

@@ -1,13 +1,14 @@
 """Structured Streaming: landed payloads to items, stories and alerts.
 
-Each micro-batch runs the batch operators in ``foreachBatch`` and commits one version
-of the state.  A batch that is run again finds its version committed and does nothing,
-or replaces what the failed run wrote.
+Each micro-batch runs the batch operators in ``foreachBatch`` and commits one version: the
+rows of the stories it touched, and every ``maintain_every`` batches, after retiring and folding, the whole
+state.  A batch that is run again finds its version committed and does nothing, or replaces what the failed run wrote.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +21,15 @@ from newsweft.operators.enrich import MIN_RELEVANCE, enrich
 from newsweft.operators.language import flag_foreign
 from newsweft.operators.merge import maintain
 from newsweft.operators.similarity import HOT_DF
-from newsweft.operators.stories import StoryState, anchor_stories, empty_state
+from newsweft.operators.stories import StoryState, anchor_stories, build, combine, empty_state
+from newsweft.functions.times import RETENTION_HOURS
 from newsweft.schemas import RAW_PAYLOADS
 from newsweft.session import cut_lineage
 from newsweft.sources.payloads import fetch_log, parse_payloads
 from newsweft.sources.store import TableStore
 
 STATE_TABLES = ["core", "tokens", "places", "sources"]
+KEPT_STATES = 2  # compacted states that stay readable
 
 
 def payload_stream(spark: SparkSession, path: str, file_format: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -48,7 +51,7 @@ class Monitor:
     anchors: DataFrame
     min_relevance: int = MIN_RELEVANCE
     language_model: DataFrame | None = None
-    maintain_every: int = 1
+    maintain_every: int = 8
     hot_df: int = HOT_DF
 
     @staticmethod
@@ -57,17 +60,29 @@ class Monitor:
         return Monitor(spark, TableStore(spark, path), sources, c, anchor_stories(spark, c.book), **options)
 
     def state(self, before: int | None = None) -> StoryState:
-        version = self.store.latest(before)
-        if version is None:
+        """The last compacted state and what later batches added to it."""
+        base = self.store.latest(before, "core")
+        parts = [] if base is None else [StoryState(**{name: self.store.read(base, name) for name in STATE_TABLES})]
+        for version in self.store.between(-1 if base is None else base, before, "core_added"):
+            parts.append(StoryState(**{name: self.store.read(version, f"{name}_added") for name in STATE_TABLES}))
+        if not parts:
             return empty_state(self.spark)
-        return StoryState(**{name: self.store.read(version, name) for name in STATE_TABLES})
+        return parts[0] if len(parts) == 1 else combine(parts)
 
     def redirects(self, before: int | None = None) -> DataFrame:
-        version = self.store.latest(before)
+        version = self.store.latest(before, "redirects")
         if version is None:
             return self.spark.createDataFrame([], "story_id string, target_id string")
         return self.store.read(version, "redirects")
 
+    def known_ids(self, since: datetime | None, before: int) -> DataFrame | None:
+        """Ids that a new item may repeat: older items are turned away by their age, unless anchored."""
+        stored = self.store.read_all("items", before - 1)
+        if stored is None or since is None:
+            return None
+        needed = (F.col("published") >= F.lit(since) - F.expr(f"INTERVAL {RETENTION_HOURS + 1} HOURS")) | F.col("anchor_id").isNotNull()
+        return stored.filter(needed).select("id")
+
     def items(self) -> DataFrame | None:
         """All items with the story they belong to now (folded stories resolved)."""
         stored = self.store.read_all("items")
@@ -78,7 +93,7 @@ class Monitor:
 
     def process(self, payloads: DataFrame, batch_id: int) -> None:
         """One micro-batch; safe to repeat."""
-        if batch_id in self.store.versions():
+        if self.store.has(batch_id):
             return
         enriched = enrich(parse_payloads(payloads, self.sources, self.classifier), self.sources, self.classifier, self.min_relevance)
         if self.language_model is not None:
@@ -88,24 +103,32 @@ class Monitor:
 
     def process_items(self, items: DataFrame, batch_id: int, landed: DataFrame | None = None) -> None:
         """The stateful half, for items from any source."""
-        if batch_id in self.store.versions():
+        if self.store.has(batch_id):
             return
         before = self.state(batch_id)
-        known = self.store.read_all("items", batch_id - 1)
-        result = assign(items, before, self.anchors, F.col("fetched"), known, self.hot_df)
-        alerts = first_report_alerts(result.items, before.core)
-        state, redirects = result.state, self.redirects(batch_id)
-        if self.maintain_every and (batch_id + 1) % self.maintain_every == 0:
-            newest = result.items.agg(F.max("fetched")).collect()[0][0]
-            if newest is not None:
-                state, moves = maintain(state, self.anchors, F.lit(newest))
-                redirects = compose_redirects(redirects, moves)
-        tables = {"items": result.items, "alerts": alerts, **state.tables(), "redirects": redirects}
+        oldest, newest = items.agg(F.min("fetched"), F.max("fetched")).first()
+        result = assign(items, before, self.anchors, F.col("fetched"), self.known_ids(oldest, batch_id), self.hot_df)
+        tables = {"items": result.items, "alerts": first_report_alerts(result.items, before.core)}
+        compact = bool(self.maintain_every) and (batch_id + 1) % self.maintain_every == 0
+        if compact and newest is not None:
+            state, moves = maintain(result.state, self.anchors, F.lit(newest))
+            tables |= {**state.tables(), "redirects": compose_redirects(self.redirects(batch_id), moves)}
+        else:
+            # only the stories that the batch touched: one row each
+            tables |= {f"{name}_added": table for name, table in build(result.items).tables().items()}
         if landed is not None:
             named = self.sources.select("source_id", F.col("name").alias("source"))
             counts = items.select("source", "fetched").join(named, "source")
             tables["fetch_log"] = fetch_log(landed, self.sources, counts)
         self.store.save(batch_id, tables)
+        if compact:
+            self.expire(batch_id)
+
+    def expire(self, batch_id: int) -> None:
+        """Drop the states that lie ``KEPT_STATES`` compactions back; items, alerts and logs stay."""
+        last = batch_id - KEPT_STATES * self.maintain_every
+        for version in range(max(0, last - self.maintain_every + 1), last + 1):
+            self.store.expire(version, [n + end for n in STATE_TABLES for end in ("", "_added")])
 
     def start(self, payloads: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Start the stream; ``trigger`` as in ``DataStreamWriter.trigger`` (default: what is there now)."""

@@ -172,3 +172,19 @@ def test_health_stream(spark, tmp_path):
     query.awaitTermination(120)
     row = spark.sql("SELECT * FROM health").collect()[0]
     assert (row["fetches"], row["failures"], row["items_total"], row["last_ok"]) == (2, 1, 5, T0)
+
+
+def test_a_batch_writes_the_stories_it_touched(spark, classifier, tmp_path):
+    monitor = Monitor.create(spark, str(tmp_path), book.sources(spark), classifier, maintain_every=3)
+    monitor.process(spark.createDataFrame(FIRST, RAW_PAYLOADS), 0)
+    monitor.process(spark.createDataFrame(SECOND, RAW_PAYLOADS), 1)
+    touched = monitor.store.read(1, "items").select("story_id").distinct().count()
+    assert monitor.store.read(1, "core_added").count() == touched
+    assert monitor.store.latest(table="core") is None
+    added = {tuple(r) for r in stories.story_table(monitor.state(), monitor.anchors).select("story_id", "n_items").collect()}
+    monitor.process(spark.createDataFrame(SECOND, RAW_PAYLOADS), 2)  # repeats only, and the compaction
+    assert monitor.store.latest(table="core") == 2 and monitor.store.read(2, "items").count() == 0
+    whole = {tuple(r) for r in stories.story_table(monitor.state(), monitor.anchors).select("story_id", "n_items").collect()}
+    assert added == whole
+    known = monitor.known_ids(T0 + hours(2000), 3)
+    assert {r["id"] for r in known.collect()} == {r["id"] for r in monitor.items().filter("anchor_id is not null").collect()}
