@@ -19,6 +19,7 @@ a larger batch the word counts of a story do not move between its items.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,21 +166,26 @@ def backfill(
     """Assign a long history slice by slice (by ``fetched``), the state carried along.
 
     Slices keep each similarity join small: most items of a slice meet a story that
-    an earlier slice has founded.  The number of slices is small; each is one batch.
+    an earlier slice has founded.  A slice is read with literal time bounds, which a reader can
+    prune; ids are kept as long as an item of that age could come again.
     """
-    sliced = items.withColumn("_slice", F.window("fetched", every)["end"])
-    ends = [r["_slice"] for r in sliced.select("_slice").distinct().orderBy("_slice").collect()]
+    window = F.window("fetched", every)
+    first, last = items.agg(F.min(window["start"]), F.max(window["start"])).first()
+    if first is None:
+        raise ValueError("no items to assign")
+    step = F.expr(f"INTERVAL {every}")
+    starts = F.explode(F.sequence(F.lit(first), F.lit(last), step)).alias("start")
+    bounds = items.sparkSession.range(1).select(starts).select("start", (F.col("start") + step).alias("end")).collect()
     done: list[DataFrame] = []
     known: DataFrame | None = None
-    for end in ends:
-        part = sliced.filter(F.col("_slice") == F.lit(end)).drop("_slice")
+    for start, end in bounds:
+        part = items.filter((F.col("fetched") >= F.lit(start)) & (F.col("fetched") < F.lit(end)))
+        if part.isEmpty():
+            continue
         result = assign(part, state, anchors, F.lit(end), known, hot_df)
         state = result.state.map(cut_lineage)
         done.append(result.items)
-        known = result.items.select("id") if known is None else known.unionByName(result.items.select("id"))
-    if not done:
-        raise ValueError("no items to assign")
-    merged = done[0]
-    for more in done[1:]:
-        merged = merged.unionByName(more)
-    return Assignment(merged, state)
+        ids = result.items.select("id", "published", "anchor_id")
+        wanted = (F.col("published") >= F.lit(end) - F.expr(f"INTERVAL {RETENTION_HOURS + 1} HOURS")) | F.col("anchor_id").isNotNull()
+        known = cut_lineage((ids if known is None else known.unionByName(ids)).filter(wanted))
+    return Assignment(reduce(DataFrame.unionByName, done), state)
