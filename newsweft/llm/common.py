@@ -39,4 +39,18 @@ def spans_text(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-__all__ = ["cut_lineage", "documents", "ready", "sha256", "spans_text", "texts"]
+def keep_partitions(frame: DataFrame) -> DataFrame:
+    """A checkpoint whose partitioning later groupings by the same key use without another shuffle.
+
+    Adaptive plans do not report their partitioning, so this one job runs without.
+    """
+    conf = frame.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(frame)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+__all__ = ["cut_lineage", "documents", "keep_partitions", "ready", "sha256", "spans_text", "texts"]

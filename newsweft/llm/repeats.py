@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweft.llm.common import cut_lineage, texts
+from newsweft.llm.common import cut_lineage, keep_partitions, texts
 
 LENGTH = 50
 TRIGGER = 12
 PERIOD = 128  # a power of two
 GRAM = 16
-HOME = 8_000_000  # bytes of text in a home
+HOME = 8_000_000  # bytes of text in a home; smaller ones leave too little in a packed row to compress
 CHUNK = 200_000  # bytes parsed at once: the arrays of a chunk stay in the cache
 RUN = 4096  # windows in a run
 HOT = 256
@@ -149,11 +149,14 @@ class Parse:
         return np.repeat(np.arange(len(self.starts)), self.sizes)
 
     def anchors(self) -> np.ndarray:
-        """The anchor of every window. 48 bits of the hash do, as a false twin costs a comparison only."""
+        """The anchor of every window, mixed once more, since least values crowd at the low end of the ranges.
+
+        48 bits of the hash do, as a false twin costs a comparison only.
+        """
         if not len(self.at):
             return np.zeros(0, dtype=np.uint64)
         gram = rolling(self.array, GRAM)
-        return least_of(gram & np.uint64(0xFFFFFFFFFFFF0000), LENGTH - GRAM + 1)[self.at]
+        return _mix(least_of(gram, LENGTH - GRAM + 1)[self.at]) & np.uint64(0xFFFFFFFFFFFF0000)
 
     def hashes(self, at: np.ndarray) -> np.ndarray:
         """128-bit hashes of the windows at some positions."""
@@ -336,7 +339,7 @@ def _repeated_runs(table: pa.Table) -> list[tuple]:
     at = _joined(first, rows["size"].astype(np.int64))
     run = np.repeat(np.arange(len(rows)), rows["size"])
     h = rolling(array, LENGTH)[at]
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h, kind="stable")  # by hash
     group = np.flatnonzero(_breaks(h[order]))
     sizes = np.diff(np.append(group, len(order)))
     low = rows["low"][run[order]]
@@ -517,7 +520,7 @@ def remove_repeats(documents: DataFrame, with_bytes: bool = False) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     homes = max(1, math.ceil(size / HOME))
     packed = rows.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int")).mapInArrow(_pack, DOCS)
-    docs = cut_lineage(packed.repartition(homes, "home"))
+    docs = keep_partitions(packed.repartition(homes, "home"))
     sent = docs.groupBy("home").applyInArrow(_parsed(homes), SENT)
     known = cut_lineage(sent.groupBy("bucket").applyInArrow(_compared, BACK))
     asked = docs.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_asked(homes), SENT)
