@@ -12,7 +12,7 @@ scored exactly from the highest bound down until the next bound is below the k-t
 the result is left out. The k best of every shard are merged by (score, id).
 
 Defined results: a query without a term, or that shares no term with any document, has no rows; fewer than k matches give
-fewer rows; ties go to the smaller id; rows with a null id take no part; a null text is empty; repeated rows are
+fewer rows; scores have six decimals and ties go to the smaller id; rows with a null id take no part; a null text is empty; repeated rows are
 documents of their own, and a repeated query id is one query with the least of its texts; other columns are ignored. A query
 row finds itself like any other document.
 """
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from newsweft.llm.common import cut_lineage, texts
 
 K1, B = 1.2, 0.75
-BLOCK = 64  # documents in a block of the index
-SHARD = 48_000_000  # bytes of text in a shard
+BLOCK = 32  # documents in a block of the index
+SHARD = 32_000_000  # bytes of text in a shard
 QUERIES = 8192  # queries in a block
+DENSE = 16  # a term in more than 1/16 of a shard's documents is kept as a row of a matrix
+DIGITS = 6  # decimals of a score
 SLACK = 1e-9  # bounds and scores add up in different orders
 WORD = re.compile(r"\w+")
 
@@ -87,15 +89,26 @@ class BlockMaxIndex:
         self.block = block
         self.blocks = -(-len(order) // block)
         term = np.concatenate([docs[i][0] for i in order] or [np.zeros(0, np.int64)])
-        tf = np.concatenate([docs[i][1] for i in order] or [np.zeros(0, np.int64)]).astype(np.float64)
+        tf = np.concatenate([docs[i][1] for i in order] or [np.zeros(0, np.int64)])
         doc = np.repeat(np.arange(len(order)), [len(docs[i][0]) for i in order])
+        docs.clear()
         at = np.minimum(np.searchsorted(wanted, term), max(0, len(wanted) - 1))
         asked = wanted[at] == term if len(wanted) else np.zeros(len(term), dtype=bool)
         at, tf, doc = at[asked], tf[asked], doc[asked]
         by = np.argsort(at, kind="stable")
-        at, tf, self.doc = at[by], tf[by], doc[by]
+        at, tf, doc = at[by], tf[by], doc[by]
         norm = K1 * (1 - B + B * lengths[order] / mean)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
+        impact = tf * (K1 + 1) / (tf + norm[doc])
+        # postings of terms in many documents are rows of a matrix
+        n, df = len(order), np.bincount(at, minlength=len(wanted))
+        common = np.flatnonzero(df > max(block, n // DENSE))
+        self.row = np.full(len(wanted), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((self.blocks, len(common), block))
+        long = self.row[at] >= 0
+        self.dense[doc[long] // block, self.row[at[long]], doc[long] % block] = impact[long]
+        self.dense_max = np.ascontiguousarray(self.dense.max(axis=2).T)
+        at, self.doc, self.impact = at[~long], doc[~long], impact[~long]
         cell = at * max(1, self.blocks) + self.doc // block
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell_start = first
@@ -106,30 +119,39 @@ class BlockMaxIndex:
         self.term_start, self.term_size = edges[:-1], np.diff(edges)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best; ``terms`` are positions among the wanted terms, ascending."""
+        """Ids and scores of the k best; ``terms`` are positions among the wanted terms.
+
+        Scores are rounded to ``DIGITS`` before they are compared, so sums taken in another order tie.
+        """
+        rows = self.row[terms]
+        rows, heavy = rows[rows >= 0], weights[rows >= 0]
+        terms, weights = terms[self.row[terms] < 0], weights[self.row[terms] < 0]
         sizes = self.term_size[terms]
         cells = _joined(self.term_start[terms], sizes)
-        if not len(cells):
-            return np.zeros(0, np.int64), np.zeros(0)
         weight = np.repeat(weights, sizes)
         where = self.cell_block[cells]
-        bound = np.bincount(where, weights=weight * self.cell_max[cells], minlength=self.blocks)
+        bound = np.bincount(where, weights=weight * self.cell_max[cells], minlength=self.blocks) + heavy @ self.dense_max[rows]
         ranked = np.argsort(-bound, kind="stable")
+        bound = bound[ranked] * (1 + SLACK) + 10.0**-DIGITS
         ids, scores, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
-        while at < self.blocks and bound[ranked[at]] > 0 and bound[ranked[at]] * (1 + SLACK) >= least:
-            some = ranked[at : at + step]
-            some = some[(bound[some] > 0) & (bound[some] * (1 + SLACK) >= least)]
+        while at < self.blocks and bound[at] >= least:
+            some = ranked[at : at + step][bound[at : at + step] >= least]
             at, step = at + step, min(step * 2, 64)
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[some] = True
-            inside = chosen[where]
+            slot = np.full(self.blocks, -1)
+            slot[some] = np.arange(len(some))
+            inside = np.flatnonzero(slot[where] >= 0)
             take = cells[inside]
             count = self.cell_size[take]
-            rows = _joined(self.cell_start[take], count)
-            docs = self.doc[rows]
-            total = np.bincount(docs, weights=np.repeat(weight[inside], count) * self.impact[rows], minlength=len(self.names))
-            hit = np.flatnonzero(total)
-            ids, scores = np.concatenate([ids, self.names[hit]]), np.concatenate([scores, total[hit]])
+            postings = _joined(self.cell_start[take], count)
+            place = slot[self.doc[postings] // self.block] * self.block + self.doc[postings] % self.block
+            total = np.bincount(place, weights=np.repeat(weight[inside], count) * self.impact[postings], minlength=len(some) * self.block)
+            if len(rows):
+                total = total + (heavy @ self.dense[some[:, None], rows]).ravel()
+            docs = (some[:, None] * self.block + np.arange(self.block)).ravel()
+            total = np.round(total, DIGITS)
+            hit = np.flatnonzero(total >= max(least, 10.0**-DIGITS))
+            # places behind the last document score nothing and are never hit
+            ids, scores = np.concatenate([ids, self.names[docs[hit]]]), np.concatenate([scores, total[hit]])
             if len(ids) > k:
                 best = np.lexsort([ids, -scores])[:k]
                 ids, scores = ids[best], scores[best]
@@ -139,17 +161,24 @@ class BlockMaxIndex:
         return ids[best], scores[best]
 
 
-def _searcher(k: int, mean: float):
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and where each list ends."""
+    array = column.combine_chunks()
+    return array.flatten().to_numpy(zero_copy_only=False), np.cumsum(array.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _searcher(k: int, number: float, mean: float):
     def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
         names, found = ["query_id", "doc_id", "score"], []
         if docs.num_rows and queries.num_rows:
-            terms = [np.array(t, dtype=np.int64) for t in queries.column("terms").to_pylist()]
-            weights = [np.array(w, dtype=np.float64) for w in queries.column("weights").to_pylist()]
-            wanted = np.unique(np.concatenate(terms))
-            index = BlockMaxIndex(docs.column("doc_id").to_pylist(), [_terms(t) for t in docs.column("text").to_pylist()], wanted, mean)
-            for name, term, weight in zip(queries.column("query_id").to_pylist(), terms, weights):
-                order = np.argsort(term)
-                ids, scores = index.search(np.searchsorted(wanted, term[order]), weight[order], k)
+            terms, ends = _lists(queries.column("terms"))
+            tf, df = _lists(queries.column("tf"))[0], _lists(queries.column("df"))[0]
+            weights = tf * np.log1p((number - df + 0.5) / (df + 0.5))
+            wanted = np.unique(terms)
+            index = BlockMaxIndex(docs.column("doc_id").to_pylist(), [_terms(t.as_py()) for t in docs.column("text")], wanted, mean)
+            for name, start, end in zip(queries.column("query_id").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                order = np.argsort(terms[start:end])
+                ids, scores = index.search(np.searchsorted(wanted, terms[start:end][order]), weights[start:end][order], k)
                 found.append((np.full(len(ids), name, dtype=np.int64), ids, scores))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(c) for c in columns], names=names)
@@ -163,21 +192,23 @@ def top_k(documents: DataFrame, queries: DataFrame, k: int = 10, shard: int = SH
     asked = queries.filter("query_id is not null").groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     parts = cut_lineage(asked.mapInArrow(_query_rows, "query_id long, term long, tf long"))
     counted = docs.mapInArrow(_term_rows, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    known = cut_lineage(counted.join(parts.select("term").distinct(), "term", "left_semi").select("term", "n", "words").union(counted.filter("term is null")))
+    # the null term stands for the counts of documents and words
+    terms = parts.select(F.col("term").alias("_term")).distinct().union(docs.sparkSession.range(1).select(F.lit(None).cast("long")))
+    known = cut_lineage(counted.join(terms, counted["term"].eqNullSafe(terms["_term"]), "left_semi"))
     whole = known.filter("term is null").first()
     number, words = (whole.n, whole.words) if whole and whole.n else (0, 0)
     mean = max(1.0, words / max(1, number))
-    idf = F.log1p((F.lit(float(number)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighted = (
         parts.join(known.filter("term is not null").select("term", "n"), "term")
         .groupBy("query_id")
-        .agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("tf") * idf).alias("weights"))
+        .agg(F.collect_list(F.struct("term", "tf", "n")).alias("all"))
+        .select("query_id", F.col("all.term").alias("terms"), F.col("all.tf").cast("array<int>").alias("tf"), F.col("all.n").cast("array<long>").alias("df"))
     )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / shard))
     blocks = max(1, math.ceil(asked.count() / block))
     left = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = weighted.select("query_id", "terms", "weights", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_searcher(k, mean), "query_id long, doc_id long, score double")
+    right = weighted.select("query_id", "terms", "tf", "df", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_searcher(k, float(number), mean), "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id")))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -192,19 +192,40 @@ def test_top_k(spark, shard):
         assert r.doc_id == i or r.doc_id in near_tie or len(near_tie) > 1
 
 
-def test_pruning_leaves_blocks_unscored():
+@pytest.mark.parametrize("block, dense", [(4, 16), (32, 16), (8, 2)])
+def test_block_max_index(block, dense, monkeypatch):
+    """Random texts: the k best are those of scoring everything, whatever is kept as rows."""
+    monkeypatch.setattr(search, "DENSE", dense)
+    rnd = np.random.default_rng(block)
+    docs = []
+    for _ in range(300):
+        keys, tf = np.unique(rnd.zipf(1.3, 60).clip(0, 400), return_counts=True)
+        docs.append((keys, tf))
+    wanted = np.arange(0, 401, 2)
+    index = search.BlockMaxIndex(list(range(300)), list(docs), wanted, 60.0, block=block)
+    for _ in range(40):
+        terms = np.unique(rnd.integers(0, len(wanted), 12))
+        weights = rnd.random(len(terms)) * 5
+        scores = np.zeros(300)
+        for i, (keys, tf) in enumerate(docs):
+            for t, w in zip(terms, weights):
+                n = int(tf[keys == wanted[t]].sum())
+                scores[i] += w * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * int(tf.sum()) / 60.0)) if n else 0
+        want = sorted((-round(x, 6), i) for i, x in enumerate(scores) if x > 0)[:7]
+        ids, found = index.search(terms, weights, 7)
+        assert [(i, pytest.approx(-s, abs=2e-6)) for s, i in want] == list(zip(ids.tolist(), found.tolist()))
+
+
+def test_pruning_leaves_blocks_unscored(monkeypatch):
     """A query that one block answers does not score the others."""
     docs = [(np.array([1, 2, 100 + i // 8]), np.array([1, 1, 1])) for i in range(800)]
     wanted = np.array([1, 2, *range(100, 200)])
     index = search.BlockMaxIndex(list(range(800)), docs, wanted, 3.0, block=8)
-    seen = []
-    real = np.bincount
-    try:
-        np.bincount = lambda x, **k: seen.append(len(x)) or real(x, **k)
-        ids, _ = index.search(np.array([0, 1, 2]), np.array([0.01, 0.01, 9.0]), 8)
-    finally:
-        np.bincount = real
-    assert sorted(ids) == list(range(8)) and sum(seen[1:]) < 200
+    scored = []
+    real = np.round
+    monkeypatch.setattr(np, "round", lambda x, d: scored.append(len(x)) or real(x, d))
+    ids, _ = index.search(np.array([0, 1, 2]), np.array([0.01, 0.01, 9.0]), 8)
+    assert sorted(ids) == list(range(8)) and sum(scored) < 200
 
 
 def test_empty_tables(spark, write):
