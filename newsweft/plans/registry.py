@@ -16,7 +16,7 @@ from newsweft.operators import alerts, geojoin, health, language, merge, stories
 from newsweft.operators.assign import assign, route_exact, unseen, young_enough
 from newsweft.operators.classify import Classifier
 from newsweft.operators.dictmatch import TermPattern, keyword_hits
-from newsweft.operators.enrich import enrich
+from newsweft.operators.enrich import MIN_RELEVANCE, UNGATED_KINDS, enrich
 from newsweft.operators.similarity import best_story, scored_pairs
 from newsweft.plans import queries as q
 from newsweft.plans import reports, workload
@@ -387,8 +387,13 @@ def map_markers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def probe_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    view, assigned = _news_view(spark, sf)
-    return q.funnel(workload.events(spark, sf), assigned.filter(F.col("relevance") >= 4), view)
+    """Kept: ids that pass the noise veto and the relevance gate of ``enrich``, each once."""
+    view, _ = _news_view(spark, sf)
+    read = read_news(spark, sf, classifier())
+    kind = workload.mapped(F.col("event_type"), workload.SOURCE_KINDS)
+    relevant = kind.isin(*UNGATED_KINDS) | F.col("_read.anchor").isNotNull() | (F.col("_read.guess")["score"] >= MIN_RELEVANCE)
+    kept = read.filter(F.col("event_key").isNotNull() | ~F.col("_read.noise")).filter(relevant)
+    return q.funnel(workload.events(spark, sf), kept.select("id").distinct(), view)
 
 
 def probe_stories(spark: SparkSession, sf: str) -> DataFrame:
