@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweft.llm import bpe, linededup, packing, pii, quality, repeats, search, secrets, simhash, tokenfile
+from newsweft.llm import bpe, chat, linededup, packing, periodic, pii, quality, repeats, search, secrets, simhash, tokenfile, whitening
 from newsweft.llm.common import documents, sha256, spans_text
 
 QUERY_STEP = 50  # queries of a search: rows whose id is divisible by this
@@ -74,7 +76,50 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", sha256(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_secrets, op4_repeats, op5_search, op6_quality, op7_pii, op8_tokenfile, op9_packing, op10_linededup)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def planted_period(name: int | None, words: list[str]) -> list[str]:
+    """One text in ten repeats a stretch of its words to its end; which and how follows from its id."""
+    h, n = zlib.crc32(str(name).encode()), len(words)
+    if name is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    stretch = words[a : a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (stretch * -(-(n - a) // len(stretch)))[: n - a]
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(documents(spark, sf_dir), planted_period)
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = found.withColumn("best", F.array_max(ranked))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        sha256(F.array_join(listed, "")).alias("runs_sha256"),
+        sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+MARKED = "\\### Assistant: </turn> ok"  # a text made of what the template uses
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    folder = tokenfile.shared_folder(spark, "formatted")
+    chat.write_formatted(chat.event_log(rows.union(added)), folder)
+    return chat.read_back(chat.read_formatted(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_secrets, op4_repeats, op5_search, op6_quality, op7_pii, op8_tokenfile, op9_packing, op10_linededup, op11_whitening, op12_runs, op13_chat)}
 
 # A line is spread over the sites of all documents that have it; it stays in the first of them.
 ORACLE = {
