@@ -57,6 +57,8 @@ EXPRESSIONS = {
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
     "pem": re.compile(r"-----BEGIN ([A-Z]+ )?PRIVATE KEY-----([A-Za-z0-9+/=\s]++)-----END \1?PRIVATE KEY-----"),
 }
+# what a failed web token has read; no other token begins in it
+PARTS = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)?")
 HEX = re.compile(r"[0-9a-f]{24,}")
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -141,6 +143,8 @@ class Scanner:
                 over[kind] = match.end()
                 if _proven(kind, match):
                     found.append((kind, start, match.end()))
+            elif kind == "jwt":
+                over[kind] = PARTS.match(text, start).end() if text.startswith("eyJ", start) else start + 1
         found.extend(("hex", m.start(), m.end()) for m in HEX.finditer(text))
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
