@@ -29,6 +29,12 @@ def texts(frame: DataFrame) -> DataFrame:
     return frame.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def set_aside(frame: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``frame`` with each column that is not ``used`` under a name that no operator uses, and what to select for the old names."""
+    inside = [c if c in used else f"in__{i}" for i, c in enumerate(frame.columns)]
+    return frame.toDF(*inside), [F.col(i).alias(c) for i, c in zip(inside, frame.columns)]
+
+
 def sha256(value: Column) -> Column:
     """Lowercase hex of SHA-256 over the UTF-8 bytes."""
     return F.sha2(value.cast("binary"), 256)
@@ -53,4 +59,4 @@ def keep_partitions(frame: DataFrame) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-__all__ = ["cut_lineage", "documents", "keep_partitions", "ready", "sha256", "spans_text", "texts"]
+__all__ = ["cut_lineage", "documents", "keep_partitions", "ready", "set_aside", "sha256", "spans_text", "texts"]

@@ -6,15 +6,15 @@ cutoff of its stratum (its language) is rejected.
 
 Cutoffs come from labelled documents and are risk-controlled:
 
-* labelled documents are dealt by a hash of the id into a fitting half and a holdout half;
+* labelled documents are dealt by a hash of the text, so copies together, into a fitting half and a holdout half;
 * for each (stratum, feature, cutoff of the fixed grid) the holdout gives n good documents and k of them
-  falsely rejected; a cutoff is certified if the exact binomial tail P(Bin(n, alpha) <= k) is at most
+  falsely rejected; a cutoff is certified if the exact binomial tail P(Bin(n, alpha / features) <= k) is at most
   delta / (number of strata x features x cutoffs), that is, if the exact upper confidence bound of the false
-  rejection rate is below alpha, with Bonferroni correction over all tests;
+  rejection rate is below the rule's part of alpha, with Bonferroni correction over all tests;
 * of the certified cutoffs the one with the best balance on the fitting half is taken
   (bad ones caught, less ``PENALTY`` times the good ones lost; none if that is not positive).
 
-So with probability 1 - delta no rule rejects more than alpha of the good documents of any stratum, whichever
+So with probability 1 - delta the rules together reject no more than alpha of the good documents of any stratum, whichever
 cutoffs are taken.  A stratum with too few labels certifies nothing and rejects by the base rule alone.
 
 Only DataFrame functions are used, and nothing but counts is shuffled.  Defined results: a null text
@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweft.functions.binding import let
-from newsweft.llm.common import cut_lineage
+from newsweft.llm.common import cut_lineage, set_aside
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-ALPHA = 0.01  # false rejections allowed per rule and stratum
+ALPHA = 0.01  # false rejections allowed per stratum, all rules together
 DELTA = 0.05  # chance that any certified bound is wrong
 PENALTY = 20  # good documents lost weigh so many times a bad one caught
 MIN_WORDS = 50
@@ -97,6 +97,7 @@ def measure(documents: DataFrame) -> DataFrame:
         _repeat_words(F.col("_hashes")).cast("long").alias("n_repeat_words"),
         F.col("n_lines").cast("long").alias("n_lines"),
         F.col("n_capitals").cast("long").alias("n_capitals"),
+        F.xxhash64(text).alias("text_hash"),
     )
 
 
@@ -132,10 +133,10 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "la
     names = list(GRID)
     good = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("_id"), (F.col("quality") == 1).alias("good"))
     judged = measured.filter("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *[v.alias(k) for k, v in features().items()]
+        F.col("doc_id").cast("long").alias("_id"), "text_hash", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *[v.alias(k) for k, v in features().items()]
     )
     tests = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("cutoff"), (F.col(f) > c).alias("over")) for f in names for c in GRID[f]])).alias("t")
-    held = F.pmod(F.xxhash64("_id"), F.lit(2)) == 0
+    held = F.pmod("text_hash", F.lit(2)) == 0  # copies lie in one half
     counts = (
         judged.join(good, "_id")
         .select("stratum", "good", held.alias("held"), tests)
@@ -151,15 +152,17 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "la
     counts = cut_lineage(counts)
     number = max(1, counts.count())
     fit = F.col("caught") - PENALTY * F.col("lost")
-    passed = counts.filter((binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / number) & (fit > 0))
+    passed = counts.filter((binomial_tail(F.col("n"), F.col("k"), alpha / len(names)) <= delta / number) & (fit > 0))
     return passed.groupBy("stratum", "feature").agg(F.max(F.struct(fit.alias("fit"), F.col("cutoff"))).alias("best")).select("stratum", "feature", "best.cutoff")
 
 
 def judge(documents: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The input columns without the text, the measures, base_failed and kept.
+    """The input columns without the text, the measures, base_failed, kept and text_hash.
 
-    One row per input row.  The measures are written once to the shared folder.
+    One row per input row; a column of the input that has the name of one of these gives way to it.  The measures are written
+    once to the shared folder.
     """
+    documents, columns = set_aside(documents, "doc_id", "text", stratum)
     measured = cut_lineage(measure(documents).drop("text"))
     cutoffs = certified_cutoffs(measured, labels, stratum, alpha, delta)
     names = list(GRID)
@@ -172,7 +175,13 @@ def judge(documents: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
         rejected = rejected | F.coalesce(values[f] > F.col(f"_{f}"), F.lit(False))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     joined = measured.join(wide, F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("_stratum"), "left")
-    return joined.select(*measured.columns, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
+    own = [F.col(c) for c in measured.columns if c not in documents.columns]
+    judged = joined.select(*[c for i, c in zip(documents.columns, columns) if i != "text"], *own, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
+    new = len(documents.columns) - 1
+    taken = {c.lower() for c in judged.columns[new:]}
+    left = [i for i, c in enumerate(judged.columns) if i >= new or c.lower() not in taken]
+    names_now = judged.columns
+    return judged.toDF(*[f"c{i}" for i in range(len(names_now))]).select(*[F.col(f"c{i}").alias(names_now[i]) for i in left])
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -180,7 +189,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, stratum: str = "lang") ->
 
     Rows are matched to verdicts by id and text hash; equal rows share a verdict.
     """
-    marked = documents.withColumn("_row", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    verdicts = judge(marked, labels, stratum).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("_row").alias("_bad")).distinct()
-    kept = marked.join(verdicts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_bad")), "left_anti")
-    return kept.select(*documents.columns)
+    inner, columns = set_aside(documents, "doc_id", "text", stratum)
+    bad = judge(inner.select("doc_id", "text", stratum), labels, stratum).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_bad")).distinct()
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_bad"))
+    return inner.join(bad, own, "left_anti").select(*columns)

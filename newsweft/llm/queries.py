@@ -121,7 +121,7 @@ def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_secrets, op4_repeats, op5_search, op6_quality, op7_pii, op8_tokenfile, op9_packing, op10_linededup, op11_whitening, op12_runs, op13_chat)}
 
-# A line is spread over the sites of all documents that have it; it stays in the first of them.
+# A line is spread over the sites of all documents that have it, a short one over more; it stays in the first of them.
 ORACLE = {
     "op10_linededup": r"""
 WITH lines AS (
@@ -131,7 +131,8 @@ WITH lines AS (
 ), keyed AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM lines
 ), spread AS (
-  SELECT key, min(doc_id) AS first_id FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT source) >= 5
+  SELECT key, min(doc_id) AS first_id FROM keyed WHERE key <> '' GROUP BY key
+  HAVING count(DISTINCT source) >= 5 * power(greatest(ceil(20.0 / length(key)), 1), 2)
 )
 SELECT doc_id, count(*) AS n_lines, count(first_id) FILTER (doc_id > first_id) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (first_id IS NULL OR doc_id <= first_id), '')) AS kept_sha256
