@@ -83,6 +83,44 @@ def test_contexts_find_unseen_identifiers(spark, write):
     assert all("context" not in found[100 + n] for n in range(16, 22))
 
 
+def test_contexts_follow_chains(spark, write):
+    """Five hops: the identifiers behind one cue stand behind the next, and only the first has seeds."""
+    cues = ["alfa", "bravo", "carlo", "delta", "ecco", "fulda"]
+    name = lambda hop, i: f"q{hop}x{i}z"
+    texts = [f"{prose(i, 6)} alfa u{i}@mail.example.org." for i in range(9)]
+    for hop in range(6):
+        texts += [f"{prose(50 * hop + i, 6)} {cues[hop]} {name(hop, i)} {prose(i, 4)}" for i in range(4)]
+        if hop < 5:
+            texts += [f"{prose(900 + 50 * hop + i, 6)} {cues[hop + 1]} {name(hop, i)}" for i in range(4)]
+    found = {r.doc_id: r.spans for r in op7_pii(spark, write(numbered(texts))).collect()}
+    for n, text in enumerate(texts):
+        assert ("context" in found[100 + n]) == (n >= 9), text
+
+
+def test_patterns_of_two_words_and_of_the_word_behind(spark, write):
+    """No single word in front tells them apart, the two words in front or the word behind do."""
+    texts = [f"{prose(i, 5)} member number u{i}@mail.example.org {prose(i + 50, 5)} number {prose(i + 70, 3)} number" for i in range(8)]
+    texts += [f"{prose(i, 5)} member number zz{i}-long-{'9' * 80} {prose(i, 5)}" for i in range(3)]
+    texts += [f"{prose(i + 200, 5)} u{i}x@mail.example.org (verified) {prose(i, 3)}" for i in range(8)]
+    texts += [f"{prose(i + 300, 5)} k{i}k7 (verified) {prose(i, 3)}" for i in range(3)]
+    texts += [f"{prose(i + 400, 5)} number x{i}x {prose(i, 3)}" for i in range(3)]
+    found = {r.doc_id: r.spans for r in op7_pii(spark, write(numbered(texts))).collect()}
+    assert [("context" in found[100 + n]) for n in range(len(texts))] == [8 <= n < 11 or 19 <= n < 22 for n in range(len(texts))]
+
+
+def test_long_texts_are_not_quadratic(spark):
+    import time
+
+    started = time.time()
+    assert Scanner.of().scan("eyJ" * 1_000_000) == [] and Scanner.of().scan("eyJa.eyJ" * 300_000) == []
+    assert time.time() - started < 30
+    text = " ".join(f"u{i}@mail.example.org, 10.{i % 256}.1.{i % 99}" for i in range(50_000))
+    frame = table(spark, [(1, text, "en", "a")])
+    masked = pii.mask(frame).first().text
+    assert masked == " ".join(["[EMAIL], [IP]"] * 50_000)
+    assert time.time() - started < 120
+
+
 def test_mask(spark):
     rows = [(1, "é call +1 (555) 010-9999 or me@mail.example.com", "en", "a"), (2, "nothing", "en", "a"), (3, None, None, None), (3, None, None, None), (None, "4111 1111 1111 1111", "en", "a")]
     frame = table(spark, rows)
@@ -128,8 +166,8 @@ def labelled(number, lang):
 
 def test_certified_cutoffs(spark, write):
     """Enough labels certify a cutoff that catches junk; a stratum with few labels rejects nothing."""
-    many, a = labelled(3500, "en")
-    few, b = labelled(100, "deu")
+    many, a = labelled(14_000, "en")  # each of four rules may reject a quarter of one in a hundred
+    few, b = labelled(400, "deu")
     sf_dir = write(many + few, [*a, *b, (None, 1, 0), (1, None, 0), (999_999_999, 0, 0)])
     verdict = {r.doc_id: r.kept for r in op6_quality(spark, sf_dir).collect()}
     good = dict((i, q) for i, q, _ in a)
@@ -151,13 +189,14 @@ def removed_lines(rows, min_sites=5):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r")
     for i, t, _, s in rows:
         for x in (t or "").split("\n") if i is not None else []:
-            if len(key(x)) >= 20:
+            if key(x):
                 sites.setdefault(key(x), set()).update([s] if s is not None else [])
                 first[key(x)] = min(first.get(key(x), i), i)
     out = []
     for i, t, *_ in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if i is None or len(sites.get(key(x), ())) < min_sites or i <= first[key(x)]]
+        needed = lambda x: min_sites * max(1, -(-20 // len(x))) ** 2
+        kept = [x for x in lines if i is None or not key(x) or len(sites.get(key(x), ())) < needed(key(x)) or i <= first[key(x)]]
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept) if t is not None else None))
     return out
 
@@ -170,6 +209,9 @@ def test_line_dedup(spark):
         lines = [prose(i * 7 + j, 8) for j in range(4)] + [rnd.choice(["", " "]) + x for x in rnd.sample(common, 3)]
         rnd.shuffle(lines)
         rows.append((1000 + i, "\n".join(lines), "en", f"s{rnd.randrange(3 + i % 9)}"))
+    # a line of 19 signs is boilerplate on 20 sites, one of 4 on 125
+    rows += [(3000 + i, f"All rights reserved\nLes.\nlines of {i} here\nOn eleven.", "en", f"t{i % n}") for n in (19, 20) for i in range(n)]
+    rows += [(4000 + i, "Les.", "en", f"u{i}") for i in range(106)]
     frame = table(spark, rows)
     cleaned = linededup.drop_boilerplate(frame)
     assert cleaned.columns == [*frame.columns, "n_lines", "n_removed"]
@@ -179,6 +221,14 @@ def test_line_dedup(spark):
     assert got == sorted(map(str, want))
 
 
+def test_hot_lines_without_a_broadcast(spark, monkeypatch):
+    """Beyond the size that may be broadcast, lines are salted; results are the same."""
+    rows = [(i, f"The same long line of every site\n{prose(i, 9)}", "en", f"s{i % 7}") for i in range(90)]
+    want = sorted(map(str, linededup.drop_boilerplate(table(spark, rows)).collect()))
+    monkeypatch.setattr(linededup, "SMALL", 0)
+    assert sorted(map(str, linededup.drop_boilerplate(table(spark, rows)).collect())) == want
+
+
 def test_many_sites_are_decided_by_the_sketch(spark):
     rows = [(i, "A line on very many different sites here.", "en", f"s{i}") for i in range(400)]
     cleaned = linededup.drop_boilerplate(table(spark, rows))
