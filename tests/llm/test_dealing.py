@@ -24,7 +24,7 @@ def test_related_documents_share_a_shard(spark, size):
             rnd.shuffle(own)
             rows.append((pair + half * size, " ".join(own), "en", "a"))
     out = packing.pack(table(spark, rows), tokenizer("byte_bpe_50k.json"), window=64, shard=20).collect()
-    shard = {r.doc_id: r.sequence_id >> 32 for r in out}
+    shard = {r.doc_id: r.sequence_id >> packing.SEQUENCES for r in out}
     together = sum(shard[p] == shard[p + size] for p in range(size // 2))
     assert len(set(shard.values())) >= size // 40
     assert together >= 0.5 * size // 2
@@ -36,5 +36,5 @@ def test_one_key_is_split(spark):
     out = packing.pack(table(spark, rows), tokenizer("byte_bpe_50k.json"), window=64, shard=20).collect()
     shards = {}
     for r in out:
-        shards.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+        shards.setdefault(r.sequence_id >> packing.SEQUENCES, set()).add(r.doc_id)
     assert sum(map(len, shards.values())) == 300 and max(map(len, shards.values())) <= 80

@@ -167,6 +167,6 @@ def test_empty_tables(spark, tmp_path):
 def test_shards_are_many(spark):
     docs = [(i, prose(i, 60), "en", "a") for i in range(60)]
     frame = packing.pack(table(spark, docs), BYTES, shard=10, window=64)
-    assert frame.select(F.col("sequence_id").bitwiseAND(~((1 << 32) - 1))).distinct().count() > 3
+    assert frame.select(F.col("sequence_id").bitwiseAND(~((1 << packing.SEQUENCES) - 1))).distinct().count() > 3
     library = Tokenizer.from_file(BYTES)
     assert pieces_hold(frame.collect(), [(i, t, [*library.encode(t, add_special_tokens=False).ids, 1]) for i, t, *_ in docs], 64) == 0
