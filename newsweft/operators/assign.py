@@ -30,6 +30,7 @@ from newsweft.operators.leaders import choose_founders
 from newsweft.operators.similarity import HOT_DF, best_story, scored_pairs
 from newsweft.operators.stories import EVENT_PREFIX, StoryState
 from newsweft.session import cut_lineage
+from newsweft.sources.postings import Found, after
 
 FOUNDED_PREFIX = "s-"
 
@@ -103,8 +104,12 @@ def assign(
     now: Column,
     known: DataFrame | None = None,
     hot_df: int = HOT_DF,
+    found: Found | None = None,
 ) -> Assignment:
-    """Route one batch; see the module text for the contract."""
+    """Route one batch; see the module text for the contract.
+
+    With ``found``, what an index holds on the words of the batch, the state's own postings are not read.
+    """
     batch = cut_lineage(route_exact(young_enough(unseen(items, known), now), anchors))
     exact = batch.filter(F.col("story_id").isNotNull()).withColumn("score", F.lit(None).cast("double"))
     free = batch.filter(F.col("story_id").isNull()).drop("story_id", "tier")
@@ -124,8 +129,10 @@ def assign(
             "_copy",
         )
     )
-    postings = before.tokens.filter(~F.col("story_id").startswith(EVENT_PREFIX))
-    matched = cut_lineage(best_story(scored_pairs(reps, profiles_of(before, anchors), postings, hot_df=hot_df)))
+    held = None if found is None else after(found, stories.build(exact, titles=False).tokens)
+    postings = (before.tokens if held is None else held.postings).filter(~F.col("story_id").startswith(EVENT_PREFIX))
+    known_sizes = {} if held is None else {"sizes": held.sizes, "frequencies": held.frequencies}
+    matched = cut_lineage(best_story(scored_pairs(reps, profiles_of(before, anchors), postings, hot_df=hot_df, **known_sizes)))
 
     rest = cut_lineage(reps.join(matched, "id", "left_anti"))
     singles = rest.select(

@@ -143,15 +143,19 @@ def scored_pairs(
     earlier_only: bool = False,
     hot_df: int = HOT_DF,
     threshold: float = grading.JOIN_THRESHOLD,
+    sizes: DataFrame | None = None,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """All (id, story_id, score, last_update) with a score of at least the threshold.
 
     With ``earlier_only`` items and profiles carry ``arrival`` and only stories that
-    arrived before the item count.
+    arrived before the item count.  With ``sizes`` (of whole stories) the postings need only be those of the items' words;
+    with ``frequencies`` (token, df) only words that these call frequent are looked at as such.
     """
-    sizes = story_sizes(postings)
+    sizes = story_sizes(postings) if sizes is None else sizes
     sized = _sized(postings, sizes)
-    hot = hot_words(sized, hot_df)
+    frequent = sized if frequencies is None else sized.join(frequencies.filter(F.col("df") > hot_df), "token", "left_semi")
+    hot = hot_words(frequent, hot_df)
     pairs = candidate_pairs(items, profiles, sized, hot, threshold)
     if earlier_only:
         pairs = (

@@ -1,13 +1,13 @@
 """Structured Streaming: landed payloads to items, stories and alerts.
 
 Each micro-batch runs the batch operators in ``foreachBatch`` and commits one version: the
-rows of the stories it touched, and every ``maintain_every`` batches, after retiring and folding, the whole
+rows of the stories it touched and of the index of their words, and every ``maintain_every`` batches, after retiring and folding, the whole
 state.  A batch that is run again finds its version committed and does nothing, or replaces what the failed run wrote.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +26,7 @@ from newsweft.functions.times import RETENTION_HOURS
 from newsweft.schemas import RAW_PAYLOADS
 from newsweft.session import cut_lineage
 from newsweft.sources.payloads import fetch_log, parse_payloads
+from newsweft.sources.postings import INDEX_TABLES, PostingIndex
 from newsweft.sources.store import TableStore
 
 STATE_TABLES = ["core", "tokens", "places", "sources"]
@@ -59,6 +60,10 @@ class Monitor:
         c = classifier or Classifier()
         return Monitor(spark, TableStore(spark, path), sources, c, anchor_stories(spark, c.book), **options)
 
+    @property
+    def index(self) -> PostingIndex:
+        return PostingIndex(self.store)
+
     def state(self, before: int | None = None) -> StoryState:
         """The last compacted state and what later batches added to it."""
         base = self.store.latest(before, "core")
@@ -107,15 +112,19 @@ class Monitor:
             return
         before = self.state(batch_id)
         oldest, newest = items.agg(F.min("fetched"), F.max("fetched")).first()
-        result = assign(items, before, self.anchors, F.col("fetched"), self.known_ids(oldest, batch_id), self.hot_df)
+        held = self.index.lookup(items.select(F.explode("tokens").alias("token")), batch_id)
+        found = replace(held, postings=cut_lineage(held.postings))
+        result = assign(items, before, self.anchors, F.col("fetched"), self.known_ids(oldest, batch_id), self.hot_df, found)
         tables = {"items": result.items, "alerts": first_report_alerts(result.items, before.core)}
         compact = bool(self.maintain_every) and (batch_id + 1) % self.maintain_every == 0
         if compact and newest is not None:
             state, moves = maintain(result.state, self.anchors, F.lit(newest))
-            tables |= {**state.tables(), "redirects": compose_redirects(self.redirects(batch_id), moves)}
+            tables |= {**state.tables(), **self.index.whole(state.tokens), "redirects": compose_redirects(self.redirects(batch_id), moves)}
         else:
             # only the stories that the batch touched: one row each
-            tables |= {f"{name}_added": table for name, table in build(result.items).tables().items()}
+            touched = build(result.items)
+            tables |= {f"{name}_added": table for name, table in touched.tables().items()}
+            tables |= self.index.added(touched.tokens, found.postings)
         if landed is not None:
             named = self.sources.select("source_id", F.col("name").alias("source"))
             counts = items.select("source", "fetched").join(named, "source")
@@ -128,7 +137,7 @@ class Monitor:
         """Drop the states that lie ``KEPT_STATES`` compactions back; items, alerts and logs stay."""
         last = batch_id - KEPT_STATES * self.maintain_every
         for version in range(max(0, last - self.maintain_every + 1), last + 1):
-            self.store.expire(version, [n + end for n in STATE_TABLES for end in ("", "_added")])
+            self.store.expire(version, [n + end for n in STATE_TABLES for end in ("", "_added")] + INDEX_TABLES)
 
     def start(self, payloads: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Start the stream; ``trigger`` as in ``DataStreamWriter.trigger`` (default: what is there now)."""
@@ -149,6 +158,6 @@ def source_health_stream(log_stream: DataFrame) -> DataFrame:
         F.count("*").alias("fetches"),
         F.count_if(~F.col("ok")).alias("failures"),
         F.sum(F.when(F.col("ok"), F.col("n_items")).otherwise(F.lit(0))).alias("items_total"),
-        F.max_by("error", "fetched").alias("last_error"),
+        F.max(F.struct("fetched", "ok", "n_items", "latency_ms", "error")).getField("error").alias("last_error"),  # the order of the batch form
         F.max(F.when(F.col("ok"), F.col("fetched"))).alias("last_ok"),
     )
