@@ -432,7 +432,8 @@ ORACLE["overview"] = kept_items(STORIES + HEAT + ", " + LOG) + f"""SELECT (SELEC
 ORACLE["map_markers"] = VIEW + """, top AS (SELECT * FROM shown ORDER BY round(heat, 9) DESC, last_update DESC, story_id LIMIT 60)
   SELECT story_id, category, severity, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM top WHERE focus IS NOT NULL
   UNION SELECT story_id, category, severity, CAST(lat AS DOUBLE), CAST(lon AS DOUBLE) FROM shown WHERE story_id = 'ukraine-war' AND focus IS NOT NULL"""
-ORACLE["probe_funnel"] = VIEW + """SELECT (SELECT count(*) FROM events) AS seen, (SELECT count(*) FROM items WHERE relevance >= 4) AS kept, (SELECT count(*) FROM view) AS stories,
+ORACLE["probe_funnel"] = VIEW + """SELECT (SELECT count(*) FROM events) AS seen, (SELECT count(DISTINCT i.id) FROM items i JOIN readings r ON i.title = r.t
+    WHERE (i.event_key IS NOT NULL OR NOT r.noise) AND (i.event_type IN ('error', 'signup') OR i.anchor_id IS NOT NULL OR i.relevance >= 4)) AS kept, (SELECT count(*) FROM view) AS stories,
   (SELECT count(*) FROM view WHERE focus IS NOT NULL) AS located, CAST((SELECT sum(n_videos) FROM view) AS BIGINT) AS videos"""
 ORACLE["probe_stories"] = VIEW + f"""SELECT story_id, {case('category', TAGS)} AS tag, {plain('title', 44)} AS title, n_items, CAST(n_sources AS INTEGER) AS n_sources,
   {plain("coalesce(focus, '—')", 20)} AS place, {case('severity', LABELS)} AS severity FROM shown ORDER BY last_update DESC, story_id LIMIT 18"""
@@ -509,7 +510,12 @@ pairs AS (SELECT a.story_id AS a, b.story_id AS b, sum(least(a.n, b.n)) AS share
 """)
 _ALIKE = """SELECT a, b, round(CAST(2.0 * shared / (x.total + y.total) AS DOUBLE), 6) AS overlap FROM pairs JOIN totals x ON x.story_id = a JOIN totals y ON y.story_id = b
   WHERE 2.0 * shared / (x.total + y.total) > 0.55"""
-ORACLE["merge_pairs"] = _PAIRS + _ALIKE
+# Stories with equal words, category and place are a class, named by its oldest member; pairs are between classes.
+ORACLE["merge_pairs"] = _PAIRS + f""", alike AS MATERIALIZED ({_ALIKE}),
+  marks AS (SELECT story_id, string_agg(token || ':' || n, ' ' ORDER BY token) AS mark FROM words GROUP BY story_id),
+  named AS (SELECT s.story_id, first_value(s.story_id) OVER (PARTITION BY s.category, s.lat, s.lon, m.mark ORDER BY s.first_seen, s.story_id) AS head FROM stories s JOIN marks m USING (story_id))
+  SELECT head AS a, story_id AS b, 1.0::DOUBLE AS overlap, 'copy' AS link FROM named WHERE head <> story_id
+  UNION ALL SELECT a, b, overlap, 'pair' FROM alike WHERE a IN (SELECT head FROM named) AND b IN (SELECT head FROM named)"""
 # Transitive closure of the pairs; every story of a component moves to its oldest member.
 ORACLE["merge_moves"] = _PAIRS.replace("WITH news AS", "WITH RECURSIVE news AS", 1) + f""", alike AS MATERIALIZED ({_ALIKE}),
   edges AS (SELECT a AS x, b AS y FROM alike UNION SELECT b, a FROM alike),
@@ -517,6 +523,15 @@ ORACLE["merge_moves"] = _PAIRS.replace("WITH news AS", "WITH RECURSIVE news AS",
   targets AS (SELECT r.x AS story_id, arg_min(s.story_id, (s.first_seen, s.story_id)) AS target_id FROM reach r JOIN stories s ON s.story_id = r.y GROUP BY r.x)
   SELECT story_id, target_id FROM targets WHERE story_id <> target_id"""
 
+ORACLE["merged_state"] = ORACLE["merge_moves"].rsplit("SELECT story_id, target_id FROM targets", 1)[0] + f"""SELECT coalesce(t.target_id, f.story_id) AS story_id, CAST(sum(n_items) AS BIGINT) AS n_items,
+  CAST(sum(n_videos) AS BIGINT) AS n_videos, max(severity) AS severity, {stamp('min(first_seen)')} AS first_seen, {stamp('max(last_update)')} AS last_update
+  FROM facts f LEFT JOIN targets t USING (story_id) GROUP BY 1"""
+ORACLE["index_lookup"] = kept_items(f""", per AS MATERIALIZED (SELECT t, list_distinct({tokens('t')}) AS toks FROM texts),
+  postings AS MATERIALIZED (SELECT story_id, token, count(*) AS n FROM (SELECT story_id, unnest(toks) AS token FROM items JOIN per ON title = t) GROUP BY ALL)
+""") + """SELECT story_id, token, n, df, n_tokens, CAST(n_total AS BIGINT) AS n_total FROM postings JOIN (SELECT token, count(*) AS df FROM postings GROUP BY token) USING (token)
+  JOIN (SELECT story_id, count(*) AS n_tokens, sum(n) AS n_total FROM postings GROUP BY story_id) USING (story_id)
+  WHERE token IN (SELECT unnest(toks) FROM items JOIN per ON title = t WHERE template < 6)"""
+
 ORACLE["source_health"] = f"WITH {LOG} SELECT source_id, fetches, failures, items_total, last_items, {stamp('last_ok')} AS last_ok, last_error, latency_ms, healthy FROM health"
 _FACTOR = "CASE WHEN last_error IS NULL THEN 1 WHEN failures / fetches > 0.8 THEN 8 WHEN failures / fetches > 0.5 THEN 4 ELSE 2 END"
 ORACLE["poll_plan"] = f"""WITH {LOG} SELECT source_id, {_FACTOR} AS factor, interval_s * {_FACTOR} AS wait_s,

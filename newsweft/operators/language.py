@@ -1,8 +1,7 @@
 """Foreign-language flag from character trigrams.
 
 ``train`` learns trigram frequencies per language from labelled texts; ``detect``
-scores texts against them.  Scoring counts the trigrams of each text, joins the model and sums
-per text and language; the model is joined, not broadcast, whatever its size.
+scores texts against them.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from newsweft.session import cut_lineage
 
 MIN_CHARS = 20  # fixed value: shorter texts get no flag
 MIN_CONFIDENCE = 0.5  # fixed value
+SMALL_MODEL = 1_000_000  # trigrams of a model that may be broadcast: a double for each language
 HOME_LANGUAGES = ("ENG", "FRA")  # fixed value: never flagged
 # Two-letter to three-letter codes.
 CODES = {
@@ -50,21 +50,26 @@ def detect(texts: DataFrame, model: DataFrame, id_col: str = "id", text_col: str
     """Best language per text: ``id, lang, confidence`` (posterior of the best language).
 
     An unknown trigram scores a language's floor, so a language's sum is its floor for every trigram
-    of the text plus what the known ones are above it.
+    of the text plus what the known ones are above it.  A model of up to ``SMALL_MODEL`` trigrams (counted) is sent to the
+    tasks: a text's trigrams are scored where the text is read, and one row of sums per text and task is shuffled.  A larger
+    one is joined.
     """
-    counted = texts.select(id_col, F.explode(trigrams(F.col(text_col))).alias("trigram")).groupBy(id_col, "trigram").agg(F.count("*").alias("n"))
-    above = model.groupBy("trigram").agg(F.collect_list(F.struct("lang", (F.col("weight") - F.col("floor")).alias("gain"))).alias("langs"))
-    joined = counted.join(above, "trigram", "left")
-    floors = model.groupBy("lang").agg(F.max("floor").alias("floor")).agg(F.sort_array(F.collect_list(F.struct("lang", "floor"))).alias("floors"))
-    sizes = joined.groupBy(id_col).agg(F.sum("n").alias("size"))
-    gains = joined.select(id_col, "n", F.explode("langs").alias("l")).groupBy(id_col, "l.lang").agg(F.sum(F.col("n") * F.col("l.gain")).alias("gain"))
-    per_text = gains.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lang", "gain"))).alias("gains"))
-    # ``floors`` is one row
-    scored = sizes.join(per_text, id_col, "left").join(F.broadcast(floors))
-    gain = lambda lang: F.coalesce(F.try_element_at("gains", lang), F.lit(0.0))
+    floors = {r["lang"]: r["floor"] for r in model.groupBy("lang").agg(F.max("floor").alias("floor")).collect()}  # a row per language
+    names = sorted(floors)
+    if not names:
+        return texts.select(id_col, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence")).limit(0)
+    gain = lambda lang: F.max(F.when(F.col("lang") == lang, F.col("weight") - F.col("floor")))
+    above = model.groupBy("trigram").agg(*[F.coalesce(gain(lang), F.lit(0.0)).alias(f"g{i}") for i, lang in enumerate(names)])
+    single = texts.select(id_col, F.explode(trigrams(F.col(text_col))).alias("trigram"))
+    if model.select("trigram").distinct().count() <= SMALL_MODEL:
+        counted, above = single.withColumn("n", F.lit(1)), F.broadcast(above)
+    else:
+        counted = single.groupBy(id_col, "trigram").agg(F.count("*").alias("n"))
+    scored = counted.join(above, "trigram", "left")
+    sums = scored.groupBy(id_col).agg(F.sum("n").alias("size"), *[F.coalesce(F.sum(F.col("n") * F.col(f"g{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(len(names))])
     # Neighbouring trigrams share two characters, hence the third of the log likelihood.
-    every = F.transform("floors", lambda f: F.struct(((F.col("size") * f["floor"] + gain(f["lang"])) / 3.0).alias("s"), f["lang"].alias("lang")))
-    best = scored.select(id_col, every.alias("all")).withColumn("best", F.array_max("all"))
+    every = F.array(*[F.struct(((F.col("size") * floors[lang] + F.col(f"s{i}")) / 3.0).alias("s"), F.lit(lang).alias("lang")) for i, lang in enumerate(names)])
+    best = sums.select(id_col, every.alias("all")).withColumn("best", F.array_max("all"))
     mass = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x["s"] - F.col("best.s")))
     return best.select(id_col, F.col("best.lang").alias("lang"), (1.0 / mass).alias("confidence"))
 

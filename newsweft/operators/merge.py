@@ -107,6 +107,19 @@ def fold_copies(open_stories: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
+def overlap_classes(open_stories: DataFrame, postings: DataFrame) -> DataFrame:
+    """All links (a, b, overlap, link) without the pairs among copies.
+
+    ``copy``: b has the words, category and place of the older a, which stands for its class; ``pair``: two of these
+    representatives overlap.  A group of n equal stories gives n - 1 rows, and every pair of ``overlap_pairs`` follows from them.
+    """
+    copies = cut_lineage(fold_copies(open_stories, postings))
+    singles = open_stories.join(copies, "story_id", "left_anti")
+    words = postings.join(singles.select("story_id"), "story_id", "left_semi")
+    pairs = overlap_pairs(singles, words).withColumn("link", F.lit("pair"))
+    return copies.select(F.col("target_id").alias("a"), F.col("story_id").alias("b"), F.lit(1.0).alias("overlap"), F.lit("copy").alias("link")).unionByName(pairs)
+
+
 def fold_components(pairs: DataFrame, seniority: DataFrame) -> DataFrame:
     """Moves (story_id, target_id): every component of the pair graph to its oldest story.
 

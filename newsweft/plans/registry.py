@@ -25,6 +25,7 @@ from newsweft.rules import book
 from newsweft.schemas import PLACE
 from newsweft.session import cut_lineage, new_folder, spread
 from newsweft.sources.payloads import fetch_log, parse_payloads
+from newsweft.sources.postings import PostingIndex
 from newsweft.sources.registry import select_sources
 from newsweft.sources.store import SAVED_ITEMS, SAVED_STORIES, TableStore, load_snapshot, restore_items, save_snapshot
 
@@ -558,8 +559,30 @@ def _weekly_stories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
 
 def merge_pairs(spark: SparkSession, sf: str) -> DataFrame:
     table_, postings = _weekly_stories(spark, sf)
-    found = merge.overlap_pairs(merge.mergeable(table_), postings)
-    return found.select("a", "b", F.round("overlap", 6).alias("overlap"))
+    found = merge.overlap_classes(merge.mergeable(table_), postings)
+    return found.select("a", "b", F.round("overlap", 6).alias("overlap"), "link")
+
+
+def merged_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The stories that are left after their duplicates are folded in."""
+    week = F.floor(F.dayofmonth("published") / 8).cast("string")
+    items = _keyed(spark, sf).filter(F.col("event_key").isNull() & F.col("anchor_id").isNull())
+    anchors = stories.anchor_stories(spark)
+    state = stories.build(items.withColumn("story_id", F.concat_ws("-", F.lit("w"), "source", F.col("template").cast("string"), week))).map(cut_lineage)
+    moves = cut_lineage(merge.merge_moves(stories.story_table(state, anchors), state.tokens))
+    core = stories.rekey(state, moves).core
+    return core.select("story_id", "n_items", "n_videos", "severity", stamp(F.col("first_seen")).alias("first_seen"), stamp(F.col("last_update")).alias("last_update"))
+
+
+def index_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored index of words, written in two versions, holds on the words of six headlines."""
+    items = _keyed(spark, sf)
+    index = PostingIndex(TableStore(spark, new_folder(spark, "index")))
+    for version in (0, 1):
+        tokens = cut_lineage(stories.build(items.filter(F.pmod("event_id", F.lit(3)).isin([0, 1]) == (version == 0)), titles=False).tokens)
+        index.store.save(version, index.added(tokens, index.lookup(tokens, version).postings))
+    found = index.lookup(items.filter("template < 6").select(F.explode("tokens").alias("token")))
+    return found.postings.join(found.frequencies, "token").join(found.sizes, "story_id").select("story_id", "token", "n", "df", "n_tokens", "n_total")
 
 
 def merge_moves(spark: SparkSession, sf: str) -> DataFrame:
@@ -699,7 +722,7 @@ QUERIES = {
         category_header, overview, map_markers, probe_funnel, probe_stories, probe_timeline, story_timeline, visible_by_category,
         zone_places, zone_of_gazetteer, item_detail, alert_sink, snapshot_reload, retired_state, heat_rank, latest_rank,
         severity_rank, rank_position, trim_story_items, ticker, timeline_days, unread_counts, snapshot_rows, restore_merge,
-        similarity_best, similarity_best_pruned, merge_pairs, merge_moves, story_assignment, source_health, poll_plan, health_by_kind,
+        similarity_best, similarity_best_pruned, merge_pairs, merge_moves, merged_state, index_lookup, story_assignment, source_health, poll_plan, health_by_kind,
         source_table, source_selection, feed_parse_rss, feed_parse_atom, feed_parse_hazards, feed_parse_quakes, feed_parse_natural,
         feed_parse_index, feed_parse_author, feed_parse_hashtag, feed_parse_channel, feed_union, payload_log, language_flag,
     )

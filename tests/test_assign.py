@@ -266,10 +266,29 @@ def test_pairs_and_moves_equal_brute_force(spark, seed):
     pairs, moves = merged_model([r.asDict() for r in open_stories.collect()], words)
     got = {(r["a"], r["b"]): r["overlap"] for r in merge.overlap_pairs(open_stories, state.tokens).collect()}
     assert got.keys() == pairs.keys() and all(abs(got[k] - pairs[k]) < 1e-9 for k in pairs)
+    links = merge.overlap_classes(open_stories, state.tokens).collect()
+    head = {r["b"]: r["a"] for r in links if r["link"] == "copy"}
+    between = {(r["a"], r["b"]) for r in links if r["link"] == "pair"}
+    assert all(head.get(a, a) == head.get(b, b) or tuple(sorted((head.get(a, a), head.get(b, b)))) in {tuple(sorted(p)) for p in between} for a, b in pairs)
+    assert between <= pairs.keys()
     found = {r["story_id"]: r["target_id"] for r in merge.merge_moves(table, state.tokens).collect()}
     assert found == moves and len(moves) > 5
 
 
+def test_equal_stories_give_members_not_pairs(spark):
+    """10,000 equal stories: one row each, and no task joins them with each other."""
+    n = 10_000
+    open_stories = spark.range(n).select(
+        F.format_string("s%05d", "id").alias("story_id"), F.lit("Other").alias("category"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
+        (F.lit(T0) + F.make_dt_interval(secs=F.col("id"))).alias("first_seen"),
+    )
+    postings = open_stories.select("story_id", F.explode(F.array(*[F.lit(w) for w in "storm surge floods harbour".split()])).alias("token"), F.lit(2).cast("bigint").alias("n"))
+    links = merge.overlap_classes(open_stories, postings)
+    assert links.groupBy("link", "a").count().collect()[0].asDict() == {"link": "copy", "a": "s00000", "count": n - 1}
+    moves = merge.fold_copies(open_stories, postings)
+    assert moves.count() == n - 1 and moves.select("target_id").distinct().count() == 1
+
+
 def test_maintenance_retires_and_folds(spark):
     rows = [
         ("s-a", item("a", "Storm surge floods harbour district homes", "NaturalDisaster", T0 - hours(5))),

@@ -27,6 +27,19 @@ def test_foreign_text_is_flagged(spark):
     assert [got.get(str(i)) for i in range(len(cases))] == list(cases.values())
 
 
+def test_broadcast_and_joined_models_agree(spark, monkeypatch):
+    model = language.train(spark.createDataFrame([(lang, t) for lang, ts in TEXTS.items() for t in ts], "lang string, text string"))
+    texts = spark.createDataFrame([(str(i), t) for i, t in enumerate([*TEXTS["de"], *TEXTS["fr"], "ok", "", "Die people", "9" * 30])], "id string, text string")
+    rows = lambda frame: sorted((r["id"], r["lang"], round(r["confidence"], 9)) for r in frame.collect())
+    sent = language.detect(texts, model)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("SortMergeJoin") == 0
+    want = rows(sent)
+    monkeypatch.setattr(language, "SMALL_MODEL", 0)
+    assert rows(language.detect(texts, model)) == want
+    assert language.detect(texts, model.limit(0)).collect() == []
+
+
 def test_trigrams_cover_the_whole_text(spark):
     from helpers import column
 
