@@ -256,4 +256,4 @@ def test_pipeline(spark, write):
 
 
 def test_every_query_is_here():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
