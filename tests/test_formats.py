@@ -24,7 +24,7 @@ ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>yt:video:abc</id>
 <media:community><media:statistics views="123"/></media:community></media:group></entry>
 <entry><title>Flood in Italy</title><link href="https://example.org/v"/><media:group><media:thumbnail url="https://t/1.jpg" width="4"/></media:group><yt:videoId>zz</yt:videoId></entry></feed>"""
 GDACS = """<rss><channel>
-<item><title>Red alert for tropical cyclone in Madagascar</title><link>https://g/1</link><gdacs:alertlevel>Red</gdacs:alertlevel><gdacs:eventtype>TC</gdacs:eventtype>
+<item><title>Cyclone warning raised to red off Madagascar</title><link>https://g/1</link><gdacs:alertlevel>Red</gdacs:alertlevel><gdacs:eventtype>TC</gdacs:eventtype>
 <gdacs:eventid>1234</gdacs:eventid><geo:Point><geo:lat>-17.10</geo:lat><geo:long>48.99</geo:long></geo:Point><gdacs:bbox>40 50 -20 -10</gdacs:bbox>
 <gdacs:severity unit="km/h" value="200">200 km/h</gdacs:severity><gdacs:country>Madagascar, Mozambique</gdacs:country></item>
 <item><title>Green flood alert in Thailand</title><link>https://g/2</link><gdacs:alertlevel>Green</gdacs:alertlevel></item>
@@ -50,7 +50,7 @@ BLUESKY = json.dumps({"feed": [
     {"post": {"uri": "at://d/p/k2", "record": {"text": "Too short"}}},
     {"post": {"uri": "at://d/p/k3", "record": {"text": "Troops seize the airport after an overnight ambush"}}}]})
 MASTODON = json.dumps([
-    {"content": "<p>Hit near Kyiv #Ukraine</p><p>Russian attack reported on the city</p>", "account": {"acct": "me"}, "url": "https://m/1",
+    {"content": "<p>Sirens over Odesa #Ukraine</p><p>Drone attack on the port at dawn</p>", "account": {"acct": "me"}, "url": "https://m/1",
      "created_at": "2026-09-18T06:16:34.000Z", "card": None, "media_attachments": [{"preview_url": "https://p/1", "url": "x"}], "reblog": None},
     {"reblog": {"id": 1}, "content": "<p>Boosted post that is long enough to count</p>", "url": "https://m/2"}])
 TELEGRAM = """<html><div class="tgme_widget_message_wrap"><div class="m" data-post="chan/12"><div class="tgme_widget_message_text js-message_text" dir="auto">Missile strike on <b>Odesa</b> port kills 3 people, a spokesperson adds</div>
