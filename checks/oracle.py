@@ -548,9 +548,13 @@ ORACLE["feed_parse_rss"] = f"""WITH {NEWS} SELECT CASE WHEN contains({_URL}, 'yo
 ORACLE["feed_parse_atom"] = f"""WITH {NEWS} SELECT 'Video' AS kind, title, 'Clip' AS snippet, 'https://www.youtube.com/watch?v=' || CAST(event_id AS VARCHAR) AS url, {_AT} AS published,
   'https://i.ytimg.com/vi/v' || CAST(event_id AS VARCHAR) || '/hqdefault.jpg' AS thumbnail, 'channel=Desk ' || event_type AS facts FROM news"""
 _LAT, _LON = "(event_id * 37) % 17000 / 100.0 - 85.0", "(event_id * 73) % 36000 / 100.0 - 180.0"
-ORACLE["feed_parse_hazards"] = f"""WITH {NEWS} SELECT title, {_URL} AS url, {_AT} AS published, CASE WHEN value >= 60 THEN 4 ELSE 3 END AS severity, 'Earthquake' AS category_override,
-  'gdacs-EQ-' || CAST(event_id AS VARCHAR) AS event_key, 'Chile' AS place, CAST({_LAT} AS DOUBLE) AS lat, CAST({_LON} AS DOUBLE) AS lon, 1.5::DOUBLE AS radius_deg,
-  'alert=' || CASE WHEN value >= 60 THEN 'Red' ELSE 'Orange' END || ';event=earthquake;country=Chile, Peru' AS facts FROM news WHERE value >= 20"""
+_CODE = pick(w.HAZARD_CODES, "event_id")
+_HAZARD = "CASE event_id % 8 WHEN 0 THEN 'earthquake' WHEN 1 THEN 'tropical cyclone' WHEN 2 THEN 'flood' WHEN 3 THEN 'volcano' WHEN 4 THEN 'drought' WHEN 5 THEN 'wildfire' WHEN 6 THEN 'tsunami' ELSE 'hazard' END"
+ORACLE["feed_parse_hazards"] = f"""WITH {NEWS} SELECT title, {_URL} AS url, {_AT} AS published, CASE WHEN value >= 60 THEN 4 ELSE 3 END AS severity,
+  CASE WHEN event_id % 8 = 0 THEN 'Earthquake' ELSE 'NaturalDisaster' END AS category_override,
+  'gdacs-' || {_CODE} || '-' || CAST(event_id AS VARCHAR) AS event_key, 'Chile' AS place, CAST({_LAT} AS DOUBLE) AS lat, CAST({_LON} AS DOUBLE) AS lon,
+  CAST(CASE WHEN event_id % 4 = 2 THEN least(greatest(event_id % 15, 1), 12) ELSE 1.5 END AS DOUBLE) AS radius_deg,
+  'alert=' || CASE WHEN value >= 60 THEN 'Red' ELSE 'Orange' END || ';event=' || {_HAZARD} || ';country=Chile, Peru' AS facts FROM news WHERE value >= 20"""
 _MAG = "CAST(CAST(floor(value) AS BIGINT) % 80 AS DOUBLE) / 10.0"
 ORACLE["feed_parse_quakes"] = f"""WITH {NEWS}, q AS (SELECT *, {_MAG} AS mag FROM news)
   SELECT title, 'Magnitude ' || printf('%.1f', mag) || ' earthquake at 10 km depth.' AS snippet, {_URL} AS url, {_AT} AS published,

@@ -208,6 +208,7 @@ def event_fetch_log(spark: SparkSession, sf_dir: str, sources: DataFrame) -> Dat
 # ------------------------------------------------------------------ payloads
 
 PER_PAYLOAD = 20
+HAZARD_CODES = ["EQ", "TC", "FL", "VO", "DR", "WF", "TS", "XX"]
 
 
 def _xml_text(c: Column) -> Column:
@@ -230,12 +231,17 @@ def _records(parser: str) -> Column:
     link = F.concat(F.lit("https://news.example/"), number)
     level = F.when(F.col("value") >= 60, "Red").when(F.col("value") >= 20, "Orange").otherwise("Green")
     magnitude = F.floor(F.col("value")) % 80 / 10.0
+    span = F.concat(F.lit("10 "), (F.col("event_id") % 15 * 2 + 10).cast("string"), F.when(F.col("event_id") % 4 == 0, " 5").otherwise(" 5 7"))
+    bbox = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("<gdacs:bbox>"), span, F.lit("</gdacs:bbox>"))).otherwise("")
     post = F.concat(title, F.lit(". Read the full report at https://t.example/"), number, F.lit(" #news #world"))
+    boxed = F.col("event_id") % 3 == 0  # fields under parents that no feed format names
     if parser == "feed":
         return F.concat(
             F.lit("<item><title>"), _xml_text(title), F.lit("</title><link>"), link, F.lit("</link><pubDate>"), _mail_date(at),
-            F.lit("</pubDate><description><![CDATA[<p>Report &amp; photos: "), F.col("event_type"), F.lit("</p>]]></description><category>"),
-            F.col("event_type"), F.lit('</category><enclosure type="image/png" url="https://img.example/'), number, F.lit('.png"/></item>'),
+            F.lit("</pubDate>"), F.when(boxed, "<x:box><x:inner>").otherwise(""),
+            F.lit("<description><![CDATA[<p>Report &amp; photos: "), F.col("event_type"), F.lit("</p>]]></description><category>"),
+            F.col("event_type"), F.lit("</category>"), F.when(boxed, '<media:thumbnail url="').otherwise('<enclosure type="image/png" url="'),
+            F.lit("https://img.example/"), number, F.lit('.png"/>'), F.when(boxed, "</x:inner></x:box>").otherwise(""), F.lit("</item>"),
         )
     if parser == "atom":
         return F.concat(
@@ -247,8 +253,8 @@ def _records(parser: str) -> Column:
     if parser == "gdacs":
         return F.concat(
             F.lit("<item><title>"), _xml_text(title), F.lit("</title><link>"), link, F.lit("</link><pubDate>"), _mail_date(at),
-            F.lit("</pubDate><gdacs:alertlevel>"), level, F.lit("</gdacs:alertlevel><gdacs:eventtype>EQ</gdacs:eventtype><gdacs:eventid>"),
-            number, F.lit("</gdacs:eventid><geo:Point><geo:lat>"), lat.cast("string"), F.lit("</geo:lat><geo:long>"), lon.cast("string"),
+            F.lit("</pubDate><gdacs:alertlevel>"), level, F.lit("</gdacs:alertlevel><gdacs:eventtype>"),
+            choose(HAZARD_CODES, F.col("event_id")), F.lit("</gdacs:eventtype><gdacs:eventid>"), number, F.lit("</gdacs:eventid>"), bbox, F.lit("<geo:Point><geo:lat>"), lat.cast("string"), F.lit("</geo:lat><geo:long>"), lon.cast("string"),
             F.lit("</geo:long></geo:Point><gdacs:country>Chile, Peru</gdacs:country></item>"),
         )
     if parser == "usgs":

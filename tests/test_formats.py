@@ -230,3 +230,41 @@ def test_cut_and_nested_records(spark, classifier):
     assert (whole["thumbnail"], whole["snippet"]) == ("https://a/u.jpg", "Told inside")
     assert (video["kind"], video["url"], video["published"], video["thumbnail"]) == ("Video", "https://www.youtube.com/watch?v=q1", AT, "https://i.ytimg.com/vi/q1/hqdefault.jpg")
     assert (hazard["severity"], hazard["event_key"], hazard["place"]["bbox"]) == (4, "gdacs-VO-77", [120.0, 122.0, 14.0, 15.0])
+
+
+NESTED = {
+    "bbc": """<rss><channel><item><x:box><y:inner><media:thumbnail width="3" url="https://a/deep.jpg?a=1&amp;b=2"/></y:inner><media:title>Bridge & tunnel reopen</media:title></x:box>
+<title>Second title</title><x:where><link>https://example.org/n1</link></x:where><x:more><y:text><description>Told <b>in a</b> deep place<!-- not <title>this</title> --></description></y:text></x:more>
+<x:meta><category><![CDATA[World & more]]></category></x:meta><x:when><pubDate>Fri, 18 Sep 2026 06:16:34 GMT</pubDate></x:when></item>
+<item><!-- <link>https://example.org/no</link> --><title>Quay &amp; dock</title><link>https://example.org/n2</link><x:a note="1 > 0"><enclosure url='https://a/e.png'/></x:a>
+<content:encoded><![CDATA[<p><title>no</title> R&D said</p>]]></content:encoded></item>
+<item><title>Cut inside</title><link>https://example.org/n3</link><description><![CDATA[<p>open <category>Wrong</category>""",
+    "yt-bbc": """<feed><entry><title>Ferry</title><x:credit><name>Someone</name></x:credit><author><uri>u</uri><name>Desk &amp; Co</name></author>
+<link rel="alternate" href="https://www.youtube.com/watch?v=q1"/><x:one><x:two><yt:videoId>q1</yt:videoId><media:statistics views="9"/></x:two></x:one></entry></feed>""",
+    "gdacs": """<rss><channel><item><x:all><title>Red volcano notice</title><link>https://g/7</link><x:grade><gdacs:alertlevel>Red</gdacs:alertlevel></x:grade><gdacs:eventtype>VO</gdacs:eventtype>
+<gdacs:eventid>7</gdacs:eventid><x:at><geo:lat>14.5</geo:lat><geo:long>121</geo:long></x:at></x:all></item></channel></rss>""",
+}
+
+
+def test_fields_under_any_parent(spark, classifier):
+    rows = [(s, FETCHED, 200, 5, None, b) for s, b in NESTED.items()]
+    drafts = parse_payloads(spark.createDataFrame(rows, RAW_PAYLOADS), book.sources(spark), classifier).collect()
+    found = {r["url"]: r.asDict(True) for r in drafts}
+    assert len(found) == 5
+    deep = found["https://example.org/n1"]
+    assert (deep["title"], deep["snippet"], deep["thumbnail"], deep["published"]) == ("Bridge & tunnel reopen", "deep place", "https://a/deep.jpg?a=1&b=2", AT)
+    assert facts(deep) == {"feed-category": "World & more"}
+    plain = found["https://example.org/n2"]
+    assert (plain["title"], plain["snippet"], plain["thumbnail"]) == ("Quay & dock", "no R&D said", "https://a/e.png")
+    assert (found["https://example.org/n3"]["title"], facts(found["https://example.org/n3"])) == ("Cut inside", {})
+    video = found["https://www.youtube.com/watch?v=q1"]
+    assert facts(video) == {"channel": "Desk & Co", "views": "9"} and video["thumbnail"] == "https://i.ytimg.com/vi/q1/hqdefault.jpg"
+    hazard = found["https://g/7"]
+    assert (hazard["event_key"], hazard["place"]["point"]) == ("gdacs-VO-7", {"lat": 14.5, "lon": 121.0})
+
+
+def test_long_records_are_read_in_one_pass(spark, classifier):
+    """Long texts, many tags and many comparison signs: time goes with the length."""
+    body = "<rss><channel><item><title>Long</title><link>https://example.org/l</link><description>" + "a > b " * 200_000 + "<br/>" * 50_000 + " end</description></item></channel></rss>"
+    rows = parse_payloads(spark.createDataFrame([("bbc", FETCHED, 200, 5, None, body)], RAW_PAYLOADS), book.sources(spark), classifier).collect()
+    assert [(r["title"], r["snippet"]) for r in rows] == [("Long", "end")]
