@@ -10,6 +10,7 @@ import json
 import math
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from newsweft.rules.vocabulary import CATEGORIES
 from newsweft.schemas import PLACE
 
 _HIT_CAP = 3  # fixed value: keyword hits of one rule beyond the third do not count
+CELL_DEG = 3  # cells of the lists of nearest entries
 
 
 def _on_globe(lat: float, lon: float) -> tuple[float, float, float]:
@@ -166,22 +168,56 @@ class Classifier:
         index = F.from_json(F.lit(json.dumps(table)), "map<string,int>")
         return F.element_at(self._places, F.try_element_at(index, F.lower(F.trim(name))) + 1)
 
+    @cached_property
+    def near_lists(self) -> list[list[int]]:
+        """Per cell of ``CELL_DEG`` degrees, the entries that can be the nearest one to some point of the cell.
+
+        A cell lies in a cap around its centre. Entry a is nearer than b on one side of the plane halfway between them, so b is
+        left out when that plane leaves the whole cap on a's side. The one entry of a gazetteer is in all lists.
+        """
+        entries = np.array([_on_globe(p.lat, p.lon) for p in self.book.gazetteer]).reshape(-1, 3)
+        lists: list[list[int]] = []
+        for south in range(-90, 90, CELL_DEG):
+            half = CELL_DEG / 2
+            centres = np.array([_on_globe(south + half, west + half) for west in range(-180, 180, CELL_DEG)])
+            corners = np.array([_on_globe(lat, -180) for lat in (south, south + CELL_DEG)])
+            reach = math.sqrt(max(((corners - centres[0]) ** 2).sum(axis=1))) + 1e-9  # the longest chord from a centre
+            chords = np.sqrt(np.maximum(0.0, 2 - 2 * centres @ entries.T))
+            for centre, chord in zip(centres, chords):
+                some = np.flatnonzero(chord <= chord.min(initial=4.0) + 2 * reach)
+                apart = entries[some][:, None, :] - entries[some][None, :, :]
+                ahead = apart @ centre > np.sqrt((apart**2).sum(axis=2)) * reach
+                lists.append(some[~ahead.any(axis=0)].tolist())
+        return lists
+
     def nearest_place(self, point: Column) -> Column:
         """The query point, labelled with the nearest entry's name; radius at most 2 degrees."""
         # The straight chord between points on the globe grows with the great-circle distance,
         # and needs no trigonometry per entry.
         axes = [_on_globe(p.lat, p.lon) for p in self.book.gazetteer]
         table = _literal([{"x": x, "y": y, "z": z} for x, y, z in axes], "struct<x:double,y:double,z:double>")
+        lists = _literal([*self.near_lists, list(range(len(axes)))], "array<int>")
+        columns, rows = 360 // CELL_DEG, 180 // CELL_DEG
+        row = F.least(F.floor((point["lat"] + 90) / CELL_DEG), F.lit(rows - 1))
+        column = F.least(F.floor((point["lon"] + 180) / CELL_DEG), F.lit(columns - 1))
+        # Coordinates off the usual ranges are asked of every entry.
+        usual = point["lat"].between(-90, 90) & point["lon"].between(-180, 180)
+        cell = F.when(usual, row * columns + column).otherwise(rows * columns).cast("int")
 
         def closest(at: Column) -> Column:
-            def chord(e: Column, i: Column) -> Column:
-                dx, dy, dz = e["x"] - at["x"], e["y"] - at["y"], e["z"] - at["z"]
-                return F.struct((dx * dx + dy * dy + dz * dz).alias("d2"), i.alias("ord"))
+            def chord(o: Column) -> Column:
+                def squared(e: Column) -> Column:
+                    dx, dy, dz = e["x"] - at["x"], e["y"] - at["y"], e["z"] - at["z"]
+                    return F.struct((dx * dx + dy * dy + dz * dz).alias("d2"), o.alias("ord"))
+
+                return let(F.get(table, o), squared)
 
-            return F.array_min(F.transform(table, chord))["ord"]
+            return F.array_min(F.transform(at["near"], chord))["ord"]
 
         phi, lam = F.radians(point["lat"]), F.radians(point["lon"])
-        at = F.struct((F.cos(phi) * F.cos(lam)).alias("x"), (F.cos(phi) * F.sin(lam)).alias("y"), F.sin(phi).alias("z"))
+        at = F.struct(
+            (F.cos(phi) * F.cos(lam)).alias("x"), (F.cos(phi) * F.sin(lam)).alias("y"), F.sin(phi).alias("z"), F.get(lists, cell).alias("near")
+        )
 
         def labelled(row: Column) -> Column:
             return F.struct(

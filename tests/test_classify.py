@@ -161,3 +161,27 @@ def test_regions_in_any_number(spark):
     found = geojoin.within_regions(spark.createDataFrame(spots, "id long, lat double, lon double"), spark.createDataFrame(boxes, book.REGION_SCHEMA))
     want = {(i, b[0]) for i, lat, lon in spots if lat is not None for b in boxes if b[1] <= lon <= b[2] and b[3] <= lat <= b[4]}
     assert {(r["id"], r["region"]) for r in found.collect()} == want
+
+
+def test_nearest_by_cells_equals_the_scan(spark, classifier):
+    """100,000 points, corners and edges of cells, poles, the date line and odd coordinates; few entries per point."""
+    import numpy as np
+
+    from newsweft.operators.classify import CELL_DEG, _on_globe
+
+    rng = np.random.default_rng(7)
+    lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, 99_000))), rng.uniform(-180, 180, 99_000)
+    near = [(p.lat + rng.normal(0, 2), p.lon + rng.normal(0, 2)) for p in classifier.book.gazetteer for _ in range(4)]
+    edges = [(float(a), float(o)) for a in range(-90, 91, 3 * CELL_DEG) for o in range(-180, 181, 15)]
+    points = [*zip(lat.tolist(), lon.tolist()), *near, *edges, (91.5, 20.0), (10.0, 200.0), (-100.0, -540.0)]
+    entries = np.array([_on_globe(p.lat, p.lon) for p in classifier.book.gazetteer])
+    want = []
+    for start in range(0, len(points), 10_000):
+        at = np.array([_on_globe(a, o) for a, o in points[start : start + 10_000]])
+        want += (((at[:, None, :] - entries[None, :, :]) ** 2).sum(axis=2)).round(13).argmin(axis=1).tolist()
+    df = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(points)], "id int, lat double, lon double")
+    got = {r["id"]: r["n"] for r in df.select("id", classifier.nearest_place(F.struct("lat", "lon"))["name"].alias("n")).collect()}
+    names = [p.name for p in classifier.book.gazetteer]
+    assert [i for i in range(len(points)) if got[i] != names[want[i]]] == []
+    sizes = [len(x) for x in classifier.near_lists]
+    assert min(sizes) >= 1 and max(sizes) < 20
