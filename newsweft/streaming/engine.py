@@ -27,6 +27,7 @@ from newsweft.schemas import RAW_PAYLOADS
 from newsweft.session import cut_lineage
 from newsweft.sources.payloads import fetch_log, parse_payloads
 from newsweft.sources.postings import INDEX_TABLES, PostingIndex
+from newsweft.sources.seen import SEEN_TABLES, SeenIds
 from newsweft.sources.store import TableStore
 
 STATE_TABLES = ["core", "tokens", "places", "sources"]
@@ -64,6 +65,10 @@ class Monitor:
     def index(self) -> PostingIndex:
         return PostingIndex(self.store)
 
+    @property
+    def seen(self) -> SeenIds:
+        return SeenIds(self.store)
+
     def state(self, before: int | None = None) -> StoryState:
         """The last compacted state and what later batches added to it."""
         base = self.store.latest(before, "core")
@@ -88,6 +93,12 @@ class Monitor:
         needed = (F.col("published") >= F.lit(since) - F.expr(f"INTERVAL {RETENTION_HOURS + 1} HOURS")) | F.col("anchor_id").isNotNull()
         return stored.filter(needed).select("id")
 
+    def repeated_ids(self, items: DataFrame, since: datetime | None, before: int) -> DataFrame | None:
+        """The known ids among those of ``items``, from the buckets that they fall into."""
+        if since is None or not self.seen.covered(since, before):
+            return self.known_ids(since, before)
+        return self.seen.lookup(items, since, before)
+
     def items(self) -> DataFrame | None:
         """All items with the story they belong to now (folded stories resolved)."""
         stored = self.store.read_all("items")
@@ -114,17 +125,19 @@ class Monitor:
         oldest, newest = items.agg(F.min("fetched"), F.max("fetched")).first()
         held = self.index.lookup(items.select(F.explode("tokens").alias("token")), batch_id)
         found = replace(held, postings=cut_lineage(held.postings))
-        result = assign(items, before, self.anchors, F.col("fetched"), self.known_ids(oldest, batch_id), self.hot_df, found)
+        result = assign(items, before, self.anchors, F.col("fetched"), self.repeated_ids(items, oldest, batch_id), self.hot_df, found)
         tables = {"items": result.items, "alerts": first_report_alerts(result.items, before.core)}
         compact = bool(self.maintain_every) and (batch_id + 1) % self.maintain_every == 0
         if compact and newest is not None:
             state, moves = maintain(result.state, self.anchors, F.lit(newest))
             tables |= {**state.tables(), **self.index.whole(state.tokens), "redirects": compose_redirects(self.redirects(batch_id), moves)}
+            tables |= self.seen.whole(result.items, newest, batch_id)
         else:
             # only the stories that the batch touched: one row each
             touched = build(result.items)
             tables |= {f"{name}_added": table for name, table in touched.tables().items()}
             tables |= self.index.added(touched.tokens, found.postings)
+            tables["seen"] = self.seen.rows(result.items)
         if landed is not None:
             named = self.sources.select("source_id", F.col("name").alias("source"))
             counts = items.select("source", "fetched").join(named, "source")
@@ -137,7 +150,7 @@ class Monitor:
         """Drop the states that lie ``KEPT_STATES`` compactions back; items, alerts and logs stay."""
         last = batch_id - KEPT_STATES * self.maintain_every
         for version in range(max(0, last - self.maintain_every + 1), last + 1):
-            self.store.expire(version, [n + end for n in STATE_TABLES for end in ("", "_added")] + INDEX_TABLES)
+            self.store.expire(version, [n + end for n in STATE_TABLES for end in ("", "_added")] + INDEX_TABLES + SEEN_TABLES)
 
     def start(self, payloads: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Start the stream; ``trigger`` as in ``DataStreamWriter.trigger`` (default: what is there now)."""
