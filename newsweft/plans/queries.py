@@ -178,6 +178,11 @@ def item_detail(assigned: DataFrame, item_id: str) -> DataFrame:
     return assigned.filter(F.col("id") == item_id)
 
 
+def item_details(assigned: DataFrame, ids: DataFrame) -> DataFrame:
+    """The items named in ``ids`` (column ``id``), in one pass."""
+    return assigned.join(ids.select("id"), "id", "left_semi")
+
+
 def ticker(assigned: DataFrame, now: Column, limit: int) -> DataFrame:
     """Newest items across stories: three per story, published within six hours."""
     recent = F.col("published") > now - F.expr(f"INTERVAL {TICKER_HOURS} HOURS")

@@ -5,7 +5,7 @@ Each takes (spark, sf_dir) and returns a DataFrame over whole tables.
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -431,9 +431,8 @@ def zone_of_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
 def item_detail(spark: SparkSession, sf: str) -> DataFrame:
     """Everything that the detail view shows, for the newest item of each kind."""
     assigned = _keyed(spark, sf)
-    newest = assigned.groupBy("kind").agg(F.max(F.struct("published", "id")).alias("x")).select("x.id")  # five ids
-    found = reduce(DataFrame.unionByName, [q.item_detail(assigned, r["id"]) for r in newest.collect()])
-    return found.select("id", "story_id", "title", "kind", "category", "severity", stamp(F.col("published")).alias("published"), F.col("place.name").alias("place"))
+    newest = assigned.groupBy("kind").agg(F.max(F.struct("published", "id")).alias("x")).select("x.id")
+    return q.item_details(assigned, newest).select("id", "story_id", "title", "kind", "category", "severity", stamp(F.col("published")).alias("published"), F.col("place.name").alias("place"))
 
 
 def alert_sink(spark: SparkSession, sf: str) -> DataFrame:
