@@ -498,6 +498,38 @@ best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, last_
 ORACLE["similarity_best"] = _SIM + "SELECT id, story_id, round(score, 6) AS score FROM best WHERE r = 1"
 ORACLE["similarity_best_pruned"] = ORACLE["similarity_best"]
 
+# One batch: event ids and anchors first, then the best anchor story, then earlier founders in order of arrival.
+# Copies (same words, category, place, day) go where the first of them goes; the recursion walks the firsts one by one.
+_BATCH = _FREE + f""",
+gated AS (SELECT * FROM items WHERE anchor_id IS NOT NULL OR date_sub('hour', published, {NOW}) <= 1440),
+exact AS (SELECT * FROM gated WHERE event_key IS NOT NULL OR anchor_id IS NOT NULL),
+copies AS MATERIALIZED (SELECT f.*, first_value(id) OVER (PARTITION BY CASE WHEN len(toks) = 0 THEN id END, list_sort(toks), category, lat, lon, CAST(published AS DATE)
+    ORDER BY fetched, published, id) AS rep FROM free f WHERE id IN (SELECT id FROM gated)),
+reps AS MATERIALIZED (SELECT *, published AS last_update, row_number() OVER (ORDER BY fetched, published, id) AS k FROM copies WHERE id = rep)"""
+ORACLE["story_assignment"] = kept_items(_BATCH + STORIES.replace("FROM items)", "FROM exact)", 1)).replace("WITH news AS", "WITH RECURSIVE news AS", 1) + f""",
+words AS (SELECT story_id, token, count(*) AS n FROM (SELECT story_id, unnest(toks) AS token FROM exact JOIN per ON title = t WHERE event_key IS NULL) GROUP BY ALL),
+sizes AS (SELECT story_id, count(*) AS z FROM words GROUP BY story_id),
+rep_words AS MATERIALIZED (SELECT k, unnest(toks) AS token FROM reps),
+known AS (SELECT k, story_id, sum(1 + ln(1 + n)) AS w FROM rep_words JOIN words USING (token) GROUP BY ALL),
+to_known AS (SELECT i.k, s.story_id, s.last_update, round({similarity("i", "s", "least(1.0, h.w / (len(i.toks) + sqrt(z.z)))")}, 9) AS score
+  FROM known h JOIN reps i ON h.k = i.k JOIN stories s ON h.story_id = s.story_id JOIN sizes z ON z.story_id = s.story_id),
+matched AS MATERIALIZED (SELECT * FROM to_known WHERE score >= 0.34 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, last_update DESC, story_id) = 1),
+rest AS MATERIALIZED (SELECT * EXCLUDE (k), row_number() OVER (ORDER BY k) AS k, k AS rep_k FROM reps WHERE k NOT IN (SELECT k FROM matched)),
+rest_words AS MATERIALIZED (SELECT k, unnest(toks) AS token FROM rest),
+met AS (SELECT a.k AS later, b.k AS earlier, count(*) * (1 + ln(2)) AS w FROM rest_words a JOIN rest_words b ON a.token = b.token AND b.k < a.k GROUP BY ALL),
+edges AS MATERIALIZED (SELECT * FROM (SELECT h.later, h.earlier, round({similarity("i", "s", "least(1.0, h.w / (len(i.toks) + sqrt(len(s.toks))))")}, 9) AS score
+  FROM met h JOIN rest i ON h.later = i.k JOIN rest s ON h.earlier = s.k) WHERE score >= 0.34),
+mates AS MATERIALIZED (SELECT k, coalesce(list(earlier) FILTER (WHERE earlier IS NOT NULL), []) AS earlier FROM rest LEFT JOIN edges ON later = k GROUP BY k),
+walk(k, founders) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT m.k, CASE WHEN list_has_any(w.founders, m.earlier) THEN w.founders ELSE list_append(w.founders, m.k) END FROM walk w JOIN mates m ON m.k = w.k + 1),
+founders AS MATERIALIZED (SELECT unnest(founders) AS k FROM (SELECT founders FROM walk ORDER BY k DESC LIMIT 1)),
+joined AS (SELECT e.later AS k, f.id AS founder, e.score FROM edges e JOIN rest f ON f.k = e.earlier WHERE e.earlier IN (SELECT k FROM founders)
+  AND e.later NOT IN (SELECT k FROM founders) QUALIFY row_number() OVER (PARTITION BY e.later ORDER BY e.score DESC, f.published DESC, f.id) = 1),
+decided AS (SELECT r.id AS rep, coalesce(m.story_id, 's-' || coalesce(j.founder, r.id)) AS story_id, coalesce(m.score, j.score) AS score
+  FROM reps r LEFT JOIN matched m ON m.k = r.k LEFT JOIN rest t ON t.id = r.id LEFT JOIN joined j ON j.k = t.k)
+SELECT id, story_id, CASE WHEN event_key IS NOT NULL THEN 'event' ELSE 'anchor' END AS tier, CAST(NULL AS DOUBLE) AS score FROM exact
+UNION ALL SELECT c.id, d.story_id, CASE WHEN d.story_id = 's-' || c.id THEN 'new' ELSE 'similar' END, round(d.score, 6) FROM copies c JOIN decided d USING (rep)"""
+
 _WEEK = _FREE + """,
 weekly AS (SELECT * REPLACE ('w-' || source || '-' || CAST(template AS VARCHAR) || '-' || CAST(day(published) // 8 AS VARCHAR) AS story_id) FROM free)"""
 _PAIRS = kept_items(_WEEK + STORIES.replace("FROM items)", "FROM weekly)", 1).replace("seq AS (SELECT *,", "seq AS (SELECT * EXCLUDE (toks),") + f""",

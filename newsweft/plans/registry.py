@@ -593,7 +593,7 @@ def story_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """The whole news table through all four tiers."""
     anchors = stories.anchor_stories(spark)
     result = assign(news_items(spark, sf, classifier()), stories.empty_state(spark), anchors, now_literal())
-    return result.items.select("id", "story_id", "tier", "score")
+    return result.items.select("id", "story_id", "tier", F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ sources and health
