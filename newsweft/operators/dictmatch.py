@@ -7,8 +7,8 @@ Two forms with equal results:
 
 * :class:`TermPattern` compiles a small dictionary into one regular expression.
   Matching is a map-only projection: the text is read once and never shuffled.
-* :func:`keyword_hits` joins a dictionary of any size on the first word of each
-  term.  Only a short window per word travels, never the whole text.
+* :func:`keyword_hits` joins a dictionary of any size.  Only texts as long as a term that begins with
+  the same word travel, never the whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORD = "a-z0-9"
+SMALL = 200_000  # rows of a dictionary, or first words of its terms, that are sent to every executor
 
 
 def _is_word(ch: str) -> bool:
@@ -85,25 +86,36 @@ class TermPattern:
         return F.array_distinct(self.expand(self.positions(text), {t: [t] for t in self.terms}, "string"))
 
 
-def keyword_hits(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, term_col: str = "term") -> DataFrame:
+def keyword_hits(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, term_col: str = "term", small: int = SMALL) -> DataFrame:
     """Join texts with a dictionary of any size.
 
     Returns ``id_col``, all dictionary columns, ``n`` (occurrences) and ``first_at``
     (word number of the first one).  Terms must start with an ASCII letter or digit; others
-    raise when the plan runs.  The window that travels with a word is as long as the longest term.
+    raise when the plan runs.
+
+    A word asks the table of first words for the lengths of the terms that begin with it; only texts of these
+    lengths that end at a word's end travel on, and they meet the terms by equality.  So a word that begins no term
+    goes no further, and one that begins many terms is sent once per length.  The table of first words is broadcast
+    up to ``small`` words, as is a dictionary of up to ``small`` rows; beyond that both are shuffled joins.
     """
-    longest = dictionary.agg(F.max(F.char_length(term_col))).first()[0] or 1
+    first_word = F.regexp_extract(F.lower(term_col), f"\\A[{_WORD}]+", 0)
+    longest, n_terms, n_first = dictionary.agg(F.max(F.char_length(F.lower(term_col))), F.count("*"), F.count_distinct(first_word)).first()
+    longest = longest or 1
     ok = F.rlike(F.lower(term_col), F.lit(f"\\A[{_WORD}]"))
     terms = dictionary.withColumn(
         "_term", F.when(ok, F.lower(term_col)).otherwise(F.raise_error(F.concat(F.lit("bad term: "), F.col(term_col))))
-    ).withColumn("_key", F.regexp_extract("_term", f"\\A[{_WORD}]+", 0))
+    )
+    # The lengths of one first word are at most as many as the longest term has characters.
+    lengths = dictionary.groupBy(first_word.alias("_key")).agg(F.collect_set(F.char_length(F.lower(term_col))).alias("_lengths"))
     window = f"(?s)(?<![{_WORD}])(?=([{_WORD}].{{0,{longest}}}))"
     words = (
         df.select(id_col, F.posexplode(F.regexp_extract_all(F.lower(text_col), F.lit(window), F.lit(1))).alias("_at", "_window"))
         .withColumn("_key", F.regexp_extract("_window", f"\\A[{_WORD}]+", 0))
     )
-    after = F.substr("_window", F.char_length("_term") + 1, F.lit(1))
-    hits = words.join(terms, "_key").filter(
-        F.col("_window").startswith(F.col("_term")) & ~F.rlike(after, F.lit(f"\\A[{_WORD}]"))
+    asked = words.join(F.broadcast(lengths) if n_first <= small else lengths, "_key").select(id_col, "_at", "_window", F.explode("_lengths").alias("_length"))
+    ends = ~F.rlike(F.substr("_window", F.col("_length") + 1, F.lit(1)), F.lit(f"[{_WORD}]"))
+    candidates = asked.filter(ends & (F.char_length("_window") >= F.col("_length"))).select(
+        id_col, "_at", F.substr("_window", F.lit(1), F.col("_length")).alias("_term")
     )
+    hits = candidates.join(F.broadcast(terms) if n_terms <= small else terms, "_term")
     return hits.groupBy(id_col, *dictionary.columns).agg(F.count("*").alias("n"), F.min("_at").alias("first_at"))

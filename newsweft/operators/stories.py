@@ -79,11 +79,15 @@ def retitle_state(assigned: DataFrame) -> DataFrame:
     rows are range-partitioned by (story, arrival); every (story, slice) reduces to
     its maximum and its last renaming alert, and the slices combine in order: an
     alert of a later slice counts only when it beats the maximum before the slice.
+
+    Stories without an Alert have no row: their items are left before the sort.
     """
     spark = assigned.sparkSession
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    alerted = assigned.filter(F.col("kind") == "Alert").select("story_id").distinct()
     ranged = (
         assigned.select("story_id", "fetched", "published", "id", "kind", "title")
+        .join(alerted, "story_id", "left_semi")
         .repartitionByRange(slices, "story_id", "fetched", "published", "id")
         .withColumn("_slice", F.spark_partition_id())
     )
@@ -127,7 +131,7 @@ def build(assigned: DataFrame, titles: bool = True) -> StoryState:
         F.count_if(F.col("kind") == "Video").alias("n_videos"),
     )
     if titles:
-        core = facts.join(retitle_state(assigned), "story_id")
+        core = facts.join(retitle_state(assigned), "story_id", "left")
     else:
         core = facts.withColumns({"retitled_at": F.lit(None).cast("timestamp"), "retitle": F.lit(None).cast("string")})
     tokens = (

@@ -321,7 +321,9 @@ def story_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retitle(spark: SparkSession, sf: str) -> DataFrame:
-    return stories.retitle_state(_one_pass(spark, sf)).select("story_id", "retitle", stamp(F.col("retitled_at")).alias("retitled_at"))
+    items = _keyed(spark, sf)
+    named = items.select("story_id").distinct().join(stories.retitle_state(items), "story_id", "left")
+    return named.select("story_id", "retitle", stamp(F.col("retitled_at")).alias("retitled_at"))
 
 
 def story_centroids(spark: SparkSession, sf: str) -> DataFrame:
@@ -388,13 +390,13 @@ def map_markers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def probe_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    """Kept: ids that pass the noise veto and the relevance gate of ``enrich``, each once."""
-    view, _ = _news_view(spark, sf)
-    read = read_news(spark, sf, classifier())
-    kind = workload.mapped(F.col("event_type"), workload.SOURCE_KINDS)
-    relevant = kind.isin(*UNGATED_KINDS) | F.col("_read.anchor").isNotNull() | (F.col("_read.guess")["score"] >= MIN_RELEVANCE)
-    kept = read.filter(F.col("event_key").isNotNull() | ~F.col("_read.noise")).filter(relevant)
-    return q.funnel(workload.events(spark, sf), kept.select("id").distinct(), view)
+    """Kept: ids that pass the noise veto and the relevance gate of ``enrich``, each once; all counts are of one reading."""
+    read = cut_lineage(keyed_stories(news_items(spark, sf, classifier(), noise=True)))
+    view = q.story_view(stories.build(read, titles=False), read, stories.anchor_stories(spark), now_literal())
+    kind = workload.mapped(F.col("source"), workload.SOURCE_KINDS)
+    relevant = kind.isin(*UNGATED_KINDS) | F.col("anchor_id").isNotNull() | (F.col("relevance") >= MIN_RELEVANCE)
+    kept = read.filter(F.col("event_key").isNotNull() | ~F.col("noise")).filter(relevant)
+    return q.funnel(read, kept.select("id").distinct(), view)
 
 
 def probe_stories(spark: SparkSession, sf: str) -> DataFrame:

@@ -123,8 +123,8 @@ def read_news(spark: SparkSession, sf_dir: str, classifier: Classifier) -> DataF
     return read_rules(news(spark, sf_dir), F.col("title"), classifier)
 
 
-def news_items(spark: SparkSession, sf_dir: str, classifier: Classifier) -> DataFrame:
-    """``news`` as items in the library's item schema (no veto, no gate)."""
+def news_items(spark: SparkSession, sf_dir: str, classifier: Classifier, noise: bool = False) -> DataFrame:
+    """``news`` as items in the library's item schema (no veto, no gate); with ``noise`` the veto's mark comes along."""
     read = read_news(spark, sf_dir, classifier)
     guess, anchor = F.col("_read.guess"), F.col("_read.anchor")
     category = F.coalesce(anchor["category"], guess["category"])
@@ -150,6 +150,7 @@ def news_items(spark: SparkSession, sf_dir: str, classifier: Classifier) -> Data
         "user_id",
         "template",
         "event_id",
+        *([F.col("_read.noise").alias("noise")] if noise else []),
     )
 
 

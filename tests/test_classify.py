@@ -110,6 +110,24 @@ def test_pattern_and_join_agree_with_brute_force(spark):
     by_join = {(r["i"], r["term"]) for r in keyword_hits(df, "i", "t", dictionary).collect()}
     assert by_pattern == want
     assert by_join == want
+    assert {(r["i"], r["term"]) for r in keyword_hits(df, "i", "t", dictionary, small=0).collect()} == want
+
+
+def test_join_counts_overlapping_terms_and_keeps_every_dictionary_row(spark):
+    df = spark.createDataFrame([(1, "Red sea, red SEA fleet; redsea red"), (2, ""), (3, None), (4, "sea" * 50_000 + " red sea")], "i int, t string")
+    rows = [("red sea", 1), ("red sea", 2), ("red", 3), ("red sea fleet", 4), ("sea, red", 5), ("nothing", 6)]
+    dictionary = spark.createDataFrame(rows, "term string, row int")
+    want = {(1, "red sea", 1, 2, 0), (1, "red sea", 2, 2, 0), (1, "red", 3, 3, 0), (1, "red sea fleet", 4, 1, 2), (1, "sea, red", 5, 1, 1)}
+    want |= {(4, "red sea", 1, 1, 1), (4, "red sea", 2, 1, 1), (4, "red", 3, 1, 1)}
+    for small in (0, 200_000):
+        assert {tuple(r) for r in keyword_hits(df, "i", "t", dictionary, small=small).collect()} == want
+
+
+def test_join_ships_no_windows_with_a_small_dictionary(spark):
+    df = spark.createDataFrame([(1, "red sea")], "i int, t string").repartition(2)
+    dictionary = spark.createDataFrame([("red sea",)], "term string")
+    plan = keyword_hits(df, "i", "t", dictionary)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
 
 
 def test_matching_needs_no_shuffle(spark, classifier):
