@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORD = "a-z0-9"
-SMALL = 200_000  # rows of a dictionary, or first words of its terms, that are sent to every executor
+SMALL = 200_000  # rows of a dictionary that is sent to every executor, at most
 
 
 def _is_word(ch: str) -> bool:
@@ -95,12 +95,12 @@ def keyword_hits(df: DataFrame, id_col: str, text_col: str, dictionary: DataFram
 
     A word asks the table of first words for the lengths of the terms that begin with it; only texts of these
     lengths that end at a word's end travel on, and they meet the terms by equality.  So a word that begins no term
-    goes no further, and one that begins many terms is sent once per length.  The table of first words is broadcast
-    up to ``small`` words, as is a dictionary of up to ``small`` rows; beyond that both are shuffled joins.
+    goes no further, and one that begins many terms is sent once per length.  A dictionary of up to ``small`` counted rows
+    and the table of its first words are broadcast; beyond that both are shuffled joins.
     """
     first_word = F.regexp_extract(F.lower(term_col), f"\\A[{_WORD}]+", 0)
-    longest, n_terms, n_first = dictionary.agg(F.max(F.char_length(F.lower(term_col))), F.count("*"), F.count_distinct(first_word)).first()
-    longest = longest or 1
+    longest, n_terms = dictionary.agg(F.coalesce(F.max(F.char_length(F.lower(term_col))), F.lit(1)), F.count("*")).first()
+    sent = F.broadcast if n_terms <= small else lambda rows: rows
     ok = F.rlike(F.lower(term_col), F.lit(f"\\A[{_WORD}]"))
     terms = dictionary.withColumn(
         "_term", F.when(ok, F.lower(term_col)).otherwise(F.raise_error(F.concat(F.lit("bad term: "), F.col(term_col))))
@@ -112,10 +112,10 @@ def keyword_hits(df: DataFrame, id_col: str, text_col: str, dictionary: DataFram
         df.select(id_col, F.posexplode(F.regexp_extract_all(F.lower(text_col), F.lit(window), F.lit(1))).alias("_at", "_window"))
         .withColumn("_key", F.regexp_extract("_window", f"\\A[{_WORD}]+", 0))
     )
-    asked = words.join(F.broadcast(lengths) if n_first <= small else lengths, "_key").select(id_col, "_at", "_window", F.explode("_lengths").alias("_length"))
+    asked = words.join(sent(lengths), "_key").select(id_col, "_at", "_window", F.explode("_lengths").alias("_length"))
     ends = ~F.rlike(F.substr("_window", F.col("_length") + 1, F.lit(1)), F.lit(f"[{_WORD}]"))
     candidates = asked.filter(ends & (F.char_length("_window") >= F.col("_length"))).select(
         id_col, "_at", F.substr("_window", F.lit(1), F.col("_length")).alias("_term")
     )
-    hits = candidates.join(F.broadcast(terms) if n_terms <= small else terms, "_term")
+    hits = candidates.join(sent(terms), "_term")
     return hits.groupBy(id_col, *dictionary.columns).agg(F.count("*").alias("n"), F.min("_at").alias("first_at"))

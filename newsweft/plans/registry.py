@@ -321,7 +321,7 @@ def story_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retitle(spark: SparkSession, sf: str) -> DataFrame:
-    items = _keyed(spark, sf)
+    items = cut_lineage(_one_pass(spark, sf).select("story_id", "fetched", "published", "id", "kind", "title"))
     named = items.select("story_id").distinct().join(stories.retitle_state(items), "story_id", "left")
     return named.select("story_id", "retitle", stamp(F.col("retitled_at")).alias("retitled_at"))
 
