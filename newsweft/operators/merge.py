@@ -120,6 +120,24 @@ def overlap_classes(open_stories: DataFrame, postings: DataFrame) -> DataFrame:
     return copies.select(F.col("target_id").alias("a"), F.col("story_id").alias("b"), F.lit(1.0).alias("overlap"), F.lit("copy").alias("link")).unionByName(pairs)
 
 
+def all_pairs(open_stories: DataFrame, postings: DataFrame) -> DataFrame:
+    """Every pair of ``overlap_pairs``, those of copies included, written out from the links between classes.
+
+    Only representatives meet by their words; a class of n equal stories gives its n (n - 1) / 2 pairs by its members.
+    """
+    links = cut_lineage(overlap_classes(open_stories, postings))
+    copies = links.filter("link = 'copy'").select(F.col("a").alias("head"), F.col("b").alias("story_id"))
+    ranks = open_stories.select("story_id", _seniority().alias("rank"))
+    member = cut_lineage(ranks.join(copies, "story_id", "left").select(F.coalesce("head", "story_id").alias("head"), "story_id", "rank"))
+    within = copies.select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("overlap")).distinct()
+    classes = links.filter("link = 'pair'").select("a", "b", "overlap").unionByName(within)
+    x = member.select(F.col("head").alias("a"), F.col("story_id").alias("x"), F.col("rank").alias("x_rank"))
+    y = member.select(F.col("head").alias("b"), F.col("story_id").alias("y"), F.col("rank").alias("y_rank"))
+    older = F.col("x_rank") < F.col("y_rank")
+    met = classes.join(x, "a").join(y, "b").filter((F.col("a") != F.col("b")) | older)
+    return met.select(F.when(older, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(older, F.col("y")).otherwise(F.col("x")).alias("b"), "overlap")
+
+
 def fold_components(pairs: DataFrame, seniority: DataFrame) -> DataFrame:
     """Moves (story_id, target_id): every component of the pair graph to its oldest story.
 

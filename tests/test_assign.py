@@ -310,3 +310,14 @@ def test_maintenance_retires_and_folds(spark):
     assert folded["title"] == "Storm surge floods harbour district homes"
     counts = {r["token"]: r["n"] for r in state.tokens.filter("story_id = 's-a'").collect()}
     assert counts["storm"] == 3 and counts["homes"] == 2
+
+
+def test_all_pairs_lists_the_pairs_of_copies(spark):
+    """Three equal stories and one that shares most of their words: every pair is listed, older first."""
+    words = {"s-c": "storm surge floods harbour", "s-a": "storm surge floods harbour", "s-b": "storm surge floods harbour", "s-d": "storm surge floods harbour homes", "s-e": "other words"}
+    rows = [(s, "Other", None, None, T0 + hours(i)) for i, s in enumerate(words)]
+    open_stories = spark.createDataFrame(rows, "story_id string, category string, lat double, lon double, first_seen timestamp")
+    postings = spark.createDataFrame([(s, w, 1) for s, text in words.items() for w in text.split()], "story_id string, token string, n bigint")
+    got = sorted((r["a"], r["b"], round(r["overlap"], 6)) for r in merge.all_pairs(open_stories, postings).collect())
+    assert got == sorted([("s-c", "s-a", 1.0), ("s-c", "s-b", 1.0), ("s-a", "s-b", 1.0), *[(s, "s-d", 0.888889) for s in ("s-a", "s-b", "s-c")]])
+    assert {r[:2] for r in got} == {(r["a"], r["b"]) for r in merge.overlap_pairs(open_stories, postings).collect()}
