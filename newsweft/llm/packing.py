@@ -2,7 +2,7 @@
 
 Documents are dealt to shards of about ``SHARD`` documents by lexical likeness, so that documents which share words meet
 however large the corpus is: each has ``HASHES`` weighted MinHash values over its distinct token ids (the weight of an id is
-its squared idf in a sample of the texts), Spark range-partitions and sorts all by these values, and each partition is cut at every ``SHARD`` rows.
+its squared idf in all texts), Spark range-partitions and sorts all by these values, and each partition is cut at every ``SHARD`` rows.
 The hash of (doc_id, text) and a row's place come last in the order, so documents with one key are spread over
 as many shards as they fill. A task streams its shards and holds one: a BM25 inverted index over the shard's token ids. The first unused document is the seed of
 a window of ``WINDOW`` tokens; its BM25 neighbours that are not used yet fill the window in the order of their scores.
@@ -34,7 +34,6 @@ WINDOW = 2048
 SHARD = 512
 SEQUENCES = 20  # bits of a sequence's number in its shard
 HASHES = 4
-SAMPLE = 8192  # texts whose token ids are counted for the weights
 END = 1
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -139,23 +138,36 @@ def fill_windows(docs: list[np.ndarray], window: int) -> list[list[tuple[int, in
     return sequences
 
 
+def _encoded(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PieceEncoder.of(path)
+        for batch in batches:
+            ids = pa.array([encoder.encode(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), ids], names=["doc_id", "row_hash", "ids"])
+
+    return run
+
+
 def _counted(path: str):
-    """Token ids with the number of texts that have them, and the number of texts under id -1."""
+    """Token ids with the number of texts of the task that have them, and the number of its texts under id -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(path)
+        counts, n = np.zeros(encoder.tokenizer.get_vocab_size(), dtype=np.int64), 0
         for batch in batches:
-            each = [np.unique(encoder.encode(t)).astype(np.int64) for t in batch.column("text").to_pylist()]
-            ids, counts = np.unique(np.concatenate([np.full(len(each), -1), *each]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["token", "n"])
+            n += batch.num_rows
+            for ids in batch.column("ids").to_pylist():
+                counts[np.unique(np.frombuffer(ids, dtype=encoder.dtype))] += 1
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int64()), pa.array(np.append(counts[found], n), pa.int64())], names=["token", "n"])
 
     return run
 
 
-def _weights(rows: DataFrame, path: str, count: int) -> np.ndarray:
-    """Squared idf by token id; an id beyond the end or not in the sample is as rare as can be."""
-    some = rows.filter(F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(max(1, -(-count // SAMPLE)))) == 0)
-    found = {r.token: r.n for r in some.select("text").mapInArrow(_counted(path), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+def _weights(coded: DataFrame, path: str) -> np.ndarray:
+    """Squared idf by token id over all texts, of which ``ids`` has the token ids; an id beyond the end is in none."""
+    # at most as many rows as the vocabulary has entries
+    found = {r.token: r.n for r in coded.select("ids").mapInArrow(_counted(path), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     n = found.pop(-1, 0)
     df = np.zeros(max(found, default=0) + 1)
     df[list(found)] = list(found.values())
@@ -182,15 +194,14 @@ def _minhash(ids: np.ndarray, tables: np.ndarray) -> bytes:
     return np.array([ids[np.argmin(table[ids])] for table in tables], dtype=">u4").tobytes()
 
 
-def _encoded(path: str, weights: np.ndarray):
+def _keyed(path: str, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(path)
         tables = _tables(weights, encoder.tokenizer.get_vocab_size())
         for batch in batches:
-            ids = [encoder.encode(t) for t in batch.column("text").to_pylist()]
-            keys = pa.array([_minhash(i, tables) for i in ids], pa.binary())
-            columns = [batch.column("doc_id"), batch.column("row_hash"), keys, pa.array([i.tobytes() for i in ids], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_hash", "key", "ids"])
+            keys = pa.array([_minhash(np.frombuffer(ids, dtype=encoder.dtype), tables) for ids in batch.column("ids").to_pylist()], pa.binary())
+            columns = [*[batch.column(c) for c in ("doc_id", "row_hash", "ids", "place")], keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_hash", "ids", "place", "key"])
 
     return run
 
@@ -249,12 +260,12 @@ def deal(documents: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
     ``path`` is the tokenizer's file, at the same place on every executor.
     """
     rows = texts(documents).withColumn("row_hash", F.xxhash64("text"))
-    weights = _weights(rows, path, documents.count())
-    coded = cut_lineage(rows.mapInArrow(_encoded(path, weights), "doc_id long, row_hash long, key binary, ids binary"))
+    coded = cut_lineage(rows.mapInArrow(_encoded(path), "doc_id long, row_hash long, ids binary"))
     # rows of one key, even of one id and text, are spread by their place in the checkpoint, which does not move
-    placed = coded.withColumn("salt", F.xxhash64("doc_id", "row_hash")).withColumn("place", F.monotonically_increasing_id())
+    placed = coded.withColumn("place", F.monotonically_increasing_id())
+    keyed = placed.mapInArrow(_keyed(path, _weights(coded, path)), "doc_id long, row_hash long, ids binary, place long, key binary")
     order = ["key", "salt", "place"]
-    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = keyed.withColumn("salt", F.xxhash64("doc_id", "row_hash")).repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.select("doc_id", "row_hash", "ids").mapInArrow(_dealt(shard), "doc_id long, row_hash long, ids binary, shard long")
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -30,6 +31,20 @@ def test_related_documents_share_a_shard(spark, size):
     assert together >= 0.5 * size // 2
 
 
+def test_weights_count_every_text(spark):
+    """Rare words of 9,000 texts have the weights of all of them, not of some."""
+    path = tokenizer("byte_bpe_50k.json")
+    encoder = packing.PieceEncoder.of(path)
+    texts = [f"common {prose(i % 50, 1, 4000)} {i}" for i in range(9000)]
+    df = np.zeros(encoder.tokenizer.get_vocab_size())
+    for text in texts:
+        df[np.unique(encoder.encode(text))] += 1
+    rows = spark.createDataFrame([(i, i, encoder.encode(t).tobytes()) for i, t in enumerate(texts)], "doc_id long, row_hash long, ids binary").repartition(5)
+    got = packing._weights(rows, path)
+    want = np.log1p((len(texts) - df + 0.5) / (df + 0.5)) ** 2
+    assert np.allclose(got, want[: len(got)], rtol=1e-5) and not df[len(got) :].any()
+
+
 def test_one_key_is_split(spark):
     """Equal texts have one key and still fill several shards of bounded size."""
     rows = [(i, "the same words", "en", "a") for i in range(300)]
