@@ -9,7 +9,7 @@ The bootstrap finds identifiers that no pattern describes:
 * the lexical patterns of an identifier are the word in front of it, the two words in front of it and the word behind it,
   lower-cased, without signs at their ends, as far as they lie between it and the next identifier or candidate;
 * the pattern-instance graph has an edge for each (pattern, identifier) that occurs. A pattern's confidence is the share of
-  its words' occurrences (in documents that hold a seed or a candidate) that are beside a trusted
+  its words' occurrences in all texts, with or without an identifier in them, that are beside a trusted
   identifier; patterns of ``MIN_CONFIDENCE`` with ``MIN_SUPPORT`` or more distinct trusted identifiers are accepted,
   and a candidate is trusted once 1 - prod(1 - confidence) over its accepted patterns reaches ``MIN_SCORE``;
 * patterns and identifiers only grow from round to round; the rounds end when no identifier is added. Then candidates beside an
@@ -48,6 +48,7 @@ BLOCK = 4096  # code points of a text that a cut looks through
 MIN_CONFIDENCE = 0.5
 MIN_SUPPORT = 3
 MIN_SCORE = 0.5
+SMALL = 1_000_000  # rows of a word or two that a join sends to every executor, at most
 FAR = 2**31 - 1
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -172,12 +173,9 @@ def find(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = _marked(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), True).withColumn("row_hash", F.xxhash64("text"))
     other = _located(F.col("text"), CANDIDATE, "context", F.col("digit"), True)
     held = marked.withColumn("every", other).withColumn("other", _apart(F.col("every"), F.col("base")))
-    # the words of a text that has identifiers, and its pairs of neighbours
+    # the words of every text, and its pairs of neighbours; a word in front and a word behind have the same count
     words = F.transform(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), _clean)
-    named = lambda w: F.concat(
-        F.flatten(F.transform(w, lambda x: F.array(F.concat(F.lit("< "), x), F.concat(F.lit("> "), x)))),
-        F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.lit("<< "), x, F.lit(" "), F.get(w, i + 1))),
-    )
+    grams = lambda w: F.concat(w, F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
     rows = cut_lineage(held.select("doc_id", "row_hash", "base", "other"))
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     base = rows.select("doc_id", "row_hash", plain(F.col("base")).alias("base"))
@@ -185,10 +183,12 @@ def find(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = seen.select("doc_id", "row_hash", "kind", "start", "end", "value", F.explode("patterns").alias("cue"))
     edges = cut_lineage(seen.groupBy("cue", "value").agg(F.count("*").alias("n"), F.max((F.col("kind") != "context").cast("int")).alias("seed")))
     # a pattern that fewer identifiers have than the support asks can never be accepted
-    likely = edges.groupBy("cue").agg(F.count("*").alias("support")).filter(F.col("support") >= MIN_SUPPORT).select("cue")
-    rich = held.filter((F.size("base") > 0) | (F.size("other") > 0))
-    total = rich.select(F.explode(let(words, named)).alias("cue")).filter("cue is not null").groupBy("cue").agg(F.count("*").alias("total")).join(likely, "cue", "left_semi")
-    totals = cut_lineage(total)
+    likely = edges.groupBy("cue").agg(F.count("*").alias("support")).filter(F.col("support") >= MIN_SUPPORT)
+    likely = cut_lineage(likely.select("cue", F.substr("cue", F.instr("cue", " ") + 1).alias("gram")))
+    every = documents.select(text.alias("text")).select(F.explode(let(words, grams)).alias("gram")).filter("gram is not null")
+    if likely.count() <= SMALL:  # so few are sent to the texts, and no other word is shuffled
+        every = every.join(F.broadcast(likely.select("gram").distinct()), "gram", "left_semi")
+    totals = cut_lineage(every.groupBy("gram").agg(F.count("*").alias("total")).join(likely, "gram").select("cue", "total"))
     trusted = edges.filter("seed = 1").select("value").distinct()
     number, accepted = -1, None
     while True:

@@ -83,6 +83,14 @@ def test_contexts_find_unseen_identifiers(spark, write):
     assert all("context" not in found[100 + n] for n in range(16, 22))
 
 
+def test_confidence_counts_texts_without_identifiers(spark, write):
+    """A word beside addresses in a few texts and in many that hold no digit is no cue."""
+    texts = [f"{prose(i, 6)} desk u{i}@mail.example.org." for i in range(4)] + [f"{prose(50, 6)} desk zq77x {prose(51, 4)}"]
+    texts += [f"{prose(100 + i, 6)} desk {prose(200 + i, 6)}" for i in range(12)]
+    found = {r.doc_id: r.spans for r in op7_pii(spark, write(numbered(texts))).collect()}
+    assert found[104] == "" and all(found[100 + i].startswith("email") for i in range(4))
+
+
 def test_contexts_follow_chains(spark, write):
     """Five hops: the identifiers behind one cue stand behind the next, and only the first has seeds."""
     cues = ["alfa", "bravo", "carlo", "delta", "ecco", "fulda"]
