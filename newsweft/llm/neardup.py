@@ -1,22 +1,24 @@
-"""Near-duplicate documents by exact 5-word Jaccard similarity.
+"""Near-duplicate documents: SimHash candidates and an exact join, verified by 5-word Jaccard similarity.
 
 A text is lower-cased (A-Z), cut into words at ASCII white space and into distinct ``SHINGLE``-word
 shingles; a shorter text is one shingle, a text without words has none.  Two texts link if
 their shingle sets have a Jaccard similarity of 4/5 or more, equal sets included.
 
-1. Texts with equal sets are folded to one key, a hash of the set.
-2. All shingles have one order: those seen often in a sample of the texts last, the rest by hash.  Sets of n and m
+1. Texts with equal sets are folded to one key, a hash of the set. Each has a 64-bit SimHash fingerprint of its shingles.
+2. ``simhash.links`` (generalised pigeonhole) finds the fingerprints within two bits; these pairs of keys are candidates.
+   A link may be up to some ten bits apart, so the next steps find what lies beyond.
+3. All shingles have one order: those seen often in a sample of the texts last, the rest by hash.  Sets of n and m
    shingles that link share one of the first n - ceil(4n/5) + 1 (and m likewise) in that order, whatever the order is,
    so the sample decides what the join costs and not what it finds.
-3. The first shingles are shuffled by value; those of a single key go no further.
-4. Every key is compared with two others of its groups, the least and the one before it by size, and what
-   links is one component.  In a crowd of near copies this leaves few components, and no pairs of one
+4. The first shingles are shuffled by value; those of a single key go no further.
+5. Every key is compared with two others of its groups, the least and the one before it by size, and what
+   links among these and the SimHash candidates is one component.  In a crowd of near copies this leaves few components, and no pairs of one
    component are made afterwards.
-5. Every set has ``MARKS`` marks, the parities of its shingles per mark.  Two sets differ in at least as many shingles
+6. Every set has ``MARKS`` marks, the parities of its shingles per mark.  Two sets differ in at least as many shingles
    as marks, and sets that link differ in at most (n + m) / 9 shingles, so the join of keys of different components that
    share a first shingle leaves pairs whose marks differ more.  The others are counted: a pair that shares c first
    shingles has at most c + max(rest of n, rest of m) in common; if that is too little it is left, else it is verified.
-6. Verification is by the full sets, and components are built on verified links only.
+7. Verification is by the full sets, and components are built on verified links only.
 
 Nothing is estimated: recall against brute force is 1 (tested).  Shingles are compared by 64-bit hashes.
 """
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsweft.llm import simhash
 from newsweft.llm.common import cut_lineage, set_aside, texts
 from newsweft.llm.components import components
 
@@ -42,7 +45,7 @@ COMMON = 200_000  # shingles that the order puts last, at most
 SMALL = 2_000_000  # rows of two longs that a join sends to every executor, at most; more are shuffled with the texts
 SLICE = 256  # texts of one outgoing batch
 MARKS = 1024  # parities of a set; more tell longer texts apart, none changes what is found
-PRINT = "doc_id long, text_hash long, key long, n long, marks array<long>"
+PRINT = "doc_id long, text_hash long, key long, n long, fp long, marks array<long>"
 
 
 # ---------------------------------------------------------------- shingles
@@ -71,6 +74,14 @@ def _key(shingles: np.ndarray) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash: a bit is set if more than half of the shingles' hashes have it."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(shingles), 65_536):
+        counts += np.unpackbits(shingles[at : at + 65_536].astype(">i8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(shingles)).astype(np.uint8)).view(">i8")[0])
+
+
 def marks(shingles: np.ndarray) -> np.ndarray:
     """``MARKS`` bits as longs: bit i is set if an odd number of shingles falls on it."""
     places = (shingles.view(np.uint64) % np.uint64(MARKS)).astype(np.int64)
@@ -81,8 +92,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
         columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+        columns.append(pa.array([fingerprint(s) for s in sets], pa.int64()))
         columns.append(pa.array([marks(s) for s in sets], pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "n", "marks"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "n", "fp", "marks"])
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +219,20 @@ def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame) -> DataFrame
     return cut_lineage(pairs.join(left, "a").join(right, "b").filter(_enough(common)).select("a", "b"))
 
 
+def similar(prints: DataFrame) -> DataFrame:
+    """(a, b, n, m): pairs of keys whose fingerprints are linked.
+
+    The least key stands for a fingerprint; the other keys of it meet that one only, so many keys of one fingerprint make no pairs.
+    """
+    keys = prints.filter("n > 0").select("key", "n", "fp").distinct()
+    heads = cut_lineage(keys.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("head")))
+    linked = simhash.links(heads.select("fp"))
+    across = linked.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("one")), "a").join(heads.withColumnRenamed("fp", "b"), "b")
+    both = keys.join(heads, "fp").select("key", "n", "head").union(across.select("one.key", "one.n", "head")).filter("key <> head.key")
+    pairs = both.select(F.greatest("key", "head.key").alias("a"), F.least("key", "head.key").alias("b"), F.col("n"), F.col("head.n").alias("m"))
+    return _ordered(pairs.filter("5 * n >= 4 * m and 5 * m >= 4 * n")).distinct()
+
+
 def links(rows: DataFrame, prints: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(a, b): verified links between keys; their components are those of all links."""
     common = _common_shingles(rows, prints.count(), sample)
@@ -221,7 +247,7 @@ def links(rows: DataFrame, prints: DataFrame, sample: int = SAMPLE) -> DataFrame
     near = near.filter(F.col("x").isNotNull() & (F.col("x.key") != F.col("key")))
     near = near.select(F.greatest("key", "x.key").alias("a"), F.least("key", "x.key").alias("b"), F.col("n"), F.col("x.n").alias("m"))
     near = near.filter("5 * n >= 4 * m and 5 * m >= 4 * n")
-    first = _verified(_possible(_ordered(near)), prints, rows)
+    first = _verified(_possible(_ordered(near)).union(similar(prints)).distinct(), prints, rows)
 
     roots = components(first).withColumnRenamed("node", "key")
     labelled = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -73,6 +73,22 @@ def test_stage_keeps_one_of_each_group(spark, sample):
     assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(str((r[0], r[1])) for r in kept(rows))
 
 
+def test_simhash_finds_candidates(spark):
+    """All texts within two bits of another are in a candidate pair, and the stage asks SimHash for them."""
+    rows = [r for r in near_copies() if r[1] and r[1].split()]
+    sets = {neardup._key(s): s for s in (neardup.shingle_set(r[1]) for r in rows)}
+    prints = spark.createDataFrame([(0, 0, k, len(s), neardup.fingerprint(s), []) for k, s in sets.items()], neardup.PRINT)
+    bits = {k: neardup.fingerprint(s) for k, s in sets.items()}
+    close = {k for k in bits for j in bits if j != k and ((bits[j] ^ bits[k]) & ((1 << 64) - 1)).bit_count() <= 2 and 5 * min(len(sets[j]), len(sets[k])) >= 4 * max(len(sets[j]), len(sets[k]))}
+    pairs = neardup.similar(prints).collect()
+    assert len(close) > 10 and close == {k for r in pairs for k in (r.a, r.b)}
+    asked = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(neardup.simhash, "links", lambda prints, links=neardup.simhash.links: asked.append(prints) or links(prints))
+        neardup.keep_first(table(spark, rows[:40])).count()
+    assert asked
+
+
 def test_pipeline_stage_drops_near_copies(spark):
     text = prose(1, 100, 3000).split(" ")
     rows = [(1, " ".join(text), "en", "a"), (2, " ".join([*text[:50], "other", *text[51:]]), "en", "b"), (3, prose(2, 100, 3000), "en", "a")]
