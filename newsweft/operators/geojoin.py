@@ -13,6 +13,8 @@ from newsweft.operators.dictmatch import keyword_hits
 from newsweft.session import cut_lineage
 
 REGION_CELL = 10.0  # degrees
+CROWD = 4  # markers in a marker's cell, on average, of the narrowest cells
+MOST_HALVINGS = 12  # of the width of the cells of markers
 NEAREST_WIDTHS = (0.02, 0.16, 2.5)  # cells in radii of the globe: some 130 km, 1,000 km, and the globe
 
 
@@ -114,25 +116,40 @@ def density(points: DataFrame, nx: int, ny: int, lat: str = "lat", lon: str = "l
 def nearest_marker(points: DataFrame, markers: DataFrame, max_deg: float, id_col: str = "id") -> DataFrame:
     """Nearest marker within ``max_deg`` degrees (latitude counts double), per point.
 
-    Both sides are cut into cells of ``max_deg``; only the 3 x 3 cells around a point
-    can hold a marker that near, so this is an equi-join for any number of markers.
+    Markers at one position are one, the least of them. Both sides are cut into cells; only the 3 x 3 cells around a point
+    can hold a marker within a cell's width, so this is an equi-join for any number of markers. The first cells are
+    so narrow that a marker has few others in its own; what is found within the width is the nearest of all, and points
+    that find none go to cells of twice the width, up to ``max_deg``. So a point meets a few markers however many there are.
     ``points``: id, lat, lon.  ``markers``: marker_id, lat, lon.
     """
-
-    def cell(c: Column) -> Column:
-        return F.floor(c / max_deg).cast("int")
-
-    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    around = (
-        points.select(id_col, "lat", "lon")
-        .withColumn("dx", F.explode(steps))
-        .withColumn("dy", F.explode(steps))
-        .select(id_col, "lat", "lon", (cell(F.col("lon")) + F.col("dx")).alias("cx"), (cell(F.col("lat")) + F.col("dy")).alias("cy"))
-    )
-    pinned = markers.select(
-        "marker_id", F.col("lat").alias("m_lat"), F.col("lon").alias("m_lon"), cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy")
-    )
+    located = markers.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    pins = cut_lineage(located.groupBy("lat", "lon").agg(F.min(F.struct("marker_id")).alias("first")).select("first.marker_id", F.col("lat").alias("m_lat"), F.col("lon").alias("m_lon")))
+
+    def cells(lat: str, lon: str, width: float) -> list[Column]:
+        return [F.floor(F.col(lon) / width), F.floor(F.col(lat) * 2 / width)]
+
+    def crowd(width: float) -> float:
+        cx, cy = cells("m_lat", "m_lon", width)
+        counts = pins.groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.count("*").alias("n"))
+        return counts.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+
+    halvings = 0
+    while halvings < MOST_HALVINGS and crowd(max_deg / 2**halvings) > CROWD:
+        halvings += 1
+    left = points.select(id_col, "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    steps = [F.lit(d) for d in (-1, 0, 1)]
     dx, dy = F.col("m_lon") - F.col("lon"), (F.col("m_lat") - F.col("lat")) * 2
-    squared = dx * dx + dy * dy
-    near = around.join(pinned, ["cx", "cy"]).withColumn("d2", squared).filter(F.col("d2") <= max_deg * max_deg)
-    return near.groupBy(id_col).agg(F.min_by("marker_id", F.struct("d2", "marker_id")).alias("marker_id"), F.min("d2").alias("d2"))
+    found = []
+    for level in range(halvings, -1, -1):
+        width = max_deg / 2**level
+        reach = width * (1 - 1e-9) if level else max_deg
+        cx, cy = cells("m_lat", "m_lon", width)
+        listed = pins.withColumn("cx", F.explode(F.array(*[cx + d for d in steps]))).withColumn("cy", F.explode(F.array(*[cy + d for d in steps])))
+        cx, cy = cells("lat", "lon", width)
+        near = left.withColumns({"cx": cx, "cy": cy}).join(listed, ["cx", "cy"]).withColumn("d2", dx * dx + dy * dy).filter(F.col("d2") <= reach * reach)
+        best = near.groupBy(id_col).agg(F.min_by("marker_id", F.struct("d2", "marker_id")).alias("marker_id"), F.min("d2").alias("d2"))
+        if level:
+            best = cut_lineage(best)
+            left = cut_lineage(left.join(best.select(F.col(id_col).alias("_found")), F.col(id_col).eqNullSafe(F.col("_found")), "left_anti"))
+        found.append(best)
+    return reduce(DataFrame.unionByName, found)

@@ -1,9 +1,13 @@
 import datetime as dt
+import random
+import time
 
 from pyspark.sql import functions as F
 
 from helpers import column, distance
+from newsweft import session
 from newsweft.functions import geo, grading, times
+from newsweft.operators import geojoin
 
 
 def test_dates(spark):
@@ -79,3 +83,46 @@ def test_grades(spark):
     words = {"Couple rescued after deadline passes": 3, "Massacre reported": 4, "Drone seen": 2, "Nothing much": 0}
     assert column(spark, list(words), lambda c: grading.severity_from_text(c, F.lit("Other"))) == list(words.values())
     assert column(spark, ["ArmedConflict", "Health", "Economy"], lambda c: grading.severity_from_text(F.lit("x"), c)) == [2, 1, 0]
+
+
+def brute_markers(points, markers, reach):
+    best = {}
+    for i, lat, lon in points:
+        if lat is None or lon is None:
+            continue
+        for m, a, o in markers:
+            if a is not None and o is not None:
+                d2 = (o - lon) ** 2 + ((a - lat) * 2) ** 2
+                if d2 <= reach * reach:
+                    best[i] = min(best.get(i, (9e9, 0)), (d2, m))
+    return best
+
+
+def test_nearest_marker_equals_brute_force(spark):
+    """Crowds, lone markers, copies at one position, ties, repeated and null ids, points without a marker."""
+    rnd = random.Random(3)
+    near = lambda lat, lon, by: (round(lat + rnd.uniform(-by, by), 3), round(lon + rnd.uniform(-by, by), 3))
+    markers = [(i, *near(10, 20, 0.3)) for i in range(300)] + [(900 - i, *near(-5, -5, 9)) for i in range(60)]
+    markers += [(2000, 50.0, 50.0), (1999, 50.0, 50.0), (2001, 50.0, 52.0), (2002, None, 1.0), (2003, 88.0, 179.5)]
+    points = [(i, *near(10, 20, 4)) for i in range(150)] + [(200 + i % 90, *near(-5, -5, 12)) for i in range(150)]
+    points += [(400, 50.0, 51.0), (401, 51.9, 50.1), (402, -80.0, 0.0), (403, None, 5.0), (None, 50.0, 50.5), (None, 50.0, 53.9), (404, 50.0, 56.0)]
+    frame = spark.createDataFrame(points, "id long, lat double, lon double")
+    got = geojoin.nearest_marker(frame, spark.createDataFrame(markers, "marker_id long, lat double, lon double"), 4.0).collect()
+    want = brute_markers(points, markers, 4.0)
+    assert len(got) == len(want) and {r["id"]: (r["d2"], r["marker_id"]) for r in got} == want
+
+
+def test_nearest_marker_does_not_grow_with_the_square(spark):
+    """40,000 points and 40,000 markers in one cell of the widest kind."""
+    place = lambda k: [(F.pmod(F.col("id") * p, F.lit(40_009)) / 20_005.0).alias(n) for p, n in ((k, "lat"), (k * 7 + 3, "lon"))]
+    started = time.time()
+    found = geojoin.nearest_marker(spark.range(40_000).select("id", *place(911)), spark.range(40_000).select(F.col("id").alias("marker_id"), *place(577)), 4.0)
+    assert found.count() == 40_000 and time.time() - started < 60
+
+
+def test_splits_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_SPLIT", 100)
+    few = spark.range(0, 2_000, 1, 1)
+    assert session.spread(few, "id").rdd.getNumPartitions() == 20
+    assert session.spread(spark.range(0, 300, 1, 1), "id").rdd.getNumPartitions() == session.FEW_SPLITS
+    assert session.spread(spark.range(0, 2_000, 1, 30), "id").rdd.getNumPartitions() == 30
