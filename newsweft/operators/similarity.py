@@ -35,6 +35,7 @@ from newsweft.functions import grading
 from newsweft.functions.geo import EARTH_RADIUS_KM, distance_km
 
 HOT_DF = 2_000
+ITEMS_PER_TASK = 5_000  # an item has few bytes and many candidates, so tasks are cut by items
 LIGHT_N = 2
 LIGHT_STORY = 4
 NEAR_KM = 600.0
@@ -152,6 +153,8 @@ def scored_pairs(
     arrived before the item count.  With ``sizes`` (of whole stories) the postings need only be those of the items' words;
     with ``frequencies`` (token, df) only words that these call frequent are looked at as such.
     """
+    tasks = -(-items.count() // ITEMS_PER_TASK)
+    items = items.repartition(tasks, "id") if tasks > 1 else items
     sizes = story_sizes(postings) if sizes is None else sizes
     sized = _sized(postings, sizes)
     frequent = sized if frequencies is None else sized.join(frequencies.filter(F.col("df") > hot_df), "token", "left_semi")
