@@ -9,7 +9,9 @@ phrase once, with the least document that has it: windows of later occurrences a
 
 Dictionary.  What is left are windows of first occurrences that may stand in another phrase as well: around edits,
 and where passages begin and end. Each window has an anchor, the least hash of its ``GRAM``-byte strings, which depends
-on the window alone; a window whose anchor occurs in one distinct phrase only has no twin elsewhere. Runs of windows with one
+on the window alone; a window whose anchor occurs in the first occurrence of one distinct phrase only has no twin elsewhere. A home
+tells its anchors once it knows which of its phrases are first occurrences, so an anchor goes with a small number and not with names
+of phrases, and anchors of copies do not travel. Runs of windows with one
 shared anchor travel as the text that they cover, to the range of that anchor. The suffixes that begin there, cut to ``LENGTH``
 bytes, are ordered by their hash, equal neighbours are checked byte by byte (if two strings share a hash, the suffixes
 themselves are sorted), and each class of equal ones gets its least document. The parse tells where each suffix stands. Only
@@ -42,7 +44,7 @@ from newsweft.llm.common import cut_lineage, keep_partitions, texts
 LENGTH = 50
 TRIGGER = 12
 PERIOD = 128  # a power of two
-GRAM = 16
+GRAM = 24
 HOME = 8_000_000  # bytes of text in a home; smaller ones leave too little in a packed row to compress
 CHUNK = 200_000  # bytes parsed at once: the arrays of a chunk stay in the cache
 RUN = 4096  # windows in a run
@@ -56,7 +58,8 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 # kinds of rows: phrases, anchors, runs of windows, windows of frequent anchors
 PHRASES, ANCHORS, RUNS, WINDOWS = range(4)
 NAME = np.dtype([("a", "<u8"), ("b", "<u8"), ("low", "<i8"), ("high", "<i8")])
-ANCHOR = np.dtype([("key", "<u8"), ("low", "<u8"), ("high", "<u8"), ("n", "<u4")])
+ANCHOR = np.dtype([("key", "<u8"), ("n", "<u2")])
+HELD = np.dtype([("key", "<u8"), ("phrase", "<u8")])
 RUN_OF = np.dtype([("key", "<u8"), ("low", "<i8"), ("row", "<u4"), ("start", "<u4"), ("size", "<u2")])
 FIRST = np.dtype([("a", "<u8"), ("b", "<u8"), ("low", "<i8")])
 SHARED = np.dtype([("key", "<u8"), ("hot", "u1")])
@@ -151,12 +154,12 @@ class Parse:
     def anchors(self) -> np.ndarray:
         """The anchor of every window, mixed once more, since least values crowd at the low end of the ranges.
 
-        48 bits of the hash do, as a false twin costs a comparison only.
+        40 bits of the hash do, as a false twin costs a comparison only.
         """
         if not len(self.at):
             return np.zeros(0, dtype=np.uint64)
         gram = rolling(self.array, GRAM)
-        return _mix(least_of(gram, LENGTH - GRAM + 1)[self.at]) & np.uint64(0xFFFFFFFFFFFF0000)
+        return _mix(least_of(gram, LENGTH - GRAM + 1)[self.at]) & np.uint64(0xFFFFFFFFFF000000)
 
     def hashes(self, at: np.ndarray) -> np.ndarray:
         """128-bit hashes of the windows at some positions."""
@@ -199,11 +202,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _squeezed(rows: np.ndarray, text: bytes = b"") -> bytes:
-    """Entries column by column and byte by byte, as high bytes of sorted keys compress well; then the text."""
+    """Entries column by column and byte by byte, as high bytes of sorted keys compress well; then the text.
+
+    Most names have one document, so ``high`` is kept as its distance from ``low``.
+    """
     import zstandard
 
+    if "high" in rows.dtype.names:
+        rows = rows.copy()
+        rows["high"] -= rows["low"]
     planes = b"".join(np.ascontiguousarray(rows[n]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for n in rows.dtype.names) if len(rows) else b""
-    return len(rows).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes + text)
+    return len(rows).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3 if text else 1).compress(planes + text)
 
 
 def _opened(data: bytes, kind: np.dtype) -> tuple[np.ndarray, bytes]:
@@ -216,11 +225,13 @@ def _opened(data: bytes, kind: np.dtype) -> tuple[np.ndarray, bytes]:
         width = kind[name].itemsize
         rows[name] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T.copy().view(kind[name]).ravel()
         at += n * width
+    if "high" in kind.names:
+        rows["high"] += rows["low"]
     return rows, raw[at:]
 
 
 def _folded(rows: np.ndarray, keys: list[str]) -> np.ndarray:
-    """One row per key, with the least ``low``, the greatest ``high`` and the sum of ``n``; sorted by key."""
+    """One row per key, with the least ``low`` and the greatest ``high``; sorted by key."""
     if not len(rows):
         return rows
     rows = rows[np.lexsort([rows[k] for k in reversed(keys)])]
@@ -228,8 +239,6 @@ def _folded(rows: np.ndarray, keys: list[str]) -> np.ndarray:
     out = rows[first].copy()
     out["low"] = np.minimum.reduceat(rows["low"], first)
     out["high"] = np.maximum.reduceat(rows["high"], first)
-    if "n" in rows.dtype.names:
-        out["n"] = np.add.reduceat(rows["n"], first)
     return out
 
 
@@ -251,25 +260,42 @@ def _dealt(rows: np.ndarray, key: str, home: int, kind: int, buckets: int) -> li
 
 
 def _parsed(buckets: int):
-    """Step 1, per home: distinct phrases with their documents, distinct anchors with their phrases."""
+    """Step 1, per home: distinct phrases with their documents."""
 
     def run(table: pa.Table) -> pa.Table:
         home = table.column("home")[0].as_py()
-        phrases, anchors = [], []
+        phrases = []
         for parse in _chunks(table):
             row = np.empty(len(parse.starts), dtype=NAME)
             row["a"], row["b"], row["low"], row["high"] = parse.names[:, 0], parse.names[:, 1], parse.order, parse.order
             phrases.append(_folded(row, ["a", "b"]))
+        return _table(_dealt(_folded(np.concatenate(phrases), ["a", "b"]), "a", home, PHRASES, buckets), ["bucket", "home", "kind", "data"])
+
+    return run
+
+
+def _anchored(buckets: int):
+    """Step 3, per home: distinct anchors of the phrases that no smaller document has, and how many of these have each.
+
+    Rows of one id are in one home, so a phrase is counted once.
+    """
+
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        known, held = Known(back), [np.empty(0, dtype=HELD)]
+        for parse in _chunks(docs) if docs.num_rows else ():
             key, phrase = parse.anchors(), parse.phrase_of()
-            new = _breaks(key, phrase)
-            row = np.empty(int(new.sum()), dtype=ANCHOR)
-            # 48 bits tell the phrases of an anchor apart
-            row["key"], row["n"] = key[new], 1
-            row["low"] = row["high"] = parse.names[phrase[new], 1] >> np.uint64(16)
-            anchors.append(_folded(row, ["key"]))
-        out = _dealt(_folded(np.concatenate(phrases), ["a", "b"]), "a", home, PHRASES, buckets)
-        out += _dealt(_folded(np.concatenate(anchors), ["key"]), "key", home, ANCHORS, buckets)
-        return _table(out, ["bucket", "home", "kind", "data"])
+            new = _breaks(key, phrase) & ~known.copied(parse)[phrase]
+            row = np.empty(int(new.sum()), dtype=HELD)
+            row["key"], row["phrase"] = key[new], parse.names[phrase[new], 0]
+            held.append(row)
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort([rows["phrase"], rows["key"]])]
+        rows = rows[_breaks(rows["key"], rows["phrase"])]
+        first = np.flatnonzero(_breaks(rows["key"]))
+        out = np.empty(len(first), dtype=ANCHOR)
+        out["key"], out["n"] = rows["key"][first], np.minimum(np.diff(np.append(first, len(rows))), HOT + 1)
+        home = (docs if docs.num_rows else back).column("home")[0].as_py()
+        return _table(_dealt(out, "key", home, ANCHORS, buckets), ["bucket", "home", "kind", "data"])
 
     return run
 
@@ -315,16 +341,15 @@ def _shared_anchors(table: pa.Table) -> list[tuple]:
     order = np.argsort(rows["key"], kind="stable")
     rows, home = rows[order], home[order]
     first = np.flatnonzero(_breaks(rows["key"]))
-    sizes = np.diff(np.append(first, len(rows)))
-    shared = np.repeat(np.minimum.reduceat(rows["low"], first) < np.maximum.reduceat(rows["high"], first), sizes)
-    hot = np.repeat(np.add.reduceat(rows["n"].astype(np.int64), first) > HOT, sizes)
+    number = np.repeat(np.add.reduceat(rows["n"].astype(np.int64), first), np.diff(np.append(first, len(rows))))
+    shared, hot = number > 1, number > HOT
     send = np.empty(int(shared.sum()), dtype=SHARED)
     send["key"], send["hot"] = rows["key"][shared], hot[shared]
     return _by_home(send, home[shared], ANCHORS)
 
 
 def _compared(table: pa.Table) -> pa.Table:
-    """Step 2, per range."""
+    """Steps 2 and 4, per range."""
     return _table(_least_names(table, PHRASES) + _shared_anchors(table), ["home", "kind", "data"])
 
 
@@ -381,7 +406,7 @@ def _as_runs(row: np.ndarray, start: np.ndarray, home: np.ndarray) -> np.ndarray
 
 
 def _decided(table: pa.Table) -> pa.Table:
-    """Step 4, per range."""
+    """Step 6, per range."""
     return _table(_repeated_runs(table) + _least_names(table, WINDOWS), ["home", "kind", "data"])
 
 
@@ -414,9 +439,14 @@ class Known:
         """Per phrase: whether a smaller document has it."""
         return self.earlier(self.phrases, parse.names[:, 0], parse.names[:, 1], parse.order)
 
-    def undecided(self, parse: Parse, copied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows outside copied phrases whose anchor is shared: their numbers, anchors, and whether it is frequent."""
+    def undecided(self, parse: Parse, copied: np.ndarray, anchored: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows outside copied phrases whose anchor is shared: their numbers, anchors, and whether it is frequent.
+
+        If the homes have not told their anchors, any anchor may be shared.
+        """
         number = np.flatnonzero(~copied[parse.phrase_of()])
+        if not anchored:
+            return number, parse.anchors()[number], np.zeros(len(number), dtype=bool)
         if not len(self.anchors) or not len(number):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
         key = parse.anchors()[number]
@@ -425,13 +455,13 @@ class Known:
         return number[shared], key[shared], self.hot[where[shared]]
 
 
-def _asked(buckets: int):
-    """Step 3, per home: runs of undecided windows with their text, and windows of frequent anchors."""
+def _asked(buckets: int, anchored: bool = False):
+    """Step 5, per home: runs of undecided windows with their text, and windows of frequent anchors."""
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         known, runs, texts_, windows = Known(back), [], [], []
         for parse in _chunks(docs) if docs.num_rows else ():
-            number, key, hot = known.undecided(parse, known.copied(parse))
+            number, key, hot = known.undecided(parse, known.copied(parse), anchored)
             at = parse.at[number]
             doc = np.searchsorted(parse.first, at, side="right") - 1
             if hot.any():
@@ -475,7 +505,7 @@ def _asked(buckets: int):
 
 
 def _removed(docs: pa.Table, back: pa.Table) -> pa.Table:
-    """Step 5, per home: what is left of each document."""
+    """Step 7, per home: what is left of each document."""
     known, out = Known(back), []
     names = {row: name for row, _, name, _ in _docs(docs)} if docs.num_rows else {}
     for parse in _chunks(docs) if docs.num_rows else ():
@@ -522,8 +552,10 @@ def remove_repeats(documents: DataFrame, with_bytes: bool = False) -> DataFrame:
     packed = rows.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int")).mapInArrow(_pack, DOCS)
     docs = keep_partitions(packed.repartition(homes, "home"))
     sent = docs.groupBy("home").applyInArrow(_parsed(homes), SENT)
-    known = cut_lineage(sent.groupBy("bucket").applyInArrow(_compared, BACK))
-    asked = docs.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_asked(homes), SENT)
+    phrases = cut_lineage(sent.groupBy("bucket").applyInArrow(_compared, BACK))
+    first = docs.groupBy("home").cogroup(phrases.groupBy("home")).applyInArrow(_anchored(homes), SENT)
+    known = phrases.union(cut_lineage(first.groupBy("bucket").applyInArrow(_compared, BACK)))
+    asked = docs.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_asked(homes, anchored=True), SENT)
     told = cut_lineage(asked.groupBy("bucket").applyInArrow(_decided, BACK))
     every = docs.groupBy("home").cogroup(known.union(told).groupBy("home"))
     schema = RESULT if with_bytes else RESULT.rsplit(",", 1)[0]

@@ -136,6 +136,38 @@ def test_repeats(spark, home, chunk, run, hot):
     assert sorted(map(str, got)) == sorted(map(str, repeats([r[:2] for r in rows])))
 
 
+@pytest.mark.parametrize("home, chunk, run, hot", [(20_000, 3_000, 7, 3), (20_000, 500, 4096, 0), (8_000_000, 1_000_000, 4096, 256)])
+def test_repeats_by_anchors(monkeypatch, home, chunk, run, hot):
+    """As above, with the step that tells anchors; the anchors of copies are not sent, those of new phrases in a few bytes."""
+    import pyarrow as pa
+    import zstandard
+
+    for name, value in (("CHUNK", chunk), ("RUN", run), ("HOT", hot)):
+        monkeypatch.setattr(repeat_ops, name, value)
+    rows = [r[:2] for r in families() + boundary_rows()]
+    rows += [(None, "n" * 30 + prose(7, 40)), (None, prose(7, 40)), (901, prose(7, 40)), (901, prose(7, 40) + " again"), (902, "m" + prose(7, 40))]
+    rows += [(1000 + i, prose(9, 3_000)) for i in range(20)]
+    homes = max(1, sum(len((t or "").encode()) for _, t in rows) // home)
+    packer = zstandard.ZstdCompressor()
+    schema = pa.schema([("home", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary())])
+    data = [((i or 0) % homes, i, packer.compress((t or "").encode())) for i, t in rows]
+    docs = pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*data), schema)], schema=schema)
+    groups = lambda t, k: [t.filter(pa.compute.equal(t.column(k), v)) for v in t.column(k).unique()]
+    both = lambda back: [(d, back.filter(pa.compute.equal(back.column("home"), d.column("home")[0]))) for d in groups(docs, "home")]
+    sent = pa.concat_tables([repeat_ops._parsed(homes)(d) for d in groups(docs, "home")])
+    phrases = pa.concat_tables([repeat_ops._compared(b) for b in groups(sent, "bucket")])
+    anchors = pa.concat_tables([repeat_ops._anchored(homes)(d, b) for d, b in both(phrases)])
+    known = pa.concat_tables([phrases, *[repeat_ops._compared(b) for b in groups(anchors, "bucket")]])
+    asked = pa.concat_tables([repeat_ops._asked(homes, anchored=True)(d, b) for d, b in both(known)])
+    told = pa.concat_tables([known, *[repeat_ops._decided(b) for b in groups(asked, "bucket")]])
+    out = pa.concat_tables([repeat_ops._without_bytes(d, b) for d, b in both(told)])
+    got = list(zip(*[out.column(c).to_pylist() for c in out.column_names]))
+    assert sorted(map(str, got)) == sorted(map(str, repeats(rows)))
+    # an entry is some four bytes, and homes that hold copies only have none to tell
+    held = sum(len(repeat_ops._opened(d, repeat_ops.ANCHOR)[0]) for d in anchors.column("data").to_pylist())
+    assert repeat_ops.ANCHOR.itemsize <= 10 and held <= 0.15 * sum(len((t or "").encode()) for _, t in {t: (i, t) for i, t in rows}.values())
+
+
 def run_steps(rows, home, chunk, run, hot):
     """remove_repeats with the shuffles done by hand, so that its constants can be small."""
     import pyarrow as pa
