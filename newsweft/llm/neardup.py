@@ -89,9 +89,9 @@ def marks(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+    for some in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
+        sets = [shingle_set(t) for t in some.column("text").to_pylist()]
+        columns = [some.column("doc_id"), some.column("text_hash"), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
         columns.append(pa.array([fingerprint(s) for s in sets], pa.int64()))
         columns.append(pa.array([marks(s) for s in sets], pa.list_(pa.int64())))
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "n", "fp", "marks"])

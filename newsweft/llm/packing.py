@@ -18,8 +18,10 @@ packed like any other, each on its own; ties go to the least (doc_id, hash of th
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ WINDOW = 2048
 SHARD = 512
 SEQUENCES = 20  # bits of a sequence's number in its shard
 HASHES = 4
+SLICE = 256  # texts of one outgoing batch
 END = 1
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -142,22 +145,33 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(path)
         for batch in batches:
-            ids = pa.array([encoder.encode(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), ids], names=["doc_id", "row_hash", "ids"])
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                ids = pa.array([encoder.encode(t).tobytes() for t in some.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("row_hash"), ids], names=["doc_id", "row_hash", "ids"])
 
     return run
 
 
+@cache
+def _layout(path: str) -> tuple[str, int]:
+    """Type of the ids as ``PieceEncoder`` writes them, and the size of the vocabulary: tasks that do not encode need no encoder."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    size = len({**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec.get("added_tokens") or []}})
+    return "<u2" if size <= 65_536 else "<u4", size
+
+
 def _counted(path: str):
     """Token ids with the number of texts of the task that have them, and the number of its texts under id -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(path)
-        counts, n = np.zeros(encoder.tokenizer.get_vocab_size(), dtype=np.int64), 0
+        dtype, size = _layout(path)
+        counts, n = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for ids in batch.column("ids").to_pylist():
-                counts[np.unique(np.frombuffer(ids, dtype=encoder.dtype))] += 1
+                counts[np.unique(np.frombuffer(ids, dtype=dtype))] += 1
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int64()), pa.array(np.append(counts[found], n), pa.int64())], names=["token", "n"])
 
@@ -196,10 +210,10 @@ def _minhash(ids: np.ndarray, tables: np.ndarray) -> bytes:
 
 def _keyed(path: str, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(path)
-        tables = _tables(weights, encoder.tokenizer.get_vocab_size())
+        dtype, size = _layout(path)
+        tables = _tables(weights, size)
         for batch in batches:
-            keys = pa.array([_minhash(np.frombuffer(ids, dtype=encoder.dtype), tables) for ids in batch.column("ids").to_pylist()], pa.binary())
+            keys = pa.array([_minhash(np.frombuffer(ids, dtype=dtype), tables) for ids in batch.column("ids").to_pylist()], pa.binary())
             columns = [*[batch.column(c) for c in ("doc_id", "row_hash", "ids", "place")], keys]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_hash", "ids", "place", "key"])
 
@@ -219,9 +233,11 @@ def _dealt(shard: int):
     return run
 
 
-def _packer(path: str, end: int, window: int):
+def _packer(path: str, end: int, window: int, shard_of: int = SHARD):
+    """Pieces of the shards of a sorted partition; one Python worker a task deals and packs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = PieceEncoder.of(path).dtype
+        dtype = _layout(path)[0]
         tail = np.array([end], dtype=dtype)
         held: list[tuple] = []
         now = None
@@ -241,7 +257,7 @@ def _packer(path: str, end: int, window: int):
             rows[5] = [(shard << SEQUENCES) + number for shard, number in rows[5]]
             return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in _dealt(shard_of)(batches):
             for name, row_hash, ids, shard in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row_hash", "ids", "shard")]):
                 if held and shard != now:
                     yield close()
@@ -254,11 +270,8 @@ def _packer(path: str, end: int, window: int):
     return run
 
 
-def deal(documents: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
-    """(doc_id, row_hash, ids, shard): every row's token ids as bytes and the number of its shard, the rows of a shard together.
-
-    ``path`` is the tokenizer's file, at the same place on every executor.
-    """
+def _ranged(documents: DataFrame, path: str) -> DataFrame:
+    """(doc_id, row_hash, ids) in ranges of keys, sorted in each."""
     rows = texts(documents).withColumn("row_hash", F.xxhash64("text"))
     coded = cut_lineage(rows.mapInArrow(_encoded(path), "doc_id long, row_hash long, ids binary"))
     # rows of one key, even of one id and text, are spread by their place in the checkpoint, which does not move
@@ -266,7 +279,15 @@ def deal(documents: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
     keyed = placed.mapInArrow(_keyed(path, _weights(coded, path)), "doc_id long, row_hash long, ids binary, place long, key binary")
     order = ["key", "salt", "place"]
     ranged = keyed.withColumn("salt", F.xxhash64("doc_id", "row_hash")).repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.select("doc_id", "row_hash", "ids").mapInArrow(_dealt(shard), "doc_id long, row_hash long, ids binary, shard long")
+    return ranged.select("doc_id", "row_hash", "ids")
+
+
+def deal(documents: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
+    """(doc_id, row_hash, ids, shard): every row's token ids as bytes and the number of its shard, the rows of a shard together.
+
+    ``path`` is the tokenizer's file, at the same place on every executor.
+    """
+    return _ranged(documents, path).mapInArrow(_dealt(shard), "doc_id long, row_hash long, ids binary, shard long")
 
 
 def pack(documents: DataFrame, path: str, end: int = END, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
@@ -274,4 +295,4 @@ def pack(documents: DataFrame, path: str, end: int = END, window: int = WINDOW,
 
     ``path`` is the tokenizer's file, at the same place on every executor.
     """
-    return deal(documents, path, shard).mapInArrow(_packer(path, end, window), PIECES)
+    return _ranged(documents, path).mapInArrow(_packer(path, end, window, shard), PIECES)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -53,3 +54,20 @@ def test_one_key_is_split(spark):
     for r in out:
         shards.setdefault(r.sequence_id >> packing.SEQUENCES, set()).add(r.doc_id)
     assert sum(map(len, shards.values())) == 300 and max(map(len, shards.values())) <= 80
+
+
+def test_a_task_packs_in_one_worker_without_an_encoder(spark, capsys, monkeypatch):
+    """After the shuffle one Python step deals and packs; steps that do not encode know the layout of the ids without the tokenizer."""
+    path = tokenizer("byte_bpe_50k.json")
+    out = packing.pack(table(spark, [(i, prose(i, 40), "en", "a") for i in range(60)]), path, window=64, shard=20)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan[: plan.index("Exchange rangepartitioning")].count("MapInArrow") == 1
+    encoder = packing.PieceEncoder.of(path)
+    coded = [encoder.encode(prose(i, 40)) for i in range(30)]
+    monkeypatch.setattr(packing.PieceEncoder, "of", None)
+    batch = pa.RecordBatch.from_arrays([pa.array([ids.tobytes() for ids in coded], pa.binary())], names=["ids"])
+    counts = {t: n for b in packing._counted(path)([batch]) for t, n in zip(b.column("token").to_pylist(), b.column("n").to_pylist())}
+    assert counts.pop(-1) == 30 and sum(counts.values()) == sum(len(set(ids.tolist())) for ids in coded)
+    assert packing._layout(path) == (encoder.dtype, encoder.tokenizer.get_vocab_size())
+    assert packing._layout(tokenizer("word_bpe_49k.json"))[0] == "<u2"

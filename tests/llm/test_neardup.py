@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import odd_rows, prose, table
 
@@ -123,3 +124,13 @@ def test_a_crowd_of_texts_below_the_threshold_makes_few_pairs(spark):
 
 def test_no_rows(spark):
     assert neardup.keep_first(table(spark, [])).count() == 0
+
+
+def test_prints_leave_in_small_batches():
+    """However many texts come at once, the sets of a slice only are held."""
+    count = 3 * neardup.SLICE + 5
+    columns = [pa.array(range(count), pa.int64()), pa.array(range(count), pa.int64()), pa.array([prose(i, 12) for i in range(count)])]
+    out = list(neardup._sets([pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "text"])]))
+    assert max(b.num_rows for b in out) == neardup.SLICE
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(count))
+    assert [k for b in out for k in b.column("key").to_pylist()] == [neardup._key(neardup.shingle_set(t)) for t in columns[2].to_pylist()]
