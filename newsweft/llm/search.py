@@ -1,15 +1,23 @@
 """Exact BM25 top-k search with block-max pruning, run per shard and merged with global statistics.
 
-Terms are runs of letters, digits and underscores in lower case, kept as 64-bit hashes. The number of documents, the
-mean length and the document frequency of every query term are counted over all documents first, so scores
-are the same whichever shard a document lies in.
+Terms are runs of letters, digits and underscores in lower case, kept as 64-bit hashes. Every text is read once: a task
+turns its documents into shards of about ``SHARD`` bytes of text, one row of postings each, kept in the checkpoint folder. The
+number of documents, the mean length and the document frequency of every query term are counted over all shards before a
+query runs, so scores are the same whichever shard a document lies in.
 
-Documents are dealt by id to shards of about ``SHARD`` bytes and queries to blocks of ``QUERIES``; a task gets one shard and
-one block (a stated set of queries against all rows, in blocks). It builds an inverted index in blocks
-of ``BLOCK`` documents, documents alike (same commonest term, same least term hash) side by side, with the greatest impact of
-each term in each block. For a query the weighted block maxima add up to an upper bound per block. Blocks are
-scored exactly from the highest bound down until the next bound is below the k-th best score: no document that belongs to
-the result is left out. The k best of every shard are merged by (score, id).
+Queries are dealt to blocks of about ``QUERIES``, one row each, also kept. All shards meet all blocks in a cartesian product: a
+task gets one lane of shards (there are ``LANES`` at most) and reads the blocks of one partition from the one copy that is stored, so
+nothing is written again for a further shard or block. It holds the k best of every query so far and carries them from shard to
+shard, as a bound to begin with, so a lane returns k rows a query at most. The lanes are merged by (score, id).
+
+A shard is an inverted index in blocks of ``BLOCK`` documents, documents alike (same commonest term, same least term hash)
+side by side, with the greatest impact of each term in each block. Postings of common terms are rows of a matrix; one product
+gives their part of the scores of all documents for ``BATCH`` queries. For a query this part at its greatest in a block and the
+weighted block maxima of the other terms add up to an upper bound per block. Blocks are scored exactly from the highest
+bound down until the next bound is below the k-th best score: no document that belongs to the result is left out.
+
+The work still grows with the number of queries times the number of documents, as every query asks all documents; what is
+written, held in a task or returned by the search does not.
 
 Defined results: a query without a term, or that shares no term with any document, has no rows; fewer than k matches give
 fewer rows; scores have six decimals and ties go to the smaller id; rows with a null id take no part; a null text is empty; repeated rows are
@@ -22,7 +30,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,183 +41,327 @@ from pyspark.sql import functions as F
 from newsweft.llm.common import cut_lineage, texts
 
 K1, B = 1.2, 0.75
-BLOCK = 32  # documents in a block of the index
-SHARD = 32_000_000  # bytes of text in a shard
-QUERIES = 8192  # queries in a block
-DENSE = 16  # a term in more than 1/16 of a shard's documents is kept as a row of a matrix
+BLOCK = 64  # documents in a block of the index
+SHARD = 20_000_000  # bytes of text in a shard, half more in the last of a task
+DOCS = 16_384  # documents in a shard at most
+QUERIES = 2048  # queries in a block
+LANES = 12  # lanes of shards; each returns its k best of a query
+BATCH = 64  # queries whose common terms are scored by one product
+DENSE = 32  # a term in more than 1/32 of a shard's documents is kept as a row of a matrix
+MATRIX = 50_000_000  # bytes of that matrix at most; the rarer of these terms stay with the others
 DIGITS = 6  # decimals of a score
 SLACK = 1e-9  # bounds and scores add up in different orders
 WORD = re.compile(r"\w+")
+ASCII = bytes(ord(chr(i).lower()) if WORD.match(chr(i)) else 32 for i in range(128)) + bytes(128)
 
 
 def _terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the distinct terms and how often each occurs."""
     import xxhash
 
-    counts = Counter(WORD.findall(text.lower()))
-    keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in counts), dtype=np.uint64, count=len(counts)).view(np.int64)
+    # an ASCII text gives the same words as bytes, several times as fast
+    counts = Counter(text.encode().translate(ASCII).split() if text.isascii() else WORD.findall(text.lower()))
+    keys = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, counts)), dtype=">u8").astype(np.uint64).view(np.int64)
     tf = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
     order = np.argsort(keys)
     return keys[order], tf[order]
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df) per batch, and with a null term the number of documents and of words."""
-    for batch in batches:
-        keys, words = [], 0
-        for text in batch.column("text").to_pylist():
-            key, tf = _terms(text)
-            keys.append(key)
-            words += int(tf.sum())
-        term, df = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df.astype(np.int64)), pa.array(np.zeros(len(term), np.int64))], names=["term", "n", "words"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([words], pa.int64())], names=["term", "n", "words"])
-
-
-def _query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, text in zip(batch.column("query_id").to_pylist(), batch.column("text").to_pylist()):
-            key, tf = _terms(text)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), name, dtype=np.int64)), pa.array(key), pa.array(tf)], names=["query_id", "term", "tf"])
-
-
 def _joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every run, one run after the other."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-class BlockMaxIndex:
-    """Inverted index of one shard over the terms that queries ask for."""
+class Postings(NamedTuple):
+    """Documents of a shard in the order of the index and their postings, sorted by term and document."""
 
-    def __init__(self, names: list[int], docs: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, mean: float, block: int = BLOCK):
-        lengths = np.array([max(1, int(tf.sum())) for _, tf in docs], dtype=np.float64)
+    names: np.ndarray
+    lengths: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray  # postings of each term
+    doc: np.ndarray
+    tf: np.ndarray
+
+    @classmethod
+    def of(cls, names: list[int], docs: list[tuple[np.ndarray, np.ndarray]]) -> Postings:
         alike = [(int(key[np.argmax(tf)]), int(key[0]), name) if len(key) else (0, 0, name) for name, (key, tf) in zip(names, docs)]
         order = sorted(range(len(docs)), key=alike.__getitem__)
-        self.names = np.array([names[i] for i in order], dtype=np.int64)
-        self.block = block
-        self.blocks = -(-len(order) // block)
         term = np.concatenate([docs[i][0] for i in order] or [np.zeros(0, np.int64)])
         tf = np.concatenate([docs[i][1] for i in order] or [np.zeros(0, np.int64)])
         doc = np.repeat(np.arange(len(order)), [len(docs[i][0]) for i in order])
-        docs.clear()
-        at = np.minimum(np.searchsorted(wanted, term), max(0, len(wanted) - 1))
-        asked = wanted[at] == term if len(wanted) else np.zeros(len(term), dtype=bool)
-        at, tf, doc = at[asked], tf[asked], doc[asked]
-        by = np.argsort(at, kind="stable")
-        at, tf, doc = at[by], tf[by], doc[by]
-        norm = K1 * (1 - B + B * lengths[order] / mean)
+        lengths = np.array([docs[i][1].sum() for i in order], dtype=np.int64)
+        by = np.argsort(term, kind="stable")
+        terms, counts = np.unique(term, return_counts=True)
+        return cls(np.array([names[i] for i in order], dtype=np.int64), lengths, terms, counts, doc[by], tf[by])
+
+    def of_terms(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in ``wanted``, documents and counts of the postings of these terms."""
+        at = np.minimum(np.searchsorted(self.terms, wanted), max(0, len(self.terms) - 1))
+        known = np.flatnonzero(self.terms[at] == wanted) if len(self.terms) else np.zeros(0, np.int64)
+        sizes = self.counts[at[known]]
+        take = _joined((np.cumsum(self.counts) - self.counts)[at[known]], sizes)
+        return np.repeat(known, sizes), self.doc[take].astype(np.int32), self.tf[take].astype(np.float64)
+
+
+class BlockMaxIndex:
+    """Inverted index of one shard over the terms that queries ask for."""
+
+    def __init__(self, names: list[int], docs: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, mean: float, block: int = BLOCK):
+        self._fill(Postings.of(names, docs), wanted, mean, block)
+
+    @classmethod
+    def over(cls, postings: Postings, wanted: np.ndarray, mean: float, block: int = BLOCK) -> BlockMaxIndex:
+        index = cls.__new__(cls)
+        index._fill(postings, wanted, mean, block)
+        return index
+
+    def _fill(self, postings: Postings, wanted: np.ndarray, mean: float, block: int) -> None:
+        self.names = postings.names
+        self.block = block
+        n = len(self.names)
+        self.blocks = -(-n // block)
+        at, doc, tf = postings.of_terms(wanted)
+        norm = K1 * (1 - B + B * np.maximum(1, postings.lengths) / mean)
         impact = tf * (K1 + 1) / (tf + norm[doc])
         # postings of terms in many documents are rows of a matrix
-        n, df = len(order), np.bincount(at, minlength=len(wanted))
+        df = np.bincount(at, minlength=len(wanted))
         common = np.flatnonzero(df > max(block, n // DENSE))
+        common = common[np.argsort(-df[common], kind="stable")[: MATRIX // (8 * max(1, self.blocks) * block)]]
         self.row = np.full(len(wanted), -1)
         self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((self.blocks, len(common), block))
+        self.dense = np.zeros((len(common), self.blocks * block))
         long = self.row[at] >= 0
-        self.dense[doc[long] // block, self.row[at[long]], doc[long] % block] = impact[long]
-        self.dense_max = np.ascontiguousarray(self.dense.max(axis=2).T)
-        at, self.doc, self.impact = at[~long], doc[~long], impact[~long]
-        cell = at * max(1, self.blocks) + self.doc // block
+        self.dense[self.row[at[long]], doc[long]] = impact[long]
+        at, doc, self.impact = at[~long], doc[~long], impact[~long]
+        self.place = doc % block  # in the block
+        cell = at * max(1, self.blocks) + doc // block
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell_start = first
-        self.cell_size = np.diff(np.append(first, len(cell)))
-        self.cell_block = self.doc[first] // block
+        self.cell_size = np.diff(np.append(first, len(cell))).astype(np.int32)
+        self.cell_block = doc[first] // block
         self.cell_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         edges = np.searchsorted(at[first], np.arange(len(wanted) + 1))
         self.term_start, self.term_size = edges[:-1], np.diff(edges)
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best; ``terms`` are positions among the wanted terms.
+    def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each query (terms, weights) what the common terms add to the score of every document."""
+        weights = np.zeros((len(queries), len(self.dense)))
+        for line, (terms, weight) in zip(weights, queries):
+            rows = self.row[terms]
+            line[rows[rows >= 0]] = weight[rows >= 0]
+        return weights @ self.dense
+
+    def search(
+        self, terms: np.ndarray, weights: np.ndarray, k: int, common: np.ndarray | None = None, best: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of these documents and ``best``; ``terms`` are positions among the wanted terms.
 
         Scores are rounded to ``DIGITS`` before they are compared, so sums taken in another order tie.
         """
-        rows = self.row[terms]
-        rows, heavy = rows[rows >= 0], weights[rows >= 0]
-        terms, weights = terms[self.row[terms] < 0], weights[self.row[terms] < 0]
+        if common is None:
+            common = self.common([(terms, weights)])[0]
+        common = common.reshape(self.blocks, self.block)
+        light = self.row[terms] < 0
+        terms, weights = terms[light], weights[light]
         sizes = self.term_size[terms]
         cells = _joined(self.term_start[terms], sizes)
         weight = np.repeat(weights, sizes)
         where = self.cell_block[cells]
-        bound = np.bincount(where, weights=weight * self.cell_max[cells], minlength=self.blocks) + heavy @ self.dense_max[rows]
-        ranked = np.argsort(-bound, kind="stable")
-        bound = bound[ranked] * (1 + SLACK) + 10.0**-DIGITS
-        ids, scores, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
-        while at < self.blocks and bound[at] >= least:
+        bound = np.bincount(where, weights=weight * self.cell_max[cells], minlength=self.blocks) + common.max(axis=1)
+        bound = bound * (1 + SLACK) + 10.0**-DIGITS
+        ids, scores = best
+        # without a bound to begin with, a few blocks give one
+        least, at, step = (float(scores.min()), 0, 256) if len(ids) >= k else (0.0, 0, 4)
+        ranked = np.flatnonzero(bound >= least)
+        ranked = ranked[np.argsort(-bound[ranked], kind="stable")]
+        bound = bound[ranked]
+        while at < len(ranked) and bound[at] >= least:
             some = ranked[at : at + step][bound[at : at + step] >= least]
-            at, step = at + step, min(step * 2, 64)
+            at, step = at + step, min(step * 8, 256)
             slot = np.full(self.blocks, -1)
             slot[some] = np.arange(len(some))
             inside = np.flatnonzero(slot[where] >= 0)
             take = cells[inside]
             count = self.cell_size[take]
             postings = _joined(self.cell_start[take], count)
-            place = slot[self.doc[postings] // self.block] * self.block + self.doc[postings] % self.block
+            place = np.repeat(slot[where[inside]] * self.block, count) + self.place[postings]
             total = np.bincount(place, weights=np.repeat(weight[inside], count) * self.impact[postings], minlength=len(some) * self.block)
-            if len(rows):
-                total = total + (heavy @ self.dense[some[:, None], rows]).ravel()
+            total = np.round(total + common[some].ravel(), DIGITS)
             docs = (some[:, None] * self.block + np.arange(self.block)).ravel()
-            total = np.round(total, DIGITS)
             hit = np.flatnonzero(total >= max(least, 10.0**-DIGITS))
             # places behind the last document score nothing and are never hit
             ids, scores = np.concatenate([ids, self.names[docs[hit]]]), np.concatenate([scores, total[hit]])
             if len(ids) > k:
-                best = np.lexsort([ids, -scores])[:k]
-                ids, scores = ids[best], scores[best]
+                kept = np.lexsort([ids, -scores])[:k]
+                ids, scores = ids[kept], scores[kept]
             if len(ids) >= k:
                 least = float(scores.min())
-        best = np.lexsort([ids, -scores])[:k]
-        return ids[best], scores[best]
-
-
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of lists, and where each list ends."""
-    array = column.combine_chunks()
-    return array.flatten().to_numpy(zero_copy_only=False), np.cumsum(array.value_lengths().to_numpy(zero_copy_only=False))
-
-
-def _searcher(k: int, number: float, mean: float):
-    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        names, found = ["query_id", "doc_id", "score"], []
-        if docs.num_rows and queries.num_rows:
-            terms, ends = _lists(queries.column("terms"))
-            tf, df = _lists(queries.column("tf"))[0], _lists(queries.column("df"))[0]
-            weights = tf * np.log1p((number - df + 0.5) / (df + 0.5))
-            wanted = np.unique(terms)
-            index = BlockMaxIndex(docs.column("doc_id").to_pylist(), [_terms(t.as_py()) for t in docs.column("text")], wanted, mean)
-            for name, start, end in zip(queries.column("query_id").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
-                order = np.argsort(terms[start:end])
-                ids, scores = index.search(np.searchsorted(wanted, terms[start:end][order]), weights[start:end][order], k)
-                found.append((np.full(len(ids), name, dtype=np.int64), ids, scores))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(c) for c in columns], names=names)
+        kept = np.lexsort([ids, -scores])[:k]
+        return ids[kept], scores[kept]
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from zero up in as few bytes each as the greatest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def _numbers(row: pa.StructScalar, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(row[name].as_buffer(), dtype=kind)
+
+
+def _narrowed(row: pa.StructScalar, name: str, n: int) -> np.ndarray:
+    return _numbers(row, name, f"u{row[name].as_buffer().size // n}") if n else np.zeros(0, np.uint8)
+
+
+SHARDS = "n long, words long, names binary, lengths binary, terms binary, counts binary, doc binary, tf binary"
+BLOCKS = "block int, query_id binary, size binary, term binary, weight binary"
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[pa.StructScalar]:
+    return iter(pa.array(batch.to_struct_array()))
+
+
+def _shard_rows(limit: int) -> Callable:
+    """Rows ``SHARDS`` of the texts of a task, a row for about ``limit`` bytes of text."""
+
+    def close(names: list[int], docs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        found = Postings.of(names, docs)
+        numbers = [[len(found.names)], [int(found.lengths.sum())]]
+        blobs = [found.names.tobytes(), _narrow(found.lengths), found.terms.tobytes(), _narrow(found.counts), _narrow(found.doc), _narrow(found.tf)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in numbers] + [pa.array([x], pa.binary()) for x in blobs], names=["n", "words", *Postings._fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full, names, docs, held = None, [], [], 0
+        for batch in batches:
+            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                names.append(name)
+                docs.append(_terms(text))
+                held += len(text)
+                if held >= limit or len(names) >= DOCS:
+                    if full:
+                        yield close(*full)
+                    full, names, docs, held = (names, docs), [], [], 0
+        # a small rest goes with the shard before it
+        if full and max(held / limit, len(names) / DOCS) < 0.5:
+            full, names, docs = None, full[0] + names, full[1] + docs
+        if full:
+            yield close(*full)
+        if names:
+            yield close(names, docs)
 
     return run
 
 
-def top_k(documents: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best documents for each row of ``queries`` (query_id, text)."""
+def _postings(row: pa.StructScalar) -> Postings:
+    names, terms = _numbers(row, "names", "i8"), _numbers(row, "terms", "i8")
+    counts = _narrowed(row, "counts", len(terms)).astype(np.int64)
+    size = int(counts.sum())
+    return Postings(names, _narrowed(row, "lengths", len(names)).astype(np.int64), terms, counts, _narrowed(row, "doc", size), _narrowed(row, "tf", size))
+
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of every shard."""
+    for batch in batches:
+        for row in _rows_of(batch):
+            terms = _numbers(row, "terms", "i8")
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(_narrowed(row, "counts", len(terms)).astype(np.int64))], names=["term", "n"])
+
+
+def _query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, text in zip(batch.column("query_id").to_pylist(), batch.column("text").to_pylist()):
+            key, tf = _terms(text)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), name, dtype=np.int64)), pa.array(key), pa.array(tf)], names=["query_id", "term", "tf"])
+
+
+def _block_row(number: float) -> Callable:
+    """One row ``BLOCKS`` of the weighted terms of a block, sorted by query and term."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        query, term, tf, n = (rows.column(c).to_numpy() for c in ("query_id", "term", "tf", "n"))
+        by = np.lexsort([term, query])
+        weight = tf * np.log1p((number - n + 0.5) / (n + 0.5))
+        names, sizes = np.unique(query, return_counts=True)
+        blobs = [names.tobytes(), sizes.astype(np.int64).tobytes(), term[by].tobytes(), weight[by].tobytes()]
+        return pa.table([pa.array([rows.column("block")[0].as_py()], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["block", "query_id", "size", "term", "weight"])
+
+    return run
+
+
+class _Block:
+    """Queries of a block and the k best of each so far."""
+
+    def __init__(self, row: pa.StructScalar):
+        self.names = _numbers(row, "query_id", "i8").copy()
+        self.wanted, at = np.unique(_numbers(row, "term", "i8"), return_inverse=True)
+        cuts = np.cumsum(_numbers(row, "size", "i8"))[:-1]
+        self.queries = list(zip(np.split(at, cuts), np.split(_numbers(row, "weight", "f8").copy(), cuts)))
+        self.best = [(np.zeros(0, np.int64), np.zeros(0))] * len(self.names)
+
+    def search(self, postings: Postings, mean: float, k: int) -> None:
+        index = BlockMaxIndex.over(postings, self.wanted, mean)
+        for start in range(0, len(self.queries), BATCH):
+            some = self.queries[start : start + BATCH]
+            for i, ((terms, weights), common) in enumerate(zip(some, index.common(some)), start):
+                self.best[i] = index.search(terms, weights, k, common, self.best[i])
+
+    def rows(self) -> pa.RecordBatch:
+        ids, scores = (np.concatenate(c) for c in zip(*self.best))
+        query = np.repeat(self.names, [len(i) for i, _ in self.best])
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(scores)], names=["query_id", "doc_id", "score"])
+
+
+def _searcher(k: int, mean: float) -> Callable:
+    """The k best of each query over the shards that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, _Block] = {}
+        for batch in batches:
+            for row in _rows_of(batch):
+                name = row["block"].as_py()
+                if name not in blocks:
+                    blocks[name] = _Block(row)
+                blocks[name].search(_postings(row), mean, k)
+        for block in blocks.values():
+            yield block.rows()
+
+    return run
+
+
+def _row_by_row(frame: DataFrame) -> DataFrame:
+    """A checkpoint whose Python workers get large rows one at a time, so a worker holds one shard and not a batch of them."""
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = conf.get(name)
+    conf.set(name, "1")
+    try:
+        return cut_lineage(frame)
+    finally:
+        conf.set(name, rows)
+
+
+def lane_best(documents: DataFrame, queries: DataFrame, k: int, shard: int, block: int) -> DataFrame:
+    """(query_id, doc_id, score): the k best of every lane of shards."""
     docs = texts(documents).filter("doc_id is not null")
     asked = queries.filter("query_id is not null").groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    parts = cut_lineage(asked.mapInArrow(_query_rows, "query_id long, term long, tf long"))
-    counted = docs.mapInArrow(_term_rows, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    # the null term stands for the counts of documents and words
-    terms = parts.select(F.col("term").alias("_term")).distinct().union(docs.sparkSession.range(1).select(F.lit(None).cast("long")))
-    known = cut_lineage(counted.join(terms, counted["term"].eqNullSafe(terms["_term"]), "left_semi"))
-    whole = known.filter("term is null").first()
-    number, words = (whole.n, whole.words) if whole and whole.n else (0, 0)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("docs")).first()
+    # small input partitions are read together, a large one gives several shards
+    tasks = max(LANES, math.ceil((size.bytes or 0) / shard), math.ceil(size.docs / DOCS))
+    shards = cut_lineage(docs.coalesce(tasks).mapInArrow(_shard_rows(shard), SHARDS))
+    whole = shards.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    number, words = whole.n or 0, whole.words or 0
     mean = max(1.0, words / max(1, number))
-    weighted = (
-        parts.join(known.filter("term is not null").select("term", "n"), "term")
-        .groupBy("query_id")
-        .agg(F.collect_list(F.struct("term", "tf", "n")).alias("all"))
-        .select("query_id", F.col("all.term").alias("terms"), F.col("all.tf").cast("array<int>").alias("tf"), F.col("all.n").cast("array<long>").alias("df"))
-    )
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(size / shard))
+    counted = shards.select("terms", "counts").mapInArrow(_term_rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     blocks = max(1, math.ceil(asked.count() / block))
-    left = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = weighted.select("query_id", "terms", "tf", "df", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_searcher(k, float(number), mean), "query_id long, doc_id long, score double")
+    weighted = asked.mapInArrow(_query_rows, "query_id long, term long, tf long").join(counted, "term")
+    dealt = weighted.select("query_id", "term", "tf", "n", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    asking = cut_lineage(dealt.groupBy("block").applyInArrow(_block_row(float(number)), BLOCKS).repartition(blocks))
+    pairs = shards.drop("n", "words").coalesce(LANES).crossJoin(asking.hint("shuffle_replicate_nl"))
+    return _row_by_row(pairs.mapInArrow(_searcher(k, mean), "query_id long, doc_id long, score double"))
+
+
+def top_k(documents: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best documents for each row of ``queries`` (query_id, text)."""
+    best = lane_best(documents, queries, k, shard, block)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id")))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

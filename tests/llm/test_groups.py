@@ -1,8 +1,10 @@
 """Near duplicates, repeated passages, search and the pipeline against plain models."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import best, classes, odd_rows, prose, repeats, simhash, table
 
@@ -224,6 +226,44 @@ def test_top_k(spark, shard):
         assert r.doc_id == i or r.doc_id in near_tie or len(near_tie) > 1
 
 
+def test_search_rows_grow_with_queries_only(spark):
+    """Many shards and blocks: a lane returns k rows a query at most, and nothing is written again for a shard or block."""
+    rows = [(i, f"alpha beta w{i % 7} v{i % 11} u{i}", "en", "a") for i in range(600)]
+    asked = spark.createDataFrame([(r[0], r[1]) for r in rows if r[0] % 20 == 0], "query_id long, text string")
+    frame = table(spark, rows).repartition(3)
+    lanes = search.lane_best(frame, asked, 5, shard=200, block=4)
+    assert lanes.count() <= 30 * 5 * search.LANES
+    plan = search.top_k(frame, asked, 5, shard=200, block=4)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "CoGroups" not in plan
+
+
+def test_shards_keep_their_postings():
+    """A row of a shard gives back the postings it was made of, whatever the sizes of its numbers."""
+    texts = ["", "a b a", "b " * 300 + "c", "", "naïve a"]
+    batch = pa.table({"doc_id": pa.array([5, 4, 3, 2, 70_000], pa.int64()), "text": texts}).to_batches()
+    made = list(search._shard_rows(10**6)(iter(batch)))
+    assert [m.num_rows for m in made] == [1] and made[0]["words"].to_pylist() == [3 + 301 + 2]
+    want = search.Postings.of([5, 4, 3, 2, 70_000], [search._terms(t) for t in texts])
+    for row in search._rows_of(made[0]):
+        for name, value in search._postings(row)._asdict().items():
+            assert value.tolist() == getattr(want, name).tolist(), name
+    empty = list(search._shard_rows(10**6)(iter(pa.table({"doc_id": pa.array([1], pa.int64()), "text": [""]}).to_batches())))
+    assert [search._postings(r).doc.tolist() for r in search._rows_of(empty[0])] == [[]]
+
+
+def test_words_of_ascii_texts():
+    """The faster way for ASCII texts gives the terms of the expression."""
+    from collections import Counter
+
+    import xxhash
+
+    text = "".join(map(chr, range(128))) + " A_b1\x0bC-d\x1cE\x00f aa AA"
+    for some in (text, text + " É é"):
+        want = Counter(xxhash.xxh3_64_intdigest(w) for w in re.findall(r"\w+", some.lower()))
+        key, tf = search._terms(some)
+        assert dict(zip(key.view(np.uint64).tolist(), tf.tolist())) == want
+
+
 @pytest.mark.parametrize("block, dense", [(4, 16), (32, 16), (8, 2)])
 def test_block_max_index(block, dense, monkeypatch):
     """Random texts: the k best are those of scoring everything, whatever is kept as rows."""
