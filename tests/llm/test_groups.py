@@ -300,6 +300,48 @@ def test_pruning_leaves_blocks_unscored(monkeypatch):
     assert sorted(ids) == list(range(8)) and sum(scored) < 200
 
 
+def test_few_documents_are_scored_exactly(monkeypatch):
+    """Texts with scores side by side: no block can be left out, and yet only those near the k best are scored in double precision."""
+    rnd = np.random.default_rng(5)
+    docs = []
+    for _ in range(800):
+        keys, tf = np.unique(rnd.zipf(1.2, 200).clip(0, 900), return_counts=True)
+        docs.append((keys, tf))
+    wanted = np.arange(901)
+    scored = []
+    real = np.round
+    monkeypatch.setattr(np, "round", lambda x, d: scored.append(len(x)) or real(x, d))
+    index = search.BlockMaxIndex(list(range(800)), docs, wanted, 200.0, block=100)
+    terms, weights = docs[17][0], 1.0 + rnd.random(len(docs[17][0]))
+    ids, scores = index.search(terms, weights, 5)
+    assert sum(scored) < 100
+    impact = lambda tf, size: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / 200.0))
+    exact = [sum(w * impact(dict(zip(*d)).get(t, 0), d[1].sum()) for t, w in zip(terms, weights)) for d in docs]
+    assert ids.tolist() == sorted(range(800), key=lambda i: (-round(exact[i], 6), i))[:5] and ids[0] == 17
+    assert scores.tolist() == pytest.approx([exact[i] for i in ids], abs=2e-6)
+
+
+def test_block_of_queries_keeps_its_terms(monkeypatch):
+    """The row of a block gives back terms and weights of each query, queries with the same common terms side by side, and the k best of several shards."""
+    asked = {7: {3: 2, 5: 1, 900: 300}, 8: {3: 1}, 9: {4: 1, 6: 1}, 10: {3: 1, 5: 2}}
+    df = {3: 40, 4: 2, 5: 9, 6: 1, 900: 3}
+    rows = [(0, q, t, tf, df[t]) for q, terms in asked.items() for t, tf in terms.items()]
+    table_ = pa.table(dict(zip(("block", "query_id", "term", "tf", "n"), map(list, zip(*reversed(rows))))))
+    made = search._block_row(100.0)(table_).to_batches()[0]
+    block = search._Block(next(search._rows_of(made)), 2)
+    got = {q: dict(zip(block.wanted[block.terms[a:b]].tolist(), block.weights[a:b])) for q, a, b in zip(block.names.tolist(), block.edges, block.edges[1:])}
+    assert got == {q: {t: pytest.approx(tf * np.log1p((100 - df[t] + 0.5) / (df[t] + 0.5))) for t, tf in terms.items()} for q, terms in asked.items()}
+    assert block.names.tolist() in ([9, 8, 10, 7], [9, 8, 7, 10])
+    monkeypatch.setattr(search, "BATCH", 3)
+    for docs in ([(1, {3: 1, 4: 1}), (2, {900: 1})], [(3, {3: 1, 4: 1}), (0, {3: 5, 4: 1})]):
+        arrays = [tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(d.items()))) for _, d in docs]
+        block.search(search.Postings.of([i for i, _ in docs], arrays), 2.0)
+    best_ = {}
+    for q, i in zip(*(block.rows().column(c).to_pylist() for c in ("query_id", "doc_id"))):
+        best_.setdefault(q, []).append(i)
+    assert best_ == {7: [2, 0], 8: [0, 1], 9: [1, 3], 10: [0, 1]}
+
+
 def test_empty_tables(spark, write):
     sf_dir = write([])
     for query in (op2_simhash, op4_repeats, op5_search):
