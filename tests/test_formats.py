@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsweft.operators.enrich import enrich
 from newsweft.rules import book
 from newsweft.schemas import RAW_PAYLOADS
+from newsweft.plans import workload
 from newsweft.sources.payloads import fetch_log, parse_payloads, read_feed_files
 from newsweft.sources.registry import list_sources, select_sources
 
@@ -268,3 +269,14 @@ def test_long_records_are_read_in_one_pass(spark, classifier):
     body = "<rss><channel><item><title>Long</title><link>https://example.org/l</link><description>" + "a > b " * 200_000 + "<br/>" * 50_000 + " end</description></item></channel></rss>"
     rows = parse_payloads(spark.createDataFrame([("bbc", FETCHED, 200, 5, None, body)], RAW_PAYLOADS), book.sources(spark), classifier).collect()
     assert [(r["title"], r["snippet"]) for r in rows] == [("Long", "end")]
+
+
+def test_payloads_shuffle_rows_not_texts(spark, tmp_path):
+    """The one exchange of a payload view lies below its records, and formats that read the same columns have it in common."""
+    rows = [(i, i % 3, ("view", "click", "error")[i % 3], float(i), "2024-01-01 00:00:00") for i in range(45)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts string").write.parquet(f"{tmp_path}/events.parquet")
+    made = workload.payloads(spark, str(tmp_path), "feed")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("<item><title>") < plan.index("Exchange hashpartitioning")  # above it
+    assert sorted(b.count("<item>") for (b,) in made.select("body").collect()) == [5, 20, 20]
